@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from faktum.llm import exact_dedup, sharding
+from faktum.llm import exact_dedup, mixing, sharding
 
-QUERIES = {"op1_sharding": sharding.op1_sharding, "op5_exact_dedup": exact_dedup.op5_exact_dedup}
-ORACLE_SQL = {"op1_sharding": sharding.OP1_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL}
+QUERIES = {
+    "op1_sharding": sharding.op1_sharding,
+    "op3_mixing": mixing.op3_mixing,
+    "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+}
+ORACLE_SQL = {"op1_sharding": sharding.OP1_SQL, "op3_mixing": mixing.OP3_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL}
