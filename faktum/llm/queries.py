@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from faktum.llm import bpe, exact_dedup, mixing, sharding
+from faktum.llm import bpe, exact_dedup, langid, mixing, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op3_mixing": mixing.op3_mixing,
     "op4_bpe": bpe.op4_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_language_id": langid.op6_language_id,
 }
 ORACLE_SQL = {"op1_sharding": sharding.OP1_SQL, "op3_mixing": mixing.OP3_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL}
