@@ -37,7 +37,7 @@ class Features:
 
     def __init__(self, texts: list[bytes]) -> None:
         self.words = w = Words(texts, lower=True)
-        buf = np.where(_SPACE[w.buf], np.uint8(32), w.buf).astype(np.uint64)
+        buf = np.append(np.where(_SPACE[w.buf], np.uint8(32), w.buf), np.full(max(LENGTHS), 32, np.uint8)).astype(np.uint64)
         self.grams = []
         for length in LENGTHS:
             h = np.zeros(len(buf) - length + 1, np.uint64)
