@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faktum.llm import bpe, exact_dedup, langid, mixing, sharding
+from faktum.llm import bpe, exact_dedup, langid, mixing, ngram_join, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,5 +10,6 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_language_id": langid.op6_language_id,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
 }
-ORACLE_SQL = {"op1_sharding": sharding.OP1_SQL, "op3_mixing": mixing.OP3_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL}
+ORACLE_SQL = {"op1_sharding": sharding.OP1_SQL, "op3_mixing": mixing.OP3_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL, "op7_ngram_join": ngram_join.OP7_SQL}
