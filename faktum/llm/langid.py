@@ -194,18 +194,18 @@ def learn(rows: DataFrame, text: str, lang: str, order: Column, sample: int = SA
     return fit(texts, labels)
 
 
-def identify(docs: DataFrame, model: dict, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns keep of docs, lang_pred and score. Null text and text without a letter: und, 0.0."""
+def identify(docs: DataFrame, model: dict, keep: list[str], text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns keep of docs, then the language and its score under names. Null text and text without a letter: und, 0.0."""
     from pyspark.sql import types as T
 
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     read = docs.select(*keep, F.col(text).alias("_text"))
 
     def run(batches):
         for rows, texts in grouped(batches, "_text"):
             langs, scores = predict(sent.value, texts)
-            yield pa.RecordBatch.from_arrays([rows.column(i) for i in range(len(keep))] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([rows.column(i) for i in range(len(keep))] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, *names])
 
     return read.mapInArrow(run, schema)
 
@@ -228,6 +228,12 @@ def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     return out.select(key, (code % 5 == 0).alias("held_out"), "lang_pred", "score")
 
 
+def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.35) -> DataFrame:
+    """docs without the rows whose language can't be told (und) or has a share below least; all columns stay."""
+    names = ("_identified", "_share")
+    return identify(docs, train_for(docs, key, text, lang), docs.columns, text, names).filter(f"_identified <> '{UNKNOWN}' AND _share >= {least}").select(docs.columns)
+
+
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
     """The language of every document."""
     return language_id(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))

@@ -53,9 +53,9 @@ def permute_steps() -> list[tuple[str, str]]:
     return steps
 
 
-def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """key, source, size: the number of words, 0 for null."""
-    return docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.expr(f"regexp_count({text}, r'{WORD}')"), F.lit(0)).cast("long").alias("size"))
+def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", tie: str | None = None) -> DataFrame:
+    """key, source, tie (orders rows of one key and size), size: the number of words, 0 for null."""
+    return docs.select(F.col(key).alias("key"), F.col(source).alias("source"), (F.col(tie) if tie else F.lit(0).cast("long")).alias("tie"), F.coalesce(F.expr(f"regexp_count({text}, r'{WORD}')"), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -98,7 +98,7 @@ def _in_interval(points: DataFrame, at: str, spans: DataFrame, start: str, lengt
 
 
 def plan(sources: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
-    """The mix: shard, sid, nth (of the source's slots), block, words (of the block, from its start). sources: of targets()."""
+    """The mix: shard, sid, nth (of the source's slots), turn (pass over the source), block, words (of the block, from its start)."""
     spark = sources.sparkSession
     total, n = sources.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.count(F.lit(1))).first()
     slot = spark.range(total).select(F.col("id"), F.floor(F.col("id") / slots).alias("shard"), F.expr(f"({prf('id', '11')} * {_P} + {prf('id', '23')}) % {max(1, total)}").alias("ticket"))
@@ -126,7 +126,7 @@ def plan(sources: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> DataFram
     whole = F.when(last, F.col("size") - F.col("j") * block).otherwise(F.lit(block))
     words = F.when((F.col("turn") == F.col("full")) & (F.col("rest") - F.col("j") * block < block), F.col("rest") - F.col("j") * block).otherwise(whole)
     # written here: a condition on the index must not be pushed through the steps, each of which would repeat the one before
-    return saved(out.select("shard", "sid", "nth", index.cast("long").alias("block"), words.cast("long").alias("words")), "plan")
+    return saved(out.select("shard", "sid", "nth", "turn", index.cast("long").alias("block"), words.cast("long").alias("words")), "plan")
 
 
 def _placed(rows: DataFrame, sources: DataFrame, n_sources: int, total: int) -> DataFrame:
@@ -141,16 +141,16 @@ def _placed(rows: DataFrame, sources: DataFrame, n_sources: int, total: int) ->
     known = known.withColumn("run", F.pmod(F.coalesce(F.col("key").cast("long"), F.lit(0)), F.lit(runs)))
     sums = known.groupBy("sid", "run").agg(F.sum("size").alias("in_run"))
     sums = sums.withColumn("run_from", F.coalesce(F.sum("in_run").over(Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("in_run")
-    inside = Window.partitionBy("sid", "run").orderBy(F.col("key").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sid", "run").orderBy(F.col("key").asc_nulls_first(), "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     return known.withColumn("in_front", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, ["sid", "run"]).withColumn("start", F.col("run_from") + F.col("in_front"))
 
 
-def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
-    """key, size, source_size, target, sid, start, block, shard, nth, take: each use that the mix makes of a document's words.
+def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, slots: int = SLOTS, tie: str | None = None) -> DataFrame:
+    """key, tie, size, source_size, target, sid, start, block, shard, nth, turn, begin, take: each use that the mix makes of a document's words.
 
     A document that the mix doesn't use has one row with null nth and take 0. Documents without words have start null.
     """
-    rows = saved(sized(docs, key, text, source), "sized")
+    rows = saved(sized(docs, key, text, source, tie), "sized")
     sources = saved(targets(rows, block), "sources")
     n_sources, total = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     placed = _placed(rows, sources, n_sources, total)
@@ -159,7 +159,8 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     joined = parts.join(plan(sources, block, slots), ["sid", "block"], "left")
     begin, end = F.greatest(F.col("start") - F.col("block") * block, F.lit(0)), F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
     take = F.coalesce(F.greatest(F.least(end, F.coalesce(F.col("words"), F.lit(0))) - begin, F.lit(0)), F.lit(0)).cast("long")
-    return joined.select("key", "size", "source_size", "target", "sid", "start", "block", "shard", "nth", take.alias("take"))
+    first_word = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
+    return joined.select("key", "tie", "size", "source_size", "target", "sid", "start", "block", "shard", "nth", "turn", first_word.alias("begin"), take.alias("take"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
@@ -176,6 +177,23 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return rows.select(F.col("key").alias(key), "size", "source_size", "target", "taken")
 
 
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", chars: str = "n_chars", block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each time that a document is taken whole, or for each part of it.
+
+    A part's text is the taken words with the white space after each; chars, if docs has it, is the length of the text given.
+    Documents that the mix doesn't take go.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    used = pieces(docs.withColumn("_h", F.xxhash64(body)), key, text, source, block, slots, tie="_h").filter("take > 0")
+    per = used.groupBy("key", "tie", "sid", "start", "size", "turn").agg(F.sum("take").alias("got"), F.collect_list(F.struct("begin", "take")).alias("parts"))
+    rows = per.select("key", "tie", F.explode(F.when(F.col("got") == F.col("size"), F.array(F.struct(F.lit(-1).cast("long").alias("begin"), F.col("size").alias("take")))).otherwise(F.col("parts"))).alias("part"))
+    texts = docs.withColumn("_h", F.xxhash64(body)).dropDuplicates([key, "_h"])
+    joined = texts.join(rows, (texts["_h"] == rows["tie"]) & texts[key].eqNullSafe(rows["key"]))
+    words = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1), (F.col("part.begin") + 1).cast("int"), F.col("part.take").cast("int")), "")
+    out = joined.withColumn("_text", F.when(F.col("part.begin") < 0, F.col(text)).otherwise(words))
+    return out.select(*[F.col("_text").alias(text) if c == text else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == chars else texts[c] for c in docs.columns])
+
+
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     """How many words the mix of all documents takes of each."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -259,6 +259,18 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     return out.select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component, that of the smallest key; all columns stay."""
+    groups = saved(near_groups(docs, key, text), "near")
+    gone = groups.filter(f"`{key}` <> component_id").select(key).distinct()
+    kept = docs.join(gone, key, "left_anti").select(docs.columns)
+    repeated = saved(groups.groupBy(key).count().filter("count > 1").select(key), "repeated")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, kept[key].eqNullSafe(repeated[key]), "left_semi").dropDuplicates([key, text])
+    return kept.join(repeated, kept[key].eqNullSafe(repeated[key]), "left_anti").unionByName(once)
+
+
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
