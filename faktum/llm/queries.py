@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from faktum.llm import bpe, exact_dedup, langid, mixing, ngram_join, sharding
+from faktum.llm import bpe, exact_dedup, langid, mixing, ngram_join, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
     "op4_bpe": bpe.op4_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,

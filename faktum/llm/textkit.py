@@ -59,7 +59,15 @@ class Words:
         self.first = np.searchsorted(self.starts, self.text_starts)
         total = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power(len(buf)), out=total[1:])
-        self.h = mix((total[self.ends] - total[self.starts]) * power(len(buf), "down")[self.starts])
+        self._total = total
+        self.h = self._hash(self.ends)
+
+    def _hash(self, ends: np.ndarray) -> np.ndarray:
+        return mix((self._total[ends] - self._total[self.starts]) * power(len(self.buf), "down")[self.starts])
+
+    def prefixes(self, size: int) -> np.ndarray:
+        """Hashes of the words' first bytes, at most size of them."""
+        return self._hash(np.minimum(self.ends, self.starts + size))
 
 
 def shingles(h: np.ndarray, width: int) -> np.ndarray:
