@@ -226,3 +226,84 @@ query("event_session", "WITH x AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INT
 def _(s, d):
     m = _docs(s, d).select("doc_id", (F.col("doc_id") * 7 % 1000).alias("mtime"), F.col("n_chars").alias("size"))
     return S.changes(m.filter("doc_id % 11 <> 0"), m.filter("doc_id % 13 <> 0").withColumn("size", F.col("size") + (F.col("doc_id") % 10 == 0).cast("int")), "doc_id", ["mtime", "size"])
+
+
+# evidence, verification and resolution
+from faktum.operators import evidence as E  # noqa: E402
+from faktum.operators import resolve as R  # noqa: E402
+from faktum.operators import verify as V  # noqa: E402
+
+_FACT = f"WITH RECURSIVE fact AS ({P.FACT})"
+
+
+@query("facts_by_category", f"{_FACT} SELECT category, primitive, kind, count(*) AS n, count(DISTINCT function_id) AS functions FROM fact GROUP BY 1, 2, 3", plain=True)
+def _(s, d):
+    return P.facts(s, d).groupBy("category", "primitive", "kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("function_id").alias("functions"))
+
+
+def _evidence(name: str, group: str, sql: str) -> None:
+    query(name, f"{_FACT} {sql}", plain=True)(lambda s, d: E.evidence(P.facts(s, d), group=group).select("rule", "function", "facts", "items", "confidence", "symbol"))
+
+
+_evidence("evidence_collect", "error", "SELECT 'bare_except_collect' AS rule, NULL::BIGINT AS function, count(*) AS facts, count(*) AS items, min(confidence)::DOUBLE AS confidence, arg_min(symbol, id) AS symbol FROM fact WHERE kind = 'suppression'")
+_evidence("evidence_missing_match", "concurrency", "SELECT 'mutex_without_unlock' AS rule, NULL::BIGINT AS function, count(*) AS facts, count(*) AS items, min(confidence)::DOUBLE AS confidence, arg_min(symbol, id) AS symbol FROM fact WHERE kind = 'lock' AND function_id NOT IN (SELECT function_id FROM fact WHERE kind = 'defer_unlock')")
+_evidence("evidence_missing_per_function", "memory", "SELECT 'cstring_leak' AS rule, function_id AS function, count(*) AS facts, count(*) AS items, min(confidence)::DOUBLE AS confidence, arg_min(symbol, id) AS symbol FROM fact WHERE kind = 'alloc' AND function_id NOT IN (SELECT function_id FROM fact WHERE kind = 'free') GROUP BY function_id")
+
+
+@query("evidence_count", f"{_FACT} SELECT 'lock_count' AS rule, count(*) AS facts, 0 AS items, 1.0::DOUBLE AS confidence FROM fact WHERE kind = 'lock'", plain=True)
+def _(s, d):
+    return E.evidence(P.facts(s, d), (E.Rule("x", "lock_count", ("sync/mutex/lock",), "count"),)).select("rule", "facts", "items", "confidence")
+
+
+_VALUES = [("main",), ("Supplier",), ("red_bolt",), ("SmallBolt",), ("zzzz",), ("Run",)]
+_MATCH = """, s AS (SELECT unnest(['main', 'Supplier', 'red_bolt', 'SmallBolt', 'zzzz', 'Run']) AS subject), live AS (SELECT id, lower(name) AS low FROM entity WHERE visibility = 1 OR id IN (SELECT target_id FROM relation WHERE type = 1)),
+f AS (SELECT DISTINCT id, unnest([low, replace(low, '_', ''), CASE WHEN instr(low, '_') > 0 THEN replace(substr(low, instr(low, '_') + 1), '_', '') ELSE '' END]) AS form FROM live), q AS (SELECT DISTINCT subject, unnest([lower(subject), replace(lower(subject), '_', '')]) AS ask FROM s),
+m AS (SELECT DISTINCT subject, id FROM q JOIN f ON form <> '' AND (form = ask OR (length(form) >= 4 AND length(ask) >= 4 AND (starts_with(form, ask) OR starts_with(ask, form))))) """
+over_graph("capability_matcher", lambda e, r: V.implementing(e.sparkSession.createDataFrame(_VALUES, "subject string"), e, r), _MATCH + "SELECT subject, id FROM m")
+over_graph("capability_verdicts", lambda e, r: V.capability_verdicts(e.sparkSession.createDataFrame(_VALUES, "subject string"), e.sparkSession.createDataFrame([("Mainline",), ("RunFast",), ("zzzz top",)], "name string"), e, r), _MATCH + ", c AS (SELECT unnest(['mainline', 'runfast', 'zzzz top']) AS d), x AS (SELECT subject, EXISTS (SELECT 1 FROM c WHERE starts_with(d, lower(subject))) AS declared, subject IN (SELECT subject FROM m) AS built FROM s) SELECT subject, CASE WHEN declared AND built THEN 'Supported' ELSE 'Contradicted' END AS verdict, CASE WHEN NOT declared THEN 0.9 WHEN NOT built THEN 0.7 ELSE 0.85 END::DOUBLE AS confidence FROM x")
+over_graph("capability_drift", lambda e, r: V.capability_drift(e.sparkSession.createDataFrame(_VALUES, "name string"), e, r), _MATCH + "SELECT subject FROM s WHERE subject NOT IN (SELECT subject FROM m)")
+_LAYER = "SELECT *, CASE WHEN p_x % 3 = 0 THEN name || 'Controller' WHEN p_x % 3 = 1 THEN name || 'Service' ELSE name || 'Repo' END AS n2 FROM (SELECT *, id % 7 AS p_x FROM entity)"
+over_graph("architecture_drift", lambda e, r: V.layer_drift(e.withColumn("name", F.concat("name", F.element_at(F.array(F.lit("Controller"), F.lit("Service"), F.lit("Repo")), (F.col("id") % 7 % 3 + 1).cast("int")))), r), f", l AS (SELECT id, p_x % 3 AS layer FROM ({_LAYER})) SELECT source_id, target_id, CASE WHEN s.layer > t.layer THEN 'reverse call' ELSE 'same-layer bypass' END AS violation FROM relation JOIN l s ON s.id = source_id JOIN l t ON t.id = target_id WHERE type = 1 AND source_id <> target_id AND (s.layer > t.layer OR (s.layer = 0 AND t.layer = 0)) ORDER BY 1, 2 LIMIT 100")
+over_graph("dead_modules", lambda e, r: V.dead_modules(e, r), ", scope AS (SELECT DISTINCT module_path AS name FROM entity), m AS (SELECT s.name, e.id FROM scope s JOIN entity e ON starts_with(lower(e.file_path), lower(s.name))) SELECT name, count(*) AS entities FROM m WHERE name NOT IN (SELECT m.name FROM relation JOIN m ON m.id = target_id WHERE NOT EXISTS (SELECT 1 FROM m k WHERE k.name = m.name AND k.id = source_id)) GROUP BY name HAVING count(*) >= 10 ORDER BY name LIMIT 500")
+query("project_state_score", f"{P.WITH}, fact AS ({P.FACT}), n AS (SELECT (SELECT count(*) FROM fact WHERE kind = 'lock' AND function_id NOT IN (SELECT function_id FROM fact WHERE kind = 'defer_unlock')) AS sync, (SELECT count(*) FROM fact WHERE kind = 'alloc' AND function_id NOT IN (SELECT function_id FROM fact WHERE kind = 'free')) AS memory, (SELECT count(*) FROM fact WHERE kind = 'suppression') AS error, 0 AS pattern, 0 AS ffi, 0 AS architecture, (SELECT count(*) FROM entity WHERE kind IN (0, 1) AND visibility <> 1 AND name NOT IN ('main','Main','run','Run','start','Start','init','Init','setup','Setup') AND id NOT IN (SELECT source_id FROM relation UNION SELECT target_id FROM relation)) AS dead, (SELECT count(*) FROM entity) AS entities) SELECT *, greatest(0, least(1, round(1 - .05 * sync - .1 * memory - .04 * error - .005 * dead, 6)))::DOUBLE AS confidence, 1.0::DOUBLE AS architecture_score, round(dead / greatest(entities, 1), 6) AS dead_share FROM n", plain=True)(lambda s, d: (lambda e, r: V.project_state(E.items(P.facts(s, d)), 0, V.dead_functions(e, r), e))(*P.graph(s, d)))
+
+
+@query("claim_extract", "SELECT * FROM (VALUES (1, 'supported_by', 'FastSearch', ''), (2, 'should', 'Parser', 'reject bad input'), (3, 'contract', 'threadsafe', ''), (4, 'follows', 'Controller', 'Service>Repository'), (6, 'has', 'Cache', '')) t(id, predicate, subject, object)", plain=True)
+def _(s, d):
+    rows = [(1, "It supports fast search, and more."), (2, "Parser should reject bad input."), (3, "The queue is thread-safe."), (4, "Controller -> Service -> Repository"), (5, "It never supports magic."), (6, "The store has a cache.")]
+    return V.claims(s.createDataFrame(rows, "id int, text string"))
+
+
+@query("claims_in_documents")
+def _(s, d):
+    return V.claims(_docs(s, d).select(F.col("doc_id").alias("id"), "text"))
+
+
+@query("documentation_drift", "SELECT unnest(['javascript']) AS language", plain=True)
+def _(s, d):
+    docs = s.createDataFrame([("Written in Go and Rust, with JavaScript. ```python\nkotlin\n```",)], "content string")
+    return V.documentation_drift(docs, P.entity(s, d))
+
+
+_CANDS = f""", rf AS ({P.REFERENCE}), imp AS (SELECT DISTINCT s.file_path, t.module_path AS module FROM relation JOIN entity s ON s.id = source_id JOIN entity t ON t.id = target_id WHERE type = 1 AND (source_id + target_id) % 4 = 0),
+fam AS (SELECT *, CASE WHEN language IN ('c','cpp','c++') THEN 'c' WHEN language IN ('javascript','typescript','tsx','jsx') THEN 'js' ELSE language END AS f FROM entity),
+cnt AS (SELECT name, count(*) AS n FROM entity WHERE kind IN (0, 1, 2, 3, 4) GROUP BY name HAVING count(*) <= 50),
+cand AS (SELECT rf.*, e.id, e.kind, e.qualified_name AS qname, e.file_path AS file, e.module_path AS module, e.language AS lang, e.arity AS c_arity, c.file_path AS from_file, c.module_path AS from_module, i.module IS NOT NULL AS imported
+ FROM rf JOIN cnt USING (name) JOIN fam c ON c.id = rf.caller_id JOIN fam e ON e.name = rf.name AND e.kind IN (0, 1, 2, 3, 4) AND e.id <> rf.caller_id AND e.f = c.f LEFT JOIN imp i ON i.file_path = c.file_path AND i.module = e.module_path
+ WHERE NOT (e.language = 'go' AND regexp_matches(e.name, '^[a-z]') AND e.module_path <> c.module_path) AND NOT (e.language = 'python' AND starts_with(e.name, '_') AND e.file_path <> c.file_path)),
+sc AS (SELECT *, CASE WHEN module = from_module THEN 1.0 WHEN regexp_extract(module, '^(.*/)[^/]+/$', 1) = regexp_extract(from_module, '^(.*/)[^/]+/$', 1) THEN 0.5 ELSE 0.0 END AS m FROM cand),
+pt AS (SELECT *, .15 * m AS v0, .8 * (CASE WHEN module = from_module OR imported THEN 1.0 ELSE 0.0 END) AS v1, .1 * m AS v2, .1 * (CASE WHEN arity = 0 AND c_arity = 0 THEN .5 WHEN arity = c_arity THEN 1.0 WHEN c_arity = 0 THEN .5 ELSE -.5 END) AS v3, .05 * (CASE WHEN file = from_file THEN 1.0 WHEN module = from_module THEN .3 ELSE 0.0 END) AS v4, .1 * (CASE WHEN kind IN (2, 3) THEN 1.0 ELSE 0.0 END) AS v5,
+ .15 * (CASE WHEN receiver_type = '' THEN .5 WHEN starts_with(qname, receiver_type || '.') THEN 1.0 WHEN contains(qname, receiver_type) THEN .5 WHEN contains(lower(file), lower(receiver_type)) THEN .2 ELSE 0.0 END) AS v6, .1 * (CASE WHEN name IN ('get','set','init','new','run','start','stop','close','open','read','write','main') AND module <> from_module THEN -.25 ELSE 0.0 END) AS v7, CASE WHEN call_kind = 0 THEN 0.0 ELSE .15 * (CASE call_kind WHEN 3 THEN .3 WHEN 2 THEN -.3 ELSE -.1 END) END AS v8, .2 AS v9 FROM sc),
+fin AS (SELECT *, round(((v0 + v1 + v2 + v3 + v4 + v5 + v6 + v7 + v8 + v9) / (CASE WHEN call_kind = 0 THEN 1.75 ELSE 1.9 END))::DOUBLE, 5) AS score FROM pt) """
+
+
+def _candidates(s: SparkSession, d: str) -> DataFrame:
+    refs = P.reference(s, d)
+    e, r = P.graph(s, d)
+    imports = L.with_ends(e, r.filter("type = 1 AND (source_id + target_id) % 4 = 0")).select(F.col("source_file_path").alias("file_path"), F.col("target_module_path").alias("module"))
+    return R.scored(R.candidates(refs, e, imports))
+
+
+query("resolver_scores", f"{P.WITH} {_CANDS} SELECT ref_id, id, score FROM fin", plain=True)(lambda s, d: _candidates(s, d).select("ref_id", "id", F.round("score", 5).alias("score")))
+query("resolver_edges")(lambda s, d: R.edges(R.resolved(_candidates(s, d))))
+over_entity("fuzzy_match_tiers", lambda e: R.fuzzy(e.sparkSession.createDataFrame([("MAIN",), ("small",), ("_bolt",), ("zzz",), ("supplier#0000",)], "name string"), e), """, q AS (SELECT unnest(['MAIN', 'small', '_bolt', 'zzz', 'supplier#0000']) AS name), h AS (SELECT q.name, e.id, CASE WHEN lower(e.name) = lower(q.name) THEN 1 WHEN length(q.name) >= 3 AND starts_with(lower(e.name), lower(q.name)) THEN 2 WHEN length(q.name) >= 3 AND ends_with(lower(e.name), lower(q.name)) THEN 3 END AS tier FROM q JOIN entity e ON TRUE), b AS (SELECT *, min(tier) OVER (PARTITION BY name) AS best FROM h WHERE tier IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS n FROM b WHERE tier = best) SELECT name, min(tier) AS tier, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM r WHERE n <= 5 GROUP BY name""")
