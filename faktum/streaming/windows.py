@@ -12,7 +12,7 @@ def _summed(df: DataFrame, window: Column, *keys: str, ts: str) -> DataFrame:
 
 
 def late(df: DataFrame, ts: str, delay: str | None) -> DataFrame:
-    return df.withWatermark(ts, delay) if delay and df.isStreaming else df
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay) if delay and df.isStreaming else df
 
 
 def tumbling(df: DataFrame, size: str = "1 hour", ts: str = "ts", delay: str | None = "10 minutes") -> DataFrame:
