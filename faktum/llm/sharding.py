@@ -24,8 +24,9 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text:
     slim = docs.select(F.col(key).alias("_key"), F.octet_length(body).cast("long").alias("weight"), extendible.hash60(name).alias("h1"), extendible.hash60(F.concat_ws("\x01", name, body)).alias("h2"))
     copies = slim.groupBy("_key", "weight", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
     rows = copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).withColumn("h3", extendible.hash60(F.concat_ws("\x01", F.col("h2").cast("string"), F.col("copy").cast("string"))))
-    out = extendible.assign(rows, limit, keep=["_key", "weight", "h2", "copy"])
-    return out.select(F.col("_key").alias(key), F.col("weight").alias("n_bytes"), F.col("bucket").alias("shard"), F.col("depth").cast("int").alias("depth"), F.col("bucket_weight").alias("shard_bytes"), (F.col("bucket_weight") > limit).alias("oversize"), F.col("h2").alias("_h2"), F.col("copy").alias("_copy"))
+    named = rows.withColumn("_bytes", F.col("weight")).withColumn("_h2", F.col("h2")).withColumn("_copy", F.col("copy"))
+    out = extendible.assign(named, limit, keep=["_key", "_bytes", "_h2", "_copy"])
+    return out.select(F.col("_key").alias(key), F.col("_bytes").alias("n_bytes"), F.col("bucket").alias("shard"), F.col("depth").cast("int").alias("depth"), F.col("bucket_weight").alias("shard_bytes"), (F.col("bucket_weight") > limit).alias("oversize"), "_h2", "_copy")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> None:
