@@ -37,7 +37,7 @@ def _parent(path: Column) -> Column:
 
 
 def scored(cands: DataFrame) -> DataFrame:
-    """Candidates with the score of each factor, their weighted mean, and the factor that decides (the first of the largest)."""
+    """Candidates with their points (thousandths, whole), their weighted mean, and the factor that decides (the first of the largest)."""
     c = F.col
     same = c("module") == c("from_module")
     module = F.when(same, 1.0).when(_parent(c("module")) == _parent(c("from_module")), 0.5).otherwise(0.0)
@@ -56,9 +56,9 @@ def scored(cands: DataFrame) -> DataFrame:
     }
     counts = lambda k: F.when(c("call_kind") == 0, 0.0).otherwise(WEIGHTS[k]) if k == "call_kind" else F.lit(WEIGHTS[k])
     total = sum((counts(k) for k in WEIGHTS), F.lit(0.0))
-    mean = sum((counts(k) * score[k] for k in WEIGHTS), F.lit(0.0)) / total
+    points = sum((counts(k) * score[k] for k in WEIGHTS), F.lit(0.0))
     ranked = F.array(*[F.struct((counts(k) * score[k]).alias("v"), F.lit(-i).alias("at"), F.lit(k).alias("name")) for i, k in enumerate(WEIGHTS)])
-    return cands.withColumn("score", F.round(mean, 6)).withColumn("factor", F.array_max(ranked)["name"])
+    return cands.withColumn("points", F.round(1000 * points).cast("long")).withColumn("score", F.round(points / total, 6)).withColumn("factor", F.array_max(ranked)["name"])
 
 
 def resolved(scores: DataFrame) -> DataFrame:
