@@ -22,6 +22,8 @@ from faktum.llm.textkit import Words, grouped, mix, power
 SAMPLE_DOCS, LANGUAGES = 200, 64
 #: Sizes of the n-gram tables and of the lexicon; n-gram lengths; gradient steps.
 GRAMS, LEXICON, LENGTHS, STEPS = 1 << 16, 1 << 17, (2, 3, 4), 12
+#: Texts that are worked on together when learning.
+TOGETHER = 100
 #: Words of a chain: longer texts are several chains, one after the other.
 CHAIN = 256
 UNKNOWN = "und"
@@ -113,6 +115,38 @@ def forward_backward(evidence: np.ndarray, moves: np.ndarray, begin: np.ndarray,
     return marginals, pairs, log_z
 
 
+class Part:
+    """Some of the texts that are learned from; their words' right labels."""
+
+    def __init__(self, texts: list[bytes], labels: list[int], n: int) -> None:
+        self.f = f = Features(texts)
+        f.words._total = None
+        f.grams = [g.astype(np.int32) for g in f.grams]
+        self.n = n
+        self.begin, self.length = f.chains()
+        self.gold = np.repeat(np.array(labels, np.int64), np.diff(f.words.first))
+        inner = np.ones(len(self.gold), bool)
+        inner[self.begin] = False
+        self.moved = np.diag(np.bincount(self.gold[inner], minlength=n)).astype(float)
+
+    def gradient(self, model: dict, weigh: np.ndarray, bias: np.ndarray, moves: np.ndarray, lexicon: np.ndarray, grams: list[np.ndarray]) -> None:
+        """Adds the slope of the log likelihood of the right labels to bias, moves, lexicon and grams."""
+        f, n = self.f, self.n
+        p, pairs, _ = forward_backward(f.evidence(model), model["moves"], self.begin, self.length, learning=True)
+        off = (np.eye(n)[self.gold] - p) * weigh[self.gold][:, None]
+        bias += off.sum(0)
+        moves += self.moved - pairs
+        for j in range(n):
+            lexicon[:, j] += np.bincount(f.lexicon, off[:, j], LEXICON)
+        for change, slots, (first, last) in zip(grams, f.grams, f.spans, strict=True):
+            last = np.minimum(last, len(slots))
+            first = np.minimum(first, last)
+            size = len(slots) + 1
+            for j in range(n):
+                each = np.cumsum(np.bincount(first, off[:, j], size) - np.bincount(last, off[:, j], size))[:-1]
+                change[:, j] += np.bincount(slots, each, GRAMS)
+
+
 def fit(texts: list[bytes], labels: list[str], steps: int = STEPS) -> dict:
     """The model learned from texts whose every word is taken to be in the text's language."""
     names = sorted(set(labels))
@@ -120,33 +154,25 @@ def fit(texts: list[bytes], labels: list[str], steps: int = STEPS) -> dict:
     model = {"names": names, "bias": np.zeros(n, np.float32), "lexicon": np.zeros((LEXICON, n), np.float32), "grams": [np.zeros((GRAMS, n), np.float32) for _ in LENGTHS], "moves": np.zeros((n, n), np.float32)}
     if n < 2:
         return model
-    f = Features(texts)
-    begin, length = f.chains()
-    gold = np.repeat(np.array([names.index(x) for x in labels]), np.diff(f.words.first))
-    hot = np.eye(n)[gold]
-    inner = np.ones(len(gold), bool)
-    inner[begin] = False
-    moved = np.bincount(gold[inner] * n + gold[inner], minlength=n * n).reshape(n, n)
-    squares: dict = {}
+    parts = [Part(texts[i : i + TOGETHER], [names.index(x) for x in labels[i : i + TOGETHER]], n) for i in range(0, len(texts), TOGETHER)]
+    held = sum(np.bincount(p.gold, minlength=n) for p in parts)
     # each language counts alike, however many of its words the sample holds
-    weigh = (len(gold) / n / np.maximum(np.bincount(gold, minlength=n), 1))[gold][:, None]
+    weigh = held.sum() / n / np.maximum(held, 1)
+    squares: dict = {}
 
     def move(name: str, table: np.ndarray, gradient: np.ndarray, rate: float) -> None:
         squares[name] = squares.get(name, 0) + gradient**2
         table += (rate * gradient / np.sqrt(squares[name] + 1e-8) - 1e-4 * table).astype(np.float32)
 
     for _ in range(steps):
-        p, pairs, _ = forward_backward(f.evidence(model), model["moves"], begin, length, learning=True)
-        off = (hot - p) * weigh
-        move("bias", model["bias"], off.sum(0), 0.05)
-        move("moves", model["moves"], moved - pairs, 0.1)
-        move("lexicon", model["lexicon"], np.stack([np.bincount(f.lexicon, off[:, j], LEXICON) for j in range(n)], 1), 0.2)
-        for g, (slots, (first, last)) in enumerate(zip(f.grams, f.spans, strict=True)):
-            last = np.minimum(last, len(slots))
-            first = np.minimum(first, last)
-            size = len(slots) + 1
-            each = [np.cumsum(np.bincount(first, off[:, j], size) - np.bincount(last, off[:, j], size))[:-1] for j in range(n)]
-            move(f"grams{g}", model["grams"][g], np.stack([np.bincount(slots, x, GRAMS) for x in each], 1), 0.2)
+        bias, moves, lexicon, grams = np.zeros(n), np.zeros((n, n)), np.zeros((LEXICON, n)), [np.zeros((GRAMS, n)) for _ in LENGTHS]
+        for p in parts:
+            p.gradient(model, weigh, bias, moves, lexicon, grams)
+        move("bias", model["bias"], bias, 0.05)
+        move("moves", model["moves"], moves, 0.1)
+        move("lexicon", model["lexicon"], lexicon, 0.2)
+        for g, change in enumerate(grams):
+            move(f"grams{g}", model["grams"][g], change, 0.2)
     return model
 
 
