@@ -9,9 +9,9 @@ fewest elements (ties by value): the order is the same for all sets, so the best
 signatures of no or few elements, which many sets share by chance, mostly are.
 
 Sets that are equal are one class. Owners of signature ranges find the classes that share a signature. These are first
-linked with a leader of their group; what a group then still has in several components is compared across components, after
-a bound from a sketch. So a group of near copies costs as many comparisons as it has members, and no link between
-components is lost. Each comparison is made on the whole sets.
+linked with a leader of their group; what a group then still has in several components is compared across components, as
+far as a bound from sketches allows, the likeliest pairs first. So a group of near copies costs about as many comparisons
+as it has members, and no link between components is lost. Each comparison is made on the whole sets.
 """
 
 from __future__ import annotations
@@ -29,8 +29,12 @@ from faktum.llm.textkit import Words, grouped, mix, shingles
 WIDTH, PERCENT, GROWTH, N2, K2, SPARE = 5, 80, 1.25, 3, 1, 0.1
 #: Signatures that a task gathers before it sends them to their owners.
 GATHERED = 1 << 20
+#: Pairs of a class with a part of a component that are tried before all the others.
+BEST = 3
+#: Members of a component that one task compares with.
+COMPARED = 4096
 #: Bits of the sketch that bounds the difference of two sets from below.
-SKETCH = 256
+SKETCH = 2048
 #: Classes that a task remembers, so as not to send the signatures of copies again.
 REMEMBERED = 1 << 18
 
@@ -87,10 +91,10 @@ def signatures(own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def sketch(own: np.ndarray) -> np.ndarray:
+def sketch(own: np.ndarray) -> bytes:
     """Parities of the counts of elements by hash; two sketches differ in at most as many bits as the sets in elements."""
     odd = np.bincount((mix(own) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -148,7 +152,7 @@ def _sent(docs: DataFrame, text: str, owners: int, width: int, percent: int) ->
 
 
 def _groups(table: pa.Table, percent: int) -> pa.Table:
-    """Of an owner: each distinct group of classes that share a signature, and the pairs of its members with their leaders."""
+    """Of an owner: the groups of classes that share a signature, but for those within another group, with each member's leader."""
     parts = []
     for blob in table.column("blob").to_pylist():
         n = int(np.frombuffer(blob, np.int64, 1)[0])
@@ -167,8 +171,14 @@ def _groups(table: pa.Table, percent: int) -> pa.Table:
     begin, length, name = begin[length > 1], length[length > 1], mix(name[length > 1])
     _, first = np.unique(name, return_index=True)
     bids, members, sizes, leaders = [], [], [], []
-    for i in first.tolist():
+    holds: dict[int, set[int]] = {}  # of each class, the groups kept so far that it is in
+    for i in first[np.argsort(-length[first], kind="stable")].tolist():
         a, b = begin[i], begin[i] + length[i]
+        who = cls[a:b].tolist()
+        if set.intersection(*(holds.get(c, set()) for c in sorted(who, key=lambda c: len(holds.get(c, ()))))):
+            continue  # all its members are together in a larger group
+        for c in who:
+            holds.setdefault(c, set()).add(i)
         own = size[a:b]
         lead, at = np.zeros(len(own), np.int64), 0
         while at < len(own):  # sizes ascend: a leader serves all that aren't too large for it
@@ -190,23 +200,72 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
 
-def _across(batches, percent: int):
-    """Of groups with members in several components: pairs between these that sizes and sketches allow, without those compared before."""
+def _bits(rows: list) -> np.ndarray:
+    return np.frombuffer(b"".join(x["sketch"] for x in rows), np.uint64).reshape(len(rows), SKETCH // 64)
+
+
+def _allowed(one: dict, bits: np.ndarray, size: np.ndarray, others: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the others sizes and sketches allow to be similar enough, and how many bits apart they are at least."""
+    n = one["size"]
+    fits = np.flatnonzero((size * percent <= n * 100) & (n * percent <= size * 100))
+    apart = np.bitwise_count(others[fits] ^ bits).sum(1, dtype=np.int64)
+    ok = apart * (100 + percent) <= (size[fits] + n) * (100 - percent)
+    return fits[ok], apart[ok]
+
+
+def _pair_rows(a: list[int], b: list[int]) -> pa.RecordBatch:
+    x, y = np.array(a, np.int64), np.array(b, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+
+def _among(batches, percent: int):
+    """Of each group's members outside its main component: pairs between components that sizes and sketches allow."""
     for batch in batches:
         for row in batch.to_pylist():
-            who = sorted(row["who"], key=lambda x: (x["size"], x["cls"]))
-            cls, size, root = (np.array([x[k] for x in who], np.int64) for k in ("cls", "size", "root"))
-            lead = np.array([x["lead"] for x in who], np.int64)
-            bits = np.array([x["sketch"] for x in who], np.int64).view(np.uint64)
-            for i in range(len(who) - 1):
-                last = int(np.searchsorted(size, size[i] * 100 // percent, side="right"))
-                j = np.arange(i + 1, last)
-                j = j[(root[j] != root[i]) & (lead[j] != cls[i]) & (lead[i] != cls[j])]
+            who = row["who"]
+            bits, size, root = _bits(who), np.array([x["size"] for x in who], np.int64), np.array([x["root"] for x in who], np.int64)
+            for i, x in enumerate(who[:-1]):
+                j, _ = _allowed(x, bits[i], size[i + 1 :], bits[i + 1 :], percent)
+                j = j[root[j + i + 1] != root[i]] + i + 1
                 if len(j):
-                    apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-                    j = j[apart * (100 + percent) <= (size[j] + size[i]) * (100 - percent)]
+                    yield _pair_rows([x["cls"]] * len(j), [who[k]["cls"] for k in j.tolist()])
+
+
+def _asked(batches, percent: int, best: int | None):
+    """Of members of a component and classes that share a signature with some of it: the pairs that sizes and sketches allow, or the best of them."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            members, askers = row["members"], row["askers"]
+            bits, size, own = _bits(members), np.array([x["size"] for x in members], np.int64), _bits(askers)
+            for i, x in enumerate(askers):
+                j, apart = _allowed(x, own[i], size, bits, percent)
+                if best is not None:
+                    j = j[np.lexsort((j, apart))[:best]]
                 if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[j], cls[i])), pa.array(np.maximum(cls[j], cls[i]))], ["a", "b"])
+                    yield _pair_rows([x["cls"]] * len(j), [members[k]["cls"] for k in j.tolist()])
+
+
+def _open_pairs(each: DataFrame, links: DataFrame, sets: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """Pairs of classes that share a signature and aren't in one component yet, as far as they may be similar enough.
+
+    A group's members outside its main component are compared among themselves, and with the main component as a whole: once,
+    however many groups they share with it, and with so many of its members in a task.
+    """
+    roots = saved(connected(links), "roots")
+    placed = each.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    counts = placed.groupBy("bid", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("bid").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("bid", "main", "roots")
+    outside = saved(placed.join(main, "bid").filter("root <> main").select("bid", "cls", "size", "root", "main", "roots"), "outside")
+    bits = sets.select("cls", "sketch")
+    among = outside.filter("roots > 2").join(bits, "cls").groupBy("bid").agg(F.sort_array(F.collect_list(F.struct("cls", "size", "root", "sketch"))).alias("who"))
+    ask = outside.select("cls", "size", F.col("main").alias("root")).distinct()
+    known = sets.select("cls", "sketch", F.size("elements").cast("long").alias("size")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    wanted = known.join(ask.select("root").distinct(), "root", "left_semi")
+    parts = wanted.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / COMPARED).alias("parts"))
+    members = wanted.join(parts, "root").groupBy("root", F.pmod("cls", "parts").alias("part")).agg(F.collect_list(F.struct("cls", "size", "sketch")).alias("members"))
+    askers = ask.join(bits, "cls").withColumn("slice", F.pmod("cls", F.lit(64))).groupBy("root", "slice").agg(F.collect_list(F.struct("cls", "size", "sketch")).alias("askers"))
+    met = members.join(askers, "root").select("members", "askers")
+    return among.select("who").mapInArrow(lambda b: _among(b, percent), "a long, b long").unionByName(met.mapInArrow(lambda b: _asked(b, percent, best), "a long, b long")).distinct()
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -227,19 +286,18 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         for part, texts in grouped(batches, text):
             own = document_sets(texts, width)
             fits = [i for i, x in enumerate(own) if len(x) and class_of(x) == part.column(0)[i].as_py()]
-            yield pa.RecordBatch.from_arrays([pa.array([part.column(0)[i].as_py() for i in fits], pa.int64()), pa.array([own[i].view(np.int64) for i in fits], pa.list_(pa.int64())), pa.array([sketch(own[i]) for i in fits], pa.list_(pa.int64()))], ["cls", "elements", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array([part.column(0)[i].as_py() for i in fits], pa.int64()), pa.array([own[i].view(np.int64) for i in fits], pa.list_(pa.int64())), pa.array([sketch(own[i]) for i in fits], pa.binary())], ["cls", "elements", "sketch"])
 
     chosen = docs.select(F.col(key).alias("key"), text).join(wanted, "key").select("cls", text)
-    sets = saved(chosen.mapInArrow(sets_of, "cls long, elements array<long>, sketch array<long>").dropDuplicates(["cls"]), "sets")
-    stars = each.filter("cls <> lead").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
+    sets = saved(chosen.mapInArrow(sets_of, "cls long, elements array<long>, sketch binary").dropDuplicates(["cls"]), "sets")
+    stars = saved(each.filter("cls <> lead").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct(), "stars")
     links = saved(_verified(stars, sets, percent), "links")
-    roots = saved(connected(links), "roots")
-    placed = each.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    placed = saved(placed, "placed")
-    open_ = placed.groupBy("bid").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter("one <> other").select("bid")
-    rest = placed.join(open_, "bid").join(sets.select("cls", "sketch"), "cls").groupBy("bid").agg(F.collect_list(F.struct("cls", "size", "root", "lead", "sketch")).alias("who")).filter(F.size("who") > 2)
-    more = rest.select("who").mapInArrow(lambda batches: _across(batches, percent), "a long, b long").distinct()
-    return rows, links.unionByName(saved(_verified(saved(more, "across"), sets, percent), "links"))
+    tried = stars
+    for best in (BEST, None):  # likely pairs first: what they link needn't be compared again
+        more = saved(_open_pairs(each, links, sets, percent, best).join(tried, ["a", "b"], "left_anti"), "across")
+        links = links.unionByName(saved(_verified(more, sets, percent), "links"))
+        tried = tried.unionByName(more)
+    return rows, links
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
