@@ -1,28 +1,33 @@
 """Language-model scoring from a log-frequency Bloom filter of quantised n-gram counts.
 
 Training counts all words and word pairs: readers count what they have and send it to owners of hash ranges; an owner adds
-up and writes its part of the filter. A count c of at least the part's floor f is stored as its level, 1 + floor(log2(c / f)): the
-n-gram is inserted once with each number from 1 to its level, so that a reader gets the level by probing 1, 2, ... until a
-probe fails. The floor of a part is the smallest power of two with which at most FILL of its bits are set, so the filter has
-FILTER_BYTES at any size of the corpus, and is broadcast together with the exact counts of at most HEAD frequent words.
+up and makes its part of the filter. A count c is stored as its level, 1 + floor(log2(c)): the n-gram is inserted once with
+each number from 1 to its level, so that a reader gets the level by probing 1, 2, ... until a probe fails. A part has as many
+bits as leave FILL of them set after all insertions, so the filter grows with the corpus and no n-gram is left out.
+
+Parts stay with their owners. A reader has the exact counts of at most HEAD frequent words; each portion of texts asks the
+owners for the other words and for its pairs, and owners answer with levels, and with exact counts of words for the base
+score. The portion itself goes to its home, where answers are put together.
 
 The model mixes pair and word probabilities; a word that the filter doesn't have counts as the unknown word, which has the
-share of training words that occur once. The base score needs exact counts: of frequent words a reader has them; the rest of
-a text's words go to their owners, which see all of a word's occurrences, and each text's sums are added up at the end.
+share of training words that occur once. A caller of train can bound the filter; then n-grams below a part's floor, the
+smallest power of two that fits, are left out. score never does.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faktum.llm.store import tasks
-from faktum.llm.textkit import Words, grouped, mix
+from faktum.llm.store import saved, tasks
+from faktum.llm.textkit import Words, grouped, mix, texts_of
 
-#: Size of the filter, share of bits that may be set, probes for each level, frequent words with exact counts.
-FILTER_BYTES, FILL, PROBES, HEAD = 32 << 20, 0.3, 3, 1 << 17
+#: Share of bits that may be set, probes for each level, frequent words with exact counts at readers.
+FILL, PROBES, HEAD = 0.3, 3, 1 << 17
 #: Tokens whose counts a reader gathers before it sends them.
 GATHERED = 2 << 20
 #: Weight of pairs after a context seen at least OFTEN times, and after a rarer one.
@@ -102,8 +107,27 @@ def levels(n: np.ndarray, floor: int) -> np.ndarray:
     return np.where(n >= floor, np.floor(np.log2(np.maximum(n, floor) / floor)).astype(np.int64) + 1, 0)
 
 
-def _part(table: pa.Table, bits: int, head: int) -> pa.Table:
-    """An owner's part of the filter and what else the model needs of its words."""
+def level_of(part: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+    """The level of each n-gram in a part, 0 if it isn't there."""
+    level = np.zeros(len(h), np.int64)
+    on = np.arange(len(h))
+    j = 0
+    while len(on) and j < 60:
+        j += 1
+        at = bits_of(h[on], j, bits).astype(np.int64)
+        on = on[((part[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0)]
+        level[on] = j
+    return level
+
+
+def about(level: np.ndarray, floor: np.ndarray | int = 1) -> np.ndarray:
+    """About the count that a level stands for."""
+    low = floor * 2.0 ** (level - 1)
+    return np.where(level == 0, 0.0, np.where(low < 2, low, low * 2**0.5))
+
+
+def _part(table: pa.Table, bits: int | None, head: int) -> pa.Table:
+    """An owner's part of the filter, sized by its insertions unless bits is given, and its words with their counts."""
     column = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
     h, n = _add_up(column("words", np.uint64), column("word_counts", np.uint32))
     once = np.zeros((len(five := column("once", np.uint8).reshape(-1, 5)), 8), np.uint8)
@@ -111,7 +135,9 @@ def _part(table: pa.Table, bits: int, head: int) -> pa.Table:
     low = np.uint64((1 << 40) - 1)
     p, m = _add_up(np.concatenate((once.view(np.uint64)[:, 0], column("pairs", np.uint64) & low)), np.concatenate((np.ones(len(once), np.uint32), column("pair_counts", np.uint32))))
     grams, counts = np.concatenate((h & low, p)), np.concatenate((n, m))
-    floor = 1
+    floor, level = 1, levels(counts, 1)
+    if bits is None:
+        bits = max(64, (int(PROBES * float(level.sum()) / -np.log(1 - FILL)) + 8) // 8 * 8)
     while True:
         level = levels(counts, floor)
         # each insertion sets PROBES bits at random: the expected share of set bits
@@ -123,184 +149,186 @@ def _part(table: pa.Table, bits: int, head: int) -> pa.Table:
         part[bits_of(grams[level >= j], j, bits).ravel()] = True
     top = np.argsort(-n, kind="stable")[:head]
     top = top[np.argsort(h[top])]
-    row = {"owner": pa.array([table.column("owner")[0].as_py()], pa.int32()), "tokens": [int(n.sum())], "types": [len(h)], "singles": [int((n == 1).sum())], "floor": [floor], "bits": [np.packbits(part).tobytes()], "head": [h[top].tobytes()], "head_counts": [n[top].tobytes()]}
+    row = {"owner": pa.array([table.column("owner")[0].as_py()], pa.int32()), "tokens": [int(n.sum())], "types": [len(h)], "singles": [int((n == 1).sum())], "floor": [floor], "bits": [np.packbits(part).tobytes()], "head": [h[top].tobytes()], "head_counts": [n[top].tobytes()], "words": [h.tobytes()], "counts": [n.tobytes()]}
     return pa.table(row)
 
 
-class Model:
-    """The filter with what the probabilities need; small enough to be sent to every worker."""
+class Frequent:
+    """What every worker has of the model: totals, and exact counts of frequent words."""
 
-    def __init__(self, rows: list, owners: int, bits: int) -> None:
-        self.owners, self.bits = owners, bits
-        self.filter = np.zeros((owners, bits // 8), np.uint8)
-        self.floor = np.ones(owners, np.int64)
+    def __init__(self, rows: list) -> None:
         self.tokens, self.types, self.singles = (sum(r[k] for r in rows) for k in ("tokens", "types", "singles"))
-        for r in rows:
-            self.filter[r["owner"]] = np.frombuffer(r["bits"], np.uint8)
-            self.floor[r["owner"]] = r["floor"]
         head = np.concatenate([np.frombuffer(r["head"], np.uint64) for r in rows] or [np.empty(0, np.uint64)])
         counts = np.concatenate([np.frombuffer(r["head_counts"], np.int64) for r in rows] or [np.empty(0, np.int64)])
         order = np.argsort(head)
         self.head, self.head_counts = head[order], counts[order]
-        self.filter = self.filter.ravel()
 
     def frequent(self, h: np.ndarray) -> np.ndarray:
         """The exact count of each word, 0 for those that aren't among the frequent ones."""
-        if not len(self.head):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
-        return np.where(self.head[at] == h, self.head_counts[at], 0)
+        return _look_up(self.head, self.head_counts, h)
 
-    def probe(self, h: np.ndarray) -> np.ndarray:
-        """About the count of each n-gram, 0 if the filter doesn't have it."""
-        owner = owner_of(h, self.owners)
-        level = np.zeros(len(h), np.int64)
-        on = np.arange(len(h))
-        j = 0
-        while len(on) and j < 60:
-            j += 1
-            at = bits_of(h[on], j, self.bits).astype(np.int64) + owner[on] * self.bits
-            on = on[((self.filter[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0)]
-            level[on] = j
-        low = self.floor[owner].astype(float) * 2.0 ** (level - 1)
-        return np.where(level == 0, 0.0, np.where(low < 2, low, low * 2**0.5))
-
-    def log10(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of each token's probability in its place, and the exact counts of frequent words."""
-        exact = self.frequent(h)
-        about = exact.astype(float)
-        rare = np.flatnonzero(exact == 0)
-        words, back = np.unique(h[rare], return_inverse=True)
-        about[rare] = self.probe(words)[back]
+    def log10(self, first: np.ndarray, alone: np.ndarray, together: np.ndarray) -> np.ndarray:
+        """log10 of each token's probability in its place, from about the counts of the tokens and of their pairs."""
         if not self.tokens:
-            return np.zeros(len(h)), exact
+            return np.zeros(len(alone))
         unknown = max(1.0, self.singles) / (self.tokens + 1)
-        alone = np.where(about > 0, (1 - unknown) * (about + 1) / (self.tokens + self.types + 1), unknown)
-        before = np.concatenate((np.zeros(1), about[:-1]))
-        before[first[:-1]] = self.head_counts[np.searchsorted(self.head, END)] if END in self.head else 0.0  # as many starts as ends
-        together = self.probe(pairs(h, first))
+        single = np.where(alone > 0, (1 - unknown) * (alone + 1) / (self.tokens + self.types + 1), unknown)
+        before = np.concatenate((np.zeros(1), alone[:-1]))
+        before[first[:-1]] = alone[first[1:] - 1]  # as many starts as ends, and each text's last token is an end
         weight = np.where(before >= OFTEN, PAIR_WEIGHT, np.where(before > 0, RARE_WEIGHT, 0.0))
         pair = np.minimum(together / np.maximum(before, 1), 1.0)
-        return np.log10(weight * pair + (1 - weight) * alone), exact
+        return np.log10(weight * pair + (1 - weight) * single)
+
+
+class Model(Frequent):
+    """All parts of a filter in one place."""
+
+    def __init__(self, rows: list, owners: int) -> None:
+        super().__init__(rows)
+        self.owners = owners
+        self.parts = {r["owner"]: np.frombuffer(r["bits"], np.uint8) for r in rows}
+        self.floor = np.ones(owners, np.int64)
+        for r in rows:
+            self.floor[r["owner"]] = r["floor"]
+        self.filter = np.concatenate([*self.parts.values(), np.empty(0, np.uint8)])
+
+    def probe(self, h: np.ndarray) -> np.ndarray:
+        """About the count of each n-gram, 0 if the filter doesn't have it."""
+        owner = owner_of(h, self.owners)
+        level = np.zeros(len(h), np.int64)
+        for o, part in self.parts.items():
+            mine = owner == o
+            level[mine] = level_of(part, 8 * len(part), h[mine])
+        return about(level, self.floor[owner])
+
+
+def _look_up(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The value of each h by keys in order, 0 for those that aren't there."""
+    if not len(keys):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[at] == h, values[at], 0)
 
 
-def train(docs: DataFrame, text: str = "text", filter_bytes: int = FILTER_BYTES, head: int = HEAD) -> Model:
-    """The model of the texts of docs. The driver gets the filter and HEAD words, whatever the size of docs."""
+def parts(docs: DataFrame, text: str = "text", bits: int | None = None, head: int = HEAD) -> DataFrame:
+    """The owners' parts of the model of the texts of docs, one row each."""
     owners = min(tasks(docs.sparkSession), 4096)
-    bits = max(64, filter_bytes * 8 // owners // 8 * 8)
     sent = docs.select(text).mapInArrow(lambda b: _counts(b, text, owners), "owner int, words binary, word_counts binary, once binary, pairs binary, pair_counts binary")
-    schema = "owner int, tokens long, types long, singles long, floor long, bits binary, head binary, head_counts binary"
+    schema = "owner int, tokens long, types long, singles long, floor long, bits binary, head binary, head_counts binary, words binary, counts binary"
     own = -(-head // owners)
-    return Model(sent.groupBy("owner").applyInArrow(lambda t: _part(t, bits, own), schema).toArrow().to_pylist(), owners, bits)
+    return sent.groupBy("owner").applyInArrow(lambda t: _part(t, bits, own), schema)
 
 
-def _name(keys: list, h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """64 bits for each row, from its key and its tokens; rows that are equal in both have one name."""
-    k = np.array([hash_key(x) for x in keys], np.uint64)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h + np.arange(len(h), dtype=np.uint64) - np.repeat(first[:-1], np.diff(first)).astype(np.uint64)))))
-    return mix(k * _PAIR + total[first[1:]] - total[first[:-1]])
+def train(docs: DataFrame, text: str = "text", filter_bytes: int | None = None, head: int = HEAD) -> Model:
+    """The model of the texts of docs in one place; the driver gets all of the filter, which filter_bytes can bound."""
+    owners = min(tasks(docs.sparkSession), 4096)
+    bits = filter_bytes and max(64, filter_bytes * 8 // owners // 8 * 8)
+    return Model(parts(docs, text, bits, head).drop("words", "counts").toArrow().to_pylist(), owners)
+
 
+_ROW = "owner int, portion long, other int, texts binary, {}"
+_ASKED, _TOLD = _ROW.format("words binary, pairs binary"), _ROW.format("counts binary, word_levels binary, pair_levels binary")
 
-def hash_key(x) -> int:
-    import hashlib
 
-    return int.from_bytes(hashlib.blake2b(repr(x).encode(), digest_size=8).digest(), "little")
+def _table(rows: list[tuple], names: list[str]) -> pa.Table:
+    kinds = [pa.int32(), pa.int64(), pa.int32()] + [pa.binary()] * (len(names) - 3)
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
-_SUMS = np.dtype([("name", "<u8"), ("log", "<f8"), ("known", "<i8")])
-_POST = np.dtype([("word", "<u8"), ("name", "<u8"), ("n", "<u4"), ("learned", "u1")])
+_ASKED_NAMES = ["owner", "portion", "other", "texts", "words", "pairs"]
+_TOLD_NAMES = ["owner", "portion", "other", "texts", "counts", "word_levels", "pair_levels"]
 
 
-def _read(batches, model: Model, owners: int):
-    """For each portion of texts: rows for their owners (kind 0), sums over frequent words (1), the rest's occurrences (2)."""
+def _ask(batches, model: Frequent, owners: int):
+    """For each portion of texts: itself for its home, and for each owner the rare words and 5 low bytes of the pairs it has."""
     for rows, texts in grouped(batches, "_text"):
         h, first = tokens(texts)
+        # of the content alone, so that a task that runs again gives the same number; equal portions get equal answers
+        portion = int.from_bytes(hashlib.blake2b(first.tobytes() + h.tobytes(), digest_size=8).digest(), "little", signed=True)
+        home = portion % owners
+        asked: dict[int, list[bytes]] = {}
+        words, p = np.unique(h[model.frequent(h) == 0]), np.unique(pairs(h, first))
+        for o, a, b in _split(words, owners):
+            asked.setdefault(o, [b"", b""])[0] = words[a:b].tobytes()
+        for o, a, b in _split(p, owners):
+            asked.setdefault(o, [b"", b""])[1] = p[a:b].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_batch(rows)
+        out = [(home, portion, home, sink.getvalue().to_pybytes(), None, None)]
+        out += [(o, portion, home, None, *x) for o, x in asked.items()]
+        yield from _table(out, _ASKED_NAMES).to_batches()
+
+
+def _tell(asked: pa.Table, own: pa.Table) -> pa.Table:
+    """An owner's answers to the portions' homes; portions go on as they are."""
+    part, keys, counts = np.zeros(8, np.uint8), np.empty(0, np.uint64), np.empty(0, np.int64)
+    if own.num_rows:
+        part, keys, counts = (np.frombuffer(own.column(c)[0].as_py(), k) for c, k in (("bits", np.uint8), ("words", np.uint64), ("counts", np.int64)))
+    out = []
+    columns = [asked.column(c) for c in _ASKED_NAMES]
+    for i in range(asked.num_rows):
+        me, portion, home, texts, words, p = (c[i].as_py() for c in columns)
+        if texts is not None:
+            out.append((me, portion, me, texts, None, None, None))
+            continue
+        h = np.frombuffer(words, np.uint64)
+        five = np.zeros((len(p) // 5, 8), np.uint8)
+        five[:, :5] = np.frombuffer(p, np.uint8).reshape(-1, 5)
+        levels_of = [level_of(part, 8 * len(part), x).astype(np.uint8).tobytes() for x in (h, five.view(np.uint64)[:, 0])]
+        out.append((home, portion, me, None, _look_up(keys, counts, h).tobytes(), *levels_of))
+    return _table(out, _TOLD_NAMES)
+
+
+def _scored(table: pa.Table, model: Frequent, owners: int, names: list[str]) -> pa.Table:
+    """The scores of a home's portions from the owners' answers."""
+    column = {c: table.column(c) for c in _TOLD_NAMES}
+    told, portions = {}, []
+    for i, (portion, other, answer) in enumerate(zip(column["portion"].to_pylist(), column["other"].to_pylist(), column["texts"].is_null().to_pylist(), strict=True)):
+        if answer:
+            told[portion, other] = i
+        else:
+            portions.append((portion, i))
+    out = []
+    for portion, i in portions:
+        rows = pa.ipc.open_stream(column["texts"][i].as_py()).read_all()
+        h, first = tokens(texts_of(rows.column("_text").combine_chunks()))
+        told_of = lambda x, c, kind: np.concatenate([np.frombuffer(column[c][told[portion, o]].as_py(), kind) for o, _, _ in _split(x, owners)] or [np.empty(0, kind)])  # noqa: B023, E731
+        exact = model.frequent(h)
+        alone = exact.astype(float)
+        rare = np.flatnonzero(exact == 0)
+        words, back = np.unique(h[rare], return_inverse=True)
+        exact[rare] = told_of(words, "counts", np.int64)[back]
+        alone[rare] = about(told_of(words, "word_levels", np.uint8).astype(np.int64))[back]
+        p, back = np.unique(pairs(h, first), return_inverse=True)
+        log = model.log10(first, alone, about(told_of(p, "pair_levels", np.uint8).astype(np.int64))[back])
         n = np.diff(first)
-        log, exact = model.log10(h, first)
-        names = _name(rows.column(0).to_pylist(), h, first)
-        held = np.array(rows.column(1).to_pylist(), bool)
         text_of = np.repeat(np.arange(len(n)), n)
-        often = exact > 0
-        part = np.zeros(len(n), _SUMS)
-        part["name"] = names
-        part["log"] = np.bincount(text_of[often], np.log10(exact[often] + 1.0), len(n))
-        part["known"] = np.bincount(text_of[often], minlength=len(n))
-        score = np.bincount(text_of, log, len(n))
-        owner = owner_of(mix(names), owners)
-        out = []
-        for o in np.unique(owner).tolist():
-            mine = owner == o
-            at = np.flatnonzero(mine)
-            table = pa.table({"key": rows.column(0).take(pa.array(at)), "held": held[mine], "name": names[mine].view(np.int64), "n": n[mine], "score": score[mine]})
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as w:
-                w.write_table(table)
-            out += [(o, 0, sink.getvalue().to_pybytes()), (o, 1, part[mine].tobytes())]
-        rare = np.flatnonzero(~often)
-        post = np.zeros(len(rare), _POST)
-        post["word"], post["name"], post["n"], post["learned"] = h[rare], names[text_of[rare]], 1, ~held[text_of[rare]]
-        post = post[np.argsort(post["word"], kind="stable")]
-        out += [(o, 2, post[a:b].tobytes()) for o, a, b in _split(post["word"], owners)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["owner", "kind", "blob"])
-
-
-def _own_words(table: pa.Table, owners: int) -> pa.Table:
-    """Counts each word from its occurrences, and sends the texts' sums to the texts' owners; other rows go on as they are."""
-    kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
-    me = table.column("owner")[0].as_py()
-    out = [(me, k, b) for k, b in zip(kinds, blobs, strict=True) if k != 2]
-    post = np.concatenate([np.frombuffer(b, _POST) for k, b in zip(kinds, blobs, strict=True) if k == 2] or [np.empty(0, _POST)])
-    if len(post):
-        word, back = np.unique(post["word"], return_inverse=True)
-        c = np.bincount(back, post["n"] * post["learned"].astype(float), len(word))[back]
-        names, text = np.unique(post["name"], return_inverse=True)
-        part = np.zeros(len(names), _SUMS)
-        part["name"] = names
-        part["log"] = np.bincount(text, post["n"] * np.log10(c + 1), len(names))
-        part["known"] = np.bincount(text, post["n"] * (c > 0), len(names))
-        owner = owner_of(mix(names), owners)
-        order = np.argsort(owner, kind="stable")
-        part, owner = part[order], owner[order]
-        cut = np.searchsorted(owner, np.arange(owners + 1))
-        out += [(o, 1, part[cut[o] : cut[o + 1]].tobytes()) for o in range(owners) if cut[o] < cut[o + 1]]
-    return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["owner", "kind", "blob"])
-
-
-def _own_texts(table: pa.Table, total: int, types: int, names: list[str]) -> pa.Table:
-    kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
-    rows = pa.concat_tables([pa.ipc.open_stream(b).read_all() for k, b in zip(kinds, blobs, strict=True) if k == 0])
-    sums = np.concatenate([np.frombuffer(b, _SUMS) for k, b in zip(kinds, blobs, strict=True) if k == 1])
-    who, back = np.unique(sums["name"], return_inverse=True)
-    order = np.lexsort((sums["log"], back))  # one order of addition, however rows came
-    log = np.bincount(back[order], sums["log"][order], len(who))
-    known = np.bincount(back, sums["known"], len(who))
-    name = rows.column("name").to_numpy().view(np.uint64)
-    _, mine, copies = np.unique(name, return_inverse=True, return_counts=True)
-    at = np.searchsorted(who, name)
-    n = rows.column("n").to_numpy()
-    base = log[at] / copies[mine] - n * np.log10(total + types + 1)  # equal rows have added up their equal sums
-    return pa.table([rows.column("key"), rows.column("held"), pa.array(n, pa.int64()), pa.array(np.rint(known[at] / copies[mine]).astype(np.int64)), pa.array(np.full(len(n), total, np.int64)), pa.array(base), rows.column("score")], names)
-
-
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", filter_bytes: int = FILTER_BYTES, head: int = HEAD) -> DataFrame:
+        base = np.bincount(text_of, np.log10(exact + 1.0), len(n)) - n * np.log10(model.tokens + model.types + 1)
+        known = np.bincount(text_of, exact > 0, len(n)).astype(np.int64)
+        out.append(pa.table([rows.column("_key"), rows.column("held"), pa.array(n, pa.int64()), pa.array(known), pa.array(np.full(len(n), model.tokens, np.int64)), pa.array(base), pa.array(np.bincount(text_of, log, len(n)))], names))
+    return pa.concat_tables(out)
+
+
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
     """One row per row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32 of the key as text isn't 2 modulo 7. Null and empty texts are one end token. Repeated rows
     are learned and scored as often as they occur. Without any row to learn from both scores are 0. Very long texts are
-    scored whole. Two different texts share a sum with a chance of 2^-64 a pair. Other columns aren't read.
+    scored whole. Other columns aren't read.
     """
     code = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 7
     rows = docs.select(F.col(key).alias("_key"), (code == 2).alias("held"), F.col(text).alias("_text"))
-    model = train(rows.filter("not held"), "_text", filter_bytes, head)
+    own = saved(parts(rows.filter("not held"), "_text", head=head), "lm")
+    model = Frequent(own.select("tokens", "types", "singles", "head", "head_counts").toArrow().to_pylist())
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    owners, total, types = tasks(docs.sparkSession), model.tokens, model.types
+    owners = min(tasks(docs.sparkSession), 4096)
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    blobs = "owner int, kind int, blob binary"
-    read = rows.mapInArrow(lambda b: _read(b, sent.value, owners), blobs)
-    words = read.groupBy("owner").applyInArrow(lambda t: _own_words(t, owners), blobs)
+    asked = rows.mapInArrow(lambda b: _ask(b, sent.value, owners), _ASKED)
+    told = asked.groupBy("owner").cogroup(own.select("owner", "bits", "words", "counts").groupBy("owner")).applyInArrow(_tell, _TOLD)
     schema = f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return words.groupBy("owner").applyInArrow(lambda t: _own_texts(t, total, types, names), schema)
+    return told.groupBy("owner").applyInArrow(lambda t: _scored(t, sent.value, owners, names), schema)
 
 
 def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -47,3 +47,35 @@ def test_small_filter_raises_its_floor(spark):
     model = lm.train(spark.createDataFrame([(text,)], "text string"), filter_bytes=512, head=1)
     assert model.floor.max() > 1
     assert np.unpackbits(model.filter).mean() < lm.FILL + 0.1
+
+
+def test_filter_grows_with_the_corpus(spark):
+    def sizes(n):
+        docs = spark.createDataFrame([(" ".join(f"w{i}" for i in range(k, k + 500)),) for k in range(0, n, 500)], "text string")
+        rows = lm.parts(docs, head=1).collect()
+        assert {r.floor for r in rows} == {1}
+        assert all(np.unpackbits(np.frombuffer(r.bits, np.uint8)).mean() < lm.FILL + 0.1 for r in rows)
+        return sum(len(r.bits) for r in rows)
+
+    assert 9 < sizes(50000) / sizes(5000) < 11
+
+
+def test_score_sees_every_ngram(spark):
+    """Against the model over exact counts, each at its level: only the filter's false hits may differ."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    h = {i: lm.tokens([(t or "").encode()]) for i, t in rows}
+    learned = [h[i] for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    words, two = Counter(w for x, _ in learned for w in x.tolist()), Counter(p for x, f in learned for p in lm.pairs(x, f).tolist())
+    rare = lambda n: float(lm.about(lm.levels(np.array([n]), 1))[0]) if n else 0.0
+    n, v, once = sum(words.values()), len(words), sum(c == 1 for c in words.values())
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), head=1).collect()}
+    off = []
+    for i, _ in rows:
+        x, f = h[i]
+        alone = np.array([rare(words[w]) for w in x.tolist()])
+        before = np.concatenate((alone[-1:], alone[:-1]))
+        weight = np.where(before >= lm.OFTEN, lm.PAIR_WEIGHT, np.where(before > 0, lm.RARE_WEIGHT, 0.0))
+        pair = np.minimum(np.array([rare(two[p]) for p in lm.pairs(x, f).tolist()]) / np.maximum(before, 1), 1)
+        single = np.where(alone > 0, (1 - once / (n + 1)) * (alone + 1) / (n + v + 1), once / (n + 1))
+        off.append((got[i] - np.log10(weight * pair + (1 - weight) * single).sum()) / len(x))
+    assert np.abs(off).mean() < 0.05 and np.median(off) < 0.02
