@@ -4,7 +4,8 @@ A passage is any string of LENGTH bytes. Only bytes near something that repeats
 cut at anchors: of the GRAM-byte strings in a passage the one with the least hash (the first of those) is its anchor, and
 a segment is a run of passages with one anchor. Equal passages have equal anchors, so they are in segments that meet at
 the anchor's owner. There equal segments fold into the earliest, and anchors with a single segment are done. What is left
-is sorted: the segments of an owner are one text, whose suffixes are put in order by induced sorting.
+is sorted: an owner deals its anchors to shards by bytes; a shard's segments are one text, whose suffixes are put in order
+by induced sorting. A shard is held in memory, so that memory depends on SHARD_BYTES and on the largest anchor.
 
 The sorting keeps its suffixes in queues by first symbol, which are taken in order (a monotone priority queue) and lie on
 the task's disk beyond QUEUE_BYTES. The least suffixes of each run (those that start with a rise after a fall) are sorted
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from faktum.llm.store import saved, tasks
 from faktum.llm.textkit import grouped, mix, power, texts_of
 
-#: Bytes of a passage and of an anchor; bytes that a task's queues hold in memory; segments gathered before they are sent.
-LENGTH, GRAM, QUEUE_BYTES, GATHERED = 100, 32, 64 << 20, 1 << 19
+#: Bytes of a passage and of an anchor; bytes that a task's queues hold in memory; segments gathered before they are sent; bytes of a shard.
+LENGTH, GRAM, QUEUE_BYTES, GATHERED, SHARD_BYTES = 100, 32, 64 << 20, 1 << 19, 2 << 20
 
 
 class Queues:
@@ -252,7 +253,14 @@ def _rows(x: np.ndarray, kind: int, shard: np.ndarray | None = None) -> pa.Table
     return pa.table([pa.array(np.full(len(cut), kind, np.int32)), pa.array(shard[cut]), pa.array(x["doc"][cut]), pa.array(x["tie"][cut].astype(np.int64)), pa.array([runs[a:b].tobytes() for a, b in zip(cut.tolist(), ends, strict=False)], pa.binary())], ["kind", "shard", "doc", "tie", "runs"])
 
 
-def _owned(table: pa.Table) -> pa.Table:
+def _shards(owner: int, group: np.ndarray, n: np.ndarray, limit: int) -> np.ndarray:
+    """The shard of each segment of n passages. Anchors (groups, in order) stay whole; a shard ends with the one that brings it to limit bytes."""
+    _, anchor = np.unique(group, return_inverse=True)
+    size = np.bincount(anchor, n.astype(np.int64) + LENGTH)
+    return (owner << 32) + ((np.cumsum(size) - size) // limit).astype(np.int64)[anchor]
+
+
+def _owned(table: pa.Table, limit: int) -> pa.Table:
     """Folds equal segments into the earliest; the rest of an anchor's segments, if there are several, are to be compared."""
     x = np.concatenate([_unpacked(b) for b in table.column("blob").to_pylist()])
     x = x[np.lexsort((x["start"], x["tie"], x["doc"], x["content"], x["anchor"]))]
@@ -263,7 +271,7 @@ def _owned(table: pa.Table) -> pa.Table:
     group = np.cumsum(new) - 1
     several = np.bincount(group, first) > 1
     compare = first & several[group]
-    shard = np.full(int(compare.sum()), table.column("owner")[0].as_py(), np.int64)
+    shard = _shards(table.column("owner")[0].as_py(), group[compare], x["n"][compare], limit)
     return pa.concat_tables([_rows(x[~first], 0), _rows(x[compare], 1, shard)])
 
 
@@ -340,7 +348,7 @@ def _kept(batches, names: list[str], whole: bool) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), last], names)
 
 
-def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per row of docs: key, n_bytes, n_removed, n_spans, kept_sha256 (whole: kept, the bytes left, instead).
 
     Null counts as empty. A text shorter than LENGTH keeps all. Rows that are equal in key and text are one document and get
@@ -351,7 +359,7 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bo
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("doc"), F.pmod(F.xxhash64(body), F.lit(2**32)).cast("long").alias("tie"), body.alias("body"))
     owners = tasks(docs.sparkSession)
     sent = rows.select("doc", "tie", "body").mapInArrow(lambda b: _sent(b, owners), "owner int, blob binary")
-    found = saved(sent.groupBy("owner").applyInArrow(_owned, "kind int, shard long, doc long, tie long, runs binary"), "segments")
+    found = saved(sent.groupBy("owner").applyInArrow(lambda t: _owned(t, shard_bytes), "kind int, shard long, doc long, tie long, runs binary"), "segments")
     wanted = found.filter("kind = 1").groupBy("doc", "tie").agg(F.collect_list(F.struct("shard", "runs")).alias("parts"))
     texts = rows.select("doc", "tie", "body").join(wanted, ["doc", "tie"]).select("doc", "tie", "body", F.explode("parts").alias("part")).select("part.shard", "doc", "tie", "part.runs", "body")
     pieces = texts.mapInArrow(_cut_out, "shard long, doc long, tie long, start long, bytes binary").dropDuplicates(["shard", "doc", "tie", "start"])

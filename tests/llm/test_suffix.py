@@ -43,3 +43,16 @@ def test_passages(spark):
     got = sorted(tuple(x) for x in suffix.passages(df).collect())
     assert got == brute(docs)
     assert suffix.passages(df.limit(0)).count() == 0
+
+
+def test_shards_are_dealt_by_bytes(spark):
+    group = np.repeat(np.arange(200), 5)
+    shard = suffix._shards(3, group, np.full(1000, 50, np.uint8), 3000)
+    sizes = np.bincount(shard - (3 << 32), np.full(1000, 50 + suffix.LENGTH))
+    assert len(sizes) == 50 and sizes.max() <= 3000 + 5 * (50 + suffix.LENGTH)
+    assert all(len(set(shard[group == g].tolist())) == 1 for g in range(200))
+    r = random.Random(5)
+    shared = "".join(r.choice("abcde fghij") for _ in range(2000))
+    docs = [(k, "".join(r.choice("xyz ") for _ in range(60)) + shared[(a := r.randrange(1500)) : a + 400]) for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(tuple(x) for x in suffix.passages(df, shard_bytes=500).collect()) == brute(docs)
