@@ -180,6 +180,7 @@ def _lpa_sql(rounds: int) -> str:
 
 
 over_graph("communities_lpa5", lambda e, r: G.communities(e, r, 5), _lpa_sql(5) + " SELECT id, label FROM l5")
+query("communities")(lambda s, d: G.communities(*P.graph(s, d)))
 over_graph("adjacency", lambda e, r: G.adjacency(r), "SELECT a AS id, list_sort(list(b)) AS callees FROM calls GROUP BY a")
 over_graph("dsl_single_hop", lambda e, r: D.match(e, r, "MATCH (Function)-[Calls]->(Method) LIMIT 500"), "SELECT source_id, target_id, 1 AS hops FROM relation JOIN entity s ON s.id = source_id AND s.kind IN (0, 1) JOIN entity t ON t.id = target_id AND t.kind = 1 WHERE type = 1 ORDER BY 1, 2 LIMIT 500")
 over_graph("dsl_multi_hop", lambda e, r: D.match(e, r, "MATCH (Function:main)-[Calls*1..3]->(Method)"), ", edge AS (SELECT DISTINCT source_id AS a, target_id AS b FROM relation WHERE type = 1), w AS (SELECT id AS source_id, id AS node, 0 AS hops FROM entity WHERE kind IN (0, 1) AND name = 'main' UNION SELECT w.source_id, edge.b, hops + 1 FROM w JOIN edge ON edge.a = w.node WHERE hops < 3 AND (hops = 0 OR node NOT IN (SELECT id FROM entity WHERE kind = 1))) SELECT DISTINCT source_id, node AS target_id, hops FROM w WHERE hops > 0 AND node IN (SELECT id FROM entity WHERE kind = 1) ORDER BY 1, 2, 3 LIMIT 10000")

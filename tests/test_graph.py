@@ -63,3 +63,28 @@ def test_multi_hop_ends_at_the_first_target(spark):
     got = {(x.source_id, x.target_id, x.hops) for x in D.match(e, rel(spark, [(1, 2), (2, 3), (3, 4)]), "MATCH (Function:n1)-[Calls*1..3]->(Method) RETURN x").collect()}
     assert got == {(1, 3, 2)}
     assert [x.kind for x in D.hints(e, D.End("Method", "n1")).collect()] == [0]
+
+
+def test_communities_query_runs_to_its_end(spark):
+    """The registered query against propagation in plain Python, until nothing moves or twenty rounds."""
+    from collections import Counter
+
+    from faktum.plans import catalog
+    from faktum.plans import projection as P
+
+    e, r = P.graph(spark, "/root/testdata/sf0.001")
+    ids = {x.id for x in e.select("id").collect()}
+    near: dict[int, set] = {}
+    for a, b in {(x.source_id, x.target_id) for x in r.filter("type = 1 AND source_id <> target_id").collect()}:
+        if a in ids and b in ids:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want, history = {i: i for i in near}, []
+    for _ in range(G.ROUNDS):
+        history.append(want)
+        votes = {i: Counter(want[j] for j in near[i]) for i in near}
+        want = {i: max(v, key=lambda x: (v[x], x == want[i], -x)) for i, v in votes.items()}  # noqa: B023
+        if want == history[-1]:
+            break
+    assert len(history) > 5
+    assert {x.id: x.label for x in catalog.QUERIES["communities"](spark, "/root/testdata/sf0.001").collect()} == want
