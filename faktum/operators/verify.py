@@ -142,11 +142,12 @@ def trust(verdicts: DataFrame) -> DataFrame:
     return x.withColumn("trust", F.when(total == 0, 1.0).when(decided == 0, 0.0).otherwise(F.round(F.col("supported") / decided, 6))).withColumn("integrity", F.greatest(F.lit(0.0), F.round(1 - 0.1 * (F.col("contradicted") + F.col("unknown")), 6)))
 
 
-def dead_functions(entity: DataFrame, relation: DataFrame, top: int = 500) -> DataFrame:
+def dead_functions(entity: DataFrame, relation: DataFrame, top: int | None = 500) -> DataFrame:
+    """Functions that no relation names, the first by id; without top all of them, for counts."""
     x = entity.filter(F.col("kind").isin(*CALLABLE) & (F.col("visibility") != 1) & ~F.col("name").isin(*ENTRY_NAMES))
     for end in ("source_id", "target_id"):
         x = x.join(relation.select(F.col(end).alias("id")), "id", "left_anti")
-    return x.orderBy("id").limit(top)
+    return x if top is None else x.orderBy("id").limit(top)
 
 
 def dead_modules(entity: DataFrame, relation: DataFrame, least: int = 10, top: int = 500) -> DataFrame:

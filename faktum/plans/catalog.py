@@ -266,7 +266,7 @@ over_graph("capability_drift", lambda e, r: V.capability_drift(e.sparkSession.cr
 _LAYER = "SELECT *, CASE WHEN p_x % 3 = 0 THEN name || 'Controller' WHEN p_x % 3 = 1 THEN name || 'Service' ELSE name || 'Repo' END AS n2 FROM (SELECT *, id % 7 AS p_x FROM entity)"
 over_graph("architecture_drift", lambda e, r: V.layer_drift(e.withColumn("name", F.concat("name", F.element_at(F.array(F.lit("Controller"), F.lit("Service"), F.lit("Repo")), (F.col("id") % 7 % 3 + 1).cast("int")))), r), f", l AS (SELECT id, p_x % 3 AS layer FROM ({_LAYER})) SELECT source_id, target_id, CASE WHEN s.layer > t.layer THEN 'reverse call' ELSE 'same-layer bypass' END AS violation FROM relation JOIN l s ON s.id = source_id JOIN l t ON t.id = target_id WHERE type = 1 AND source_id <> target_id AND (s.layer > t.layer OR (s.layer = 0 AND t.layer = 0)) ORDER BY 1, 2 LIMIT 100")
 over_graph("dead_modules", lambda e, r: V.dead_modules(e, r), ", scope AS (SELECT DISTINCT module_path AS name FROM entity), m AS (SELECT s.name, e.id FROM scope s JOIN entity e ON starts_with(lower(e.file_path), lower(s.name))) SELECT name, count(*) AS entities FROM m WHERE name NOT IN (SELECT m.name FROM relation JOIN m ON m.id = target_id WHERE NOT EXISTS (SELECT 1 FROM m k WHERE k.name = m.name AND k.id = source_id)) GROUP BY name HAVING count(*) >= 10 ORDER BY name LIMIT 500")
-query("project_state_score", f"{P.WITH}, fact AS ({P.FACT}), n AS (SELECT (SELECT count(*) FROM fact WHERE kind = 'lock' AND function_id NOT IN (SELECT function_id FROM fact WHERE kind = 'defer_unlock')) AS sync, (SELECT count(*) FROM fact WHERE kind = 'alloc' AND function_id NOT IN (SELECT function_id FROM fact WHERE kind = 'free')) AS memory, (SELECT count(*) FROM fact WHERE kind = 'suppression') AS error, 0 AS pattern, 0 AS ffi, 0 AS architecture, (SELECT count(*) FROM entity WHERE kind IN (0, 1) AND visibility <> 1 AND name NOT IN ('main','Main','run','Run','start','Start','init','Init','setup','Setup') AND id NOT IN (SELECT source_id FROM relation UNION SELECT target_id FROM relation)) AS dead, (SELECT count(*) FROM entity) AS entities) SELECT *, greatest(0, least(1, round(1 - .05 * sync - .1 * memory - .04 * error - .005 * dead, 6)))::DOUBLE AS confidence, 1.0::DOUBLE AS architecture_score, round(dead / greatest(entities, 1), 6) AS dead_share FROM n", plain=True)(lambda s, d: (lambda e, r: V.project_state(E.items(P.facts(s, d)), 0, V.dead_functions(e, r), e))(*P.graph(s, d)))
+query("project_state_score", f"{P.WITH}, fact AS ({P.FACT}), n AS (SELECT (SELECT count(*) FROM fact WHERE kind = 'lock' AND function_id NOT IN (SELECT function_id FROM fact WHERE kind = 'defer_unlock')) AS sync, (SELECT count(*) FROM fact WHERE kind = 'alloc' AND function_id NOT IN (SELECT function_id FROM fact WHERE kind = 'free')) AS memory, (SELECT count(*) FROM fact WHERE kind = 'suppression') AS error, 0 AS pattern, 0 AS ffi, 0 AS architecture, (SELECT count(*) FROM entity WHERE kind IN (0, 1) AND visibility <> 1 AND name NOT IN ('main','Main','run','Run','start','Start','init','Init','setup','Setup') AND id NOT IN (SELECT source_id FROM relation UNION SELECT target_id FROM relation)) AS dead, (SELECT count(*) FROM entity) AS entities) SELECT *, greatest(0, least(1, round(1 - .05 * sync - .1 * memory - .04 * error - .005 * dead, 6)))::DOUBLE AS confidence, 1.0::DOUBLE AS architecture_score, round(dead / greatest(entities, 1), 6) AS dead_share FROM n", plain=True)(lambda s, d: (lambda e, r: V.project_state(E.items(P.facts(s, d)), 0, V.dead_functions(e, r, None), e))(*P.graph(s, d)))
 
 
 @query("claim_extract", "SELECT * FROM (VALUES (1, 'supported_by', 'FastSearch', ''), (2, 'should', 'Parser', 'reject bad input'), (3, 'contract', 'threadsafe', ''), (4, 'follows', 'Controller', 'Service>Repository'), (6, 'has', 'Cache', '')) t(id, predicate, subject, object)", plain=True)

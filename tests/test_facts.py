@@ -88,3 +88,19 @@ def test_windows_on_a_stream_agree_with_the_table(spark):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.sql("SELECT * FROM w").collect())) == sorted(map(tuple, W.tumbling(table).collect()))
+
+
+def test_project_state_counts_all_dead_functions(spark):
+    """The orphan report ends at 500; the project's sum doesn't."""
+    from faktum.plans import catalog
+    from faktum.plans import projection as P
+
+    e, r = (spark.createDataFrame([(i, 0, 0, f"f{i}") for i in range(620)], "id long, kind int, visibility int, name string"), spark.createDataFrame([(0, 1), (2, 700)], "source_id long, target_id long"))
+    assert V.dead_functions(e, r).count() == 500
+    keep = P.graph
+    P.graph = lambda s, d: (e, r)
+    try:
+        row = catalog.QUERIES["project_state_score"](spark, "/root/testdata/sf0.001").collect()[0]
+    finally:
+        P.graph = keep
+    assert row.dead == 617 and row.dead_share == round(617 / 620, 6)
