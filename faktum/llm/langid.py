@@ -6,7 +6,7 @@ labels of neighbouring words are learned too, so a passage in another language i
 backward gives each word's probabilities; a text's language has the largest share of the words that hold a letter.
 
 Learning is by gradient steps on the conditional likelihood over a bounded sample: at most SAMPLE_DOCS documents of each
-language, chosen by hash. The model's tables have a fixed size and are broadcast.
+language, chosen by hash; every language is learned. The model's tables have a fixed size for each language and are broadcast.
 """
 
 from __future__ import annotations
@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faktum.llm.textkit import Words, grouped, mix, power
+from faktum.llm.textkit import CHUNK, Words, grouped, mix, power
 
-#: Documents of each language that the model learns from, at most; languages it can tell, at most.
-SAMPLE_DOCS, LANGUAGES = 200, 64
+#: Documents of each language that the model learns from, at most.
+SAMPLE_DOCS = 200
 #: Sizes of the n-gram tables and of the lexicon; n-gram lengths; gradient steps.
 GRAMS, LEXICON, LENGTHS, STEPS = 1 << 16, 1 << 17, (2, 3, 4), 12
-#: Texts that are worked on together when learning.
-TOGETHER = 100
+#: Texts that are worked on together when learning; languages beyond which portions of texts shrink, to hold memory.
+TOGETHER, MANY = 100, 16
 #: Words of a chain: longer texts are several chains, one after the other.
 CHAIN = 256
 UNKNOWN = "und"
@@ -154,7 +154,8 @@ def fit(texts: list[bytes], labels: list[str], steps: int = STEPS) -> dict:
     model = {"names": names, "bias": np.zeros(n, np.float32), "lexicon": np.zeros((LEXICON, n), np.float32), "grams": [np.zeros((GRAMS, n), np.float32) for _ in LENGTHS], "moves": np.zeros((n, n), np.float32)}
     if n < 2:
         return model
-    parts = [Part(texts[i : i + TOGETHER], [names.index(x) for x in labels[i : i + TOGETHER]], n) for i in range(0, len(texts), TOGETHER)]
+    number, together = {x: i for i, x in enumerate(names)}, max(1, TOGETHER * MANY // max(MANY, n))
+    parts = [Part(texts[i : i + together], [number[x] for x in labels[i : i + together]], n) for i in range(0, len(texts), together)]
     held = sum(np.bincount(p.gold, minlength=n) for p in parts)
     # each language counts alike, however many of its words the sample holds
     weigh = held.sum() / n / np.maximum(held, 1)
@@ -202,8 +203,8 @@ def predict(model: dict, texts: list[bytes]) -> tuple[list[str], list[float]]:
 
 
 def learn(rows: DataFrame, text: str, lang: str, order: Column, sample: int = SAMPLE_DOCS) -> dict:
-    """The model from at most sample rows of each non-null lang, those with the smallest order (a whole number below 2^32)."""
-    counts = {r[0]: r[1] for r in rows.filter(F.col(lang).isNotNull()).groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()}
+    """The model of every non-null lang from at most sample rows of each, those with the smallest order (a whole number below 2^32)."""
+    counts = {r[0]: r[1] for r in rows.filter(F.col(lang).isNotNull()).groupBy(lang).count().collect()}
     if not counts:
         return fit([], [])
     # a hash bound for each language lets through a few more rows than are needed; the exact number is cut from those
@@ -229,7 +230,7 @@ def identify(docs: DataFrame, model: dict, keep: list[str], text: str = "text",
     read = docs.select(*keep, F.col(text).alias("_text"))
 
     def run(batches):
-        for rows, texts in grouped(batches, "_text"):
+        for rows, texts in grouped(batches, "_text", CHUNK * MANY // max(MANY, len(sent.value["names"]))):
             langs, scores = predict(sent.value, texts)
             yield pa.RecordBatch.from_arrays([rows.column(i) for i in range(len(keep))] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, *names])
 

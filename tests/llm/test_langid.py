@@ -47,3 +47,13 @@ def test_nothing_to_learn_from(spark):
     assert langid.language_id(empty).count() == 0
     one = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [tuple(r)[2:] for r in langid.language_id(one).collect()] == [("und", 0.0)]
+
+
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(3)
+    words = {f"l{k:02}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for k in range(70)}
+    rows = [(i, " ".join(rng.choice(words[name], 20)), name) for i, name in enumerate(sorted(words) * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.language_id(df).collect()}
+    assert len(set(got.values())) == 70
+    assert sum(got[i] == name for i, _, name in rows) >= 0.95 * len(rows)
