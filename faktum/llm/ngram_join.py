@@ -318,15 +318,19 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component, that of the smallest key; all columns stay."""
-    groups = saved(near_groups(docs, key, text), "near")
-    gone = groups.filter(f"`{key}` <> component_id").select(key).distinct()
-    kept = docs.join(gone, key, "left_anti").select(docs.columns)
-    repeated = saved(groups.groupBy(key).count().filter("count > 1").select(key), "repeated")
+    """docs with one row of each component, that of the smallest key (then of the least hash of the text); all columns stay.
+
+    Rows are told apart by key and text, so texts that share a key stay or go on their own; a null key counts as the largest.
+    """
+    named = docs.withColumn("_id", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("hash")))
+    groups = saved(near_groups(named, "_id", text), "near")
+    kept = named.join(groups.filter("_id <> component_id").select(F.col("_id").alias("gone")).distinct(), F.col("_id").eqNullSafe(F.col("gone")), "left_anti")
+    repeated = saved(groups.groupBy("_id").count().filter("count > 1").select(F.col("_id").alias("again")), "repeated")
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, kept[key].eqNullSafe(repeated[key]), "left_semi").dropDuplicates([key, text])
-    return kept.join(repeated, kept[key].eqNullSafe(repeated[key]), "left_anti").unionByName(once)
+        return kept.select(docs.columns)
+    same = F.col("_id").eqNullSafe(F.col("again"))
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["_id"])
+    return kept.join(repeated, same, "left_anti").unionByName(once).select(docs.columns)
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -61,3 +61,14 @@ def test_similar_sets_share_a_signature():
         shared = len(np.intersect1d(a, b))
         if shared * 100 >= 80 * (len(a) + len(b) - shared):
             assert np.intersect1d(nj.signatures(a), nj.signatures(b)).size, (len(a), len(b), shared)
+
+
+def test_keep_one_tells_texts_of_one_key_apart(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    b = " ".join(f"b{i}" for i in range(60))
+    c = " ".join(f"c{i}" for i in range(60))
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c + " more"), (4, "x y z"), (4, "x y z"), (None, a + " last"), (None, "p q r")]
+    left = [tuple(r) for r in nj.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    of_c = [r for r in left if r[0] == 3]
+    assert len(of_c) == 1 and of_c[0] in rows
+    assert sorted((r for r in left if r[0] != 3), key=str) == sorted([(1, a), (2, b), (4, "x y z"), (None, "p q r")], key=str)
