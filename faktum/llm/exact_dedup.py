@@ -1,9 +1,8 @@
-"""Exact dedup through an extendible-hash index on shared files.
+"""Exact dedup by a group-by on hash and text; an extendible-hash directory numbers the buckets of what occurs more than once.
 
-Keys are 60 hash bits of the text. The index is a directory of hash prefixes that doubles where a bucket holds too many
-entries; each bucket's entries lie in its own key range of a table in the shared folder. An owner task takes the entries of
-its key ranges, chains those whose keys collide and tells them apart by their bytes. Copies are folded into one entry by
-each reader before anything is shuffled, so a group of copies of any size is one entry of its bucket.
+A group is all rows of one 64-bit hash and one text, so texts whose hashes collide are told apart by their bytes. The
+directory of hash prefixes doubles where a bucket holds too many entries, but it decides nothing: it adds the column bucket
+to the saved index, which exact_dedup doesn't read. Entries aren't routed, stored or chained by bucket.
 """
 
 from __future__ import annotations
@@ -23,8 +22,7 @@ _EMPTY = ""
 def index(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
     """The saved index of texts that occur more than once: bucket, h, sha, keep, n; one row for each such text.
 
-    Readers fold copies first; then each owner chains its entries of one hash and compares their bytes: entries are equal
-    only if hash and text are. Only the hash and SHA-256 of texts that have copies go on to the index.
+    Readers fold copies first; entries are equal only if hash and text are. Only the hash and SHA-256 of texts that have copies go on to the index.
     """
     body = F.coalesce(F.col(text), F.lit(_EMPTY))
     slim = docs.select(F.col(key).alias("_key"), F.xxhash64(body).alias("h"))
