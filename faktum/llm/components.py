@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faktum.llm.store import saved
+from faktum.llm.store import released, saved
 
 
 def _star(edges: DataFrame, both: bool) -> DataFrame:
@@ -23,7 +23,8 @@ def connected(links: DataFrame) -> DataFrame:
     edges = saved(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
     while True:
-        edges = saved(_star(_star(edges, True).distinct(), False).distinct(), "edges")
+        before, edges = edges, saved(_star(_star(edges, True).distinct(), False).distinct(), "edges")
+        released(before)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faktum.llm.components import connected
-from faktum.llm.store import saved, tasks
+from faktum.llm.store import owners_for, released, saved, unused
 from faktum.llm.textkit import Words, grouped, mix, shingles
 
 #: Words in a shingle; similarity in percent; growth of a band of sizes; cells of a part and how many may differ; spare parts.
@@ -35,6 +35,8 @@ BEST = 3
 COMPARED = 4096
 #: Bits of the sketch that bounds the difference of two sets from below.
 SKETCH = 2048
+#: Bytes of texts whose signatures an owner gets, at most.
+OWNED = 24 << 20
 #: Classes that a task remembers, so as not to send the signatures of copies again.
 REMEMBERED = 1 << 18
 
@@ -193,8 +195,24 @@ def _groups(table: pa.Table, percent: int) -> pa.Table:
     return pa.table([pa.array(bids, pa.int64()), pa.array(members, many), pa.array(sizes, many), pa.array(leaders, many)], ["bid", "members", "sizes", "leaders"])
 
 
+def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow to be similar enough, before any set is sent."""
+
+    def run(batches):
+        for batch in batches:
+            x = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for c in ("of_a", "of_b")]
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            apart = np.bitwise_count(x[0] ^ x[1]).sum(1, dtype=np.int64)
+            ok = (n * percent <= m * 100) & (m * percent <= n * 100) & (apart * (100 + percent) <= (n + m) * (100 - percent))
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    slim = sets.select("cls", "size", "sketch")
+    both = pairs.join(slim.withColumnsRenamed({"cls": "b", "size": "m", "sketch": "of_b"}), "b").join(slim.withColumnsRenamed({"cls": "a", "size": "n", "sketch": "of_a"}), "a")
+    return both.select("a", "b", "n", "m", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+    """The pairs (a, b) whose whole sets are similar enough. Of each pair one set travels; the other is joined where it lies."""
     both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("elements").alias("of_b")), "b").join(sets.select(F.col("cls").alias("a"), F.col("elements").alias("of_a")), "a")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     return both.filter(100 * shared >= percent * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
@@ -219,16 +237,17 @@ def _pair_rows(a: list[int], b: list[int]) -> pa.RecordBatch:
 
 
 def _among(batches, percent: int):
-    """Of each group's members outside its main component: pairs between components that sizes and sketches allow."""
+    """Of two parts of a group's members outside its main component: pairs between components that sizes and sketches allow."""
     for batch in batches:
         for row in batch.to_pylist():
-            who = row["who"]
-            bits, size, root = _bits(who), np.array([x["size"] for x in who], np.int64), np.array([x["root"] for x in who], np.int64)
-            for i, x in enumerate(who[:-1]):
-                j, _ = _allowed(x, bits[i], size[i + 1 :], bits[i + 1 :], percent)
-                j = j[root[j + i + 1] != root[i]] + i + 1
+            one, other = row["one"], row["other"]
+            bits, size, root = _bits(other), np.array([x["size"] for x in other], np.int64), np.array([x["root"] for x in other], np.int64)
+            cls, own = np.array([x["cls"] for x in other], np.int64), _bits(one)
+            for i, x in enumerate(one):
+                j, _ = _allowed(x, own[i], size, bits, percent)
+                j = j[(root[j] != x["root"]) & ((cls[j] > x["cls"]) | (row["same"] == 0))]
                 if len(j):
-                    yield _pair_rows([x["cls"]] * len(j), [who[k]["cls"] for k in j.tolist()])
+                    yield _pair_rows([x["cls"]] * len(j), cls[j].tolist())
 
 
 def _asked(batches, percent: int, best: int | None):
@@ -245,11 +264,11 @@ def _asked(batches, percent: int, best: int | None):
                     yield _pair_rows([x["cls"]] * len(j), [members[k]["cls"] for k in j.tolist()])
 
 
-def _open_pairs(each: DataFrame, links: DataFrame, sets: DataFrame, percent: int, best: int | None) -> DataFrame:
+def _open_pairs(each: DataFrame, links: DataFrame, sets: DataFrame, percent: int, best: int | None) -> tuple[DataFrame, tuple[DataFrame, ...]]:
     """Pairs of classes that share a signature and aren't in one component yet, as far as they may be similar enough.
 
     A group's members outside its main component are compared among themselves, and with the main component as a whole: once,
-    however many groups they share with it, and with so many of its members in a task.
+    however many groups they share with it, and with so many of its members in a task. The saved tables behind the pairs come with them.
     """
     roots = saved(connected(links), "roots")
     placed = each.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -257,15 +276,24 @@ def _open_pairs(each: DataFrame, links: DataFrame, sets: DataFrame, percent: int
     main = counts.groupBy("bid").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("bid", "main", "roots")
     outside = saved(placed.join(main, "bid").filter("root <> main").select("bid", "cls", "size", "root", "main", "roots"), "outside")
     bits = sets.select("cls", "sketch")
-    among = outside.filter("roots > 2").join(bits, "cls").groupBy("bid").agg(F.sort_array(F.collect_list(F.struct("cls", "size", "root", "sketch"))).alias("who"))
+    among = outside.filter("roots > 2").join(bits, "cls")
+    cut = among.groupBy("bid").agg(F.ceil(F.count(F.lit(1)) / COMPARED).cast("long").alias("parts"))
+    among = among.join(cut, "bid").groupBy("bid", "parts", F.pmod("cls", "parts").alias("part")).agg(F.collect_list(F.struct("cls", "size", "root", "sketch")).alias("who"))
+    one, other = (among.select("bid", F.col("part").alias(p), F.col("who").alias(w)) for p, w in (("p", "one"), ("q", "other")))
+    pairs = one.join(other, "bid").filter("p <= q").select("one", "other", F.expr("int(p = q)").alias("same")).mapInArrow(lambda b: _among(b, percent), "a long, b long")
     ask = outside.select("cls", "size", F.col("main").alias("root")).distinct()
-    known = sets.select("cls", "sketch", F.size("elements").cast("long").alias("size")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    known = sets.select("cls", "sketch", "size").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     wanted = known.join(ask.select("root").distinct(), "root", "left_semi")
-    parts = wanted.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / COMPARED).alias("parts"))
-    members = wanted.join(parts, "root").groupBy("root", F.pmod("cls", "parts").alias("part")).agg(F.collect_list(F.struct("cls", "size", "sketch")).alias("members"))
-    askers = ask.join(bits, "cls").withColumn("slice", F.pmod("cls", F.lit(64))).groupBy("root", "slice").agg(F.collect_list(F.struct("cls", "size", "sketch")).alias("askers"))
-    met = members.join(askers, "root").select("members", "askers")
-    return among.select("who").mapInArrow(lambda b: _among(b, percent), "a long, b long").unionByName(met.mapInArrow(lambda b: _asked(b, percent, best), "a long, b long")).distinct()
+    members = _parts(wanted).groupBy("root", "part").agg(F.collect_list(F.struct("cls", "size", "sketch")).alias("members"))
+    askers = _parts(ask.join(bits, "cls")).groupBy("root", "part").agg(F.collect_list(F.struct("cls", "size", "sketch")).alias("askers"))
+    met = members.join(askers.select("root", "askers"), "root").select("members", "askers").mapInArrow(lambda b: _asked(b, percent, best), "a long, b long")
+    return saved(pairs.unionByName(met).distinct(), "open"), (roots, outside)
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """rows with the part of its root that a row is in; a part has about COMPARED rows."""
+    parts = rows.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / COMPARED).cast("long").alias("parts"))
+    return rows.join(parts, "root").withColumn("part", F.pmod("cls", "parts"))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -274,9 +302,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     links connects any two classes that a chain of similar pairs connects; of a group of near copies it has no more pairs
     than are needed for that.
     """
-    spark = docs.sparkSession
     rows = saved(classes(docs, key, text, width), "classes")
-    owners = tasks(spark)
+    owners = owners_for(docs, text, OWNED)
     groups = _sent(docs, text, owners, width, percent).groupBy("owner").applyInArrow(lambda t: _groups(t, percent), "bid long, members array<long>, sizes array<long>, leaders array<long>")
     groups = saved(groups.dropDuplicates(["bid"]), "groups")
     each = groups.select("bid", F.explode(F.arrays_zip("members", "sizes", "leaders")).alias("x")).select("bid", F.col("x.members").alias("cls"), F.col("x.sizes").alias("size"), F.col("x.leaders").alias("lead"))
@@ -286,17 +313,24 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         for part, texts in grouped(batches, text):
             own = document_sets(texts, width)
             fits = [i for i, x in enumerate(own) if len(x) and class_of(x) == part.column(0)[i].as_py()]
-            yield pa.RecordBatch.from_arrays([pa.array([part.column(0)[i].as_py() for i in fits], pa.int64()), pa.array([own[i].view(np.int64) for i in fits], pa.list_(pa.int64())), pa.array([sketch(own[i]) for i in fits], pa.binary())], ["cls", "elements", "sketch"])
+            columns = [pa.array([part.column(0)[i].as_py() for i in fits], pa.int64()), pa.array([own[i].view(np.int64) for i in fits], pa.list_(pa.int64())), pa.array([len(own[i]) for i in fits], pa.int64()), pa.array([sketch(own[i]) for i in fits], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["cls", "elements", "size", "sketch"])
 
     chosen = docs.select(F.col(key).alias("key"), text).join(wanted, "key").select("cls", text)
-    sets = saved(chosen.mapInArrow(sets_of, "cls long, elements array<long>, sketch binary").dropDuplicates(["cls"]), "sets")
+    sets = saved(chosen.mapInArrow(sets_of, "cls long, elements array<long>, size long, sketch binary").dropDuplicates(["cls"]), "sets")
     stars = saved(each.filter("cls <> lead").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct(), "stars")
-    links = saved(_verified(stars, sets, percent), "links")
-    tried = stars
+    likely = saved(_bounded(stars, sets, percent), "likely")
+    links = saved(_verified(likely, sets, percent), "links")
+    released(likely)
+    tried, old = stars, [stars, groups, sets]
     for best in (BEST, None):  # likely pairs first: what they link needn't be compared again
-        more = saved(_open_pairs(each, links, sets, percent, best).join(tried, ["a", "b"], "left_anti"), "across")
+        found, behind = _open_pairs(each, links, sets, percent, best)
+        more = saved(found.join(tried, ["a", "b"], "left_anti"), "across")
+        released(found, *behind)
         links = links.unionByName(saved(_verified(more, sets, percent), "links"))
         tried = tried.unionByName(more)
+        old.append(more)
+    released(*old)
     return rows, links
 
 
@@ -321,15 +355,18 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """docs with one row of each component, that of the smallest key (then of the least hash of the text); all columns stay.
 
     Rows are told apart by key and text, so texts that share a key stay or go on their own; a null key counts as the largest.
+    Rows without words are linked with nothing and stay; of rows that are equal in key and text one stays. Other columns may
+    have any names and values. An empty table gives no rows.
     """
-    named = docs.withColumn("_id", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("hash")))
-    groups = saved(near_groups(named, "_id", text), "near")
-    kept = named.join(groups.filter("_id <> component_id").select(F.col("_id").alias("gone")).distinct(), F.col("_id").eqNullSafe(F.col("gone")), "left_anti")
-    repeated = saved(groups.groupBy("_id").count().filter("count > 1").select(F.col("_id").alias("again")), "repeated")
+    id_, gone_, again_ = unused(docs, "id_"), unused(docs, "gone_"), unused(docs, "again_")
+    named = docs.withColumn(id_, F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("hash")))
+    groups = saved(near_groups(named.select(id_, text), id_, text), "near")
+    kept = named.join(groups.filter(F.col(id_) != F.col("component_id")).select(F.col(id_).alias(gone_)).distinct(), F.col(id_).eqNullSafe(F.col(gone_)), "left_anti")
+    repeated = saved(groups.groupBy(id_).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col(id_).alias(again_)), "repeated")
     if repeated.isEmpty():
         return kept.select(docs.columns)
-    same = F.col("_id").eqNullSafe(F.col("again"))
-    once = kept.join(repeated, same, "left_semi").dropDuplicates(["_id"])
+    same = F.col(id_).eqNullSafe(F.col(again_))
+    once = kept.join(repeated, same, "left_semi").dropDuplicates([id_])
     return kept.join(repeated, same, "left_anti").unionByName(once).select(docs.columns)
 
 

@@ -72,3 +72,34 @@ def test_keep_one_tells_texts_of_one_key_apart(spark):
     of_c = [r for r in left if r[0] == 3]
     assert len(of_c) == 1 and of_c[0] in rows
     assert sorted((r for r in left if r[0] != 3), key=str) == sorted([(1, a), (2, b), (4, "x y z"), (None, "p q r")], key=str)
+
+
+def test_words_that_differ_hash_apart(spark):
+    word = "a"
+    for _ in range(11):
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    rows = [(1, word), (2, other), (3, f"{word} x"), (4, f"{other} x")]
+    assert sorted(tuple(x) for x in nj.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [(i, 1, i) for i in (1, 2, 3, 4)]
+
+
+def test_group_of_near_copies_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(nj, "COMPARED", 4)
+    r = random.Random(8)
+    rows = []
+    for base in range(6):  # a shared half links some of these, in chains, and leaves others apart
+        words = [f"w{r.randrange(90)}" for _ in range(120)]
+        for k in range(14):
+            own = list(words)
+            for _ in range(r.randrange(5)):
+                own[r.randrange(120)] = f"x{r.randrange(999)}"
+            rows.append((100 * base + k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(x) for x in nj.near_groups(df).collect()) == brute(rows)
+
+
+def test_keep_one_with_clashing_columns(spark):
+    rows = [(1, "a b c d e f", 5, 6, 7, "x"), (2, "a b c d e f g", 5, None, 7, "y"), (3, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id_ int, key int, cls int, component_id string")
+    assert sorted(tuple(x) for x in nj.keep_one(df).collect()) == [rows[0], rows[1], rows[2]]
+    assert nj.keep_one(df.limit(0)).columns == df.columns
