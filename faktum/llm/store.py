@@ -95,3 +95,16 @@ def unused(docs: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+#: Copies of a row that one task makes.
+COPIES = 4096
+
+
+def repeated(rows: DataFrame, count: str, number: str) -> DataFrame:
+    """Each row as often as count says, with its number from 1 on. A row with very many copies is dealt out before they are made."""
+    few = rows.filter(F.col(count) <= COPIES).withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.col(count))))
+    many = rows.filter(F.col(count) > COPIES).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / COPIES))))
+    dealt = many.repartition(tasks(rows.sparkSession), *[F.col(c) for c in rows.columns], F.col("_run"))
+    many = dealt.withColumn(number, F.explode(F.sequence(F.col("_run") * COPIES + 1, F.least(F.col(count), (F.col("_run") + 1) * COPIES)))).drop("_run")
+    return few.unionByName(many)
