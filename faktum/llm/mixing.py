@@ -3,8 +3,10 @@
 Each source's words are one stream, packed into blocks of BLOCK words. A mix is a sequence of slots, one block each, dealt to
 output shards of SLOTS slots. Every shard draws how many of its slots each source gets (a multinomial draw, from a
 pseudorandom number per slot); a source's n-th slot over all shards reads the block that a pseudorandom permutation of its
-block indices gives for n, a new permutation for each pass. Draws beyond a source's quota are given to the sources that
-drew too little, so every source is taken to its target to the word. Plan and blocks meet in a join on (source, index).
+block indices gives for n, a new permutation for each pass. So the draws decide which shard gets which blocks. Over all shards
+a source may draw more or less than its target: what it drew beyond it, in the last shards, goes to the sources that drew too
+little, in the same shards, so every source is taken to its target to the word. Plan and blocks meet in a join on
+(source, index).
 All of it is DataFrame functions.
 """
 
@@ -12,13 +14,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from faktum.llm.store import saved
+from faktum.llm.store import repeated, saved, unused
 
 #: Words in a block, slots in an output shard, weights by rank of the source, passes over a source at most.
-BLOCK, SLOTS, WEIGHTS, MOST = 2048, 4096, (5, 2, 1), 3
+BLOCK, SLOTS, WEIGHTS, MOST = 2048, 64, (5, 2, 1), 3
 #: Rows of a source that one task brings into order.
-RUN_ROWS = 20_000
+RUN_ROWS = 2_000
 #: A table of sources of at most so many rows (under 10 MB) is broadcast.
 BROADCAST_SOURCES = 1 << 16
 #: What separates words: space and the five controls from tab to carriage return.
@@ -164,34 +167,42 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
-    """One row per row of docs: key, size, source_size, target, taken.
+    """One row per row of docs: key, size, source_size, target, taken, first_shard, last_shard (null if nothing is taken).
 
     Null or empty text: size 0, taken 0. A null source is a source. Rows of equal key and size count one by one. The largest
     document may lie in many blocks and is taken from each of them. Reruns agree: nothing depends on how rows lie in
     partitions. No rows in, no rows out. Other columns aren't read.
     """
     used = pieces(docs, key, text, source, block, slots)
+    shard = F.when(F.col("take") > 0, F.col("shard"))
     # (sid, start) is one document with words; equal documents without words are counted
-    uses = used.groupBy("sid", "start", "key", "size", "source_size", "target").agg(F.sum("take").alias("taken"), F.count(F.lit(1)).alias("_n"))
-    rows = uses.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.when(F.col("start").isNull(), F.col("_n")).otherwise(F.lit(1)))))
-    return rows.select(F.col("key").alias(key), "size", "source_size", "target", "taken")
+    uses = used.groupBy("sid", "start", "key", "size", "source_size", "target").agg(F.sum("take").alias("taken"), F.min(shard).alias("first_shard"), F.max(shard).alias("last_shard"), F.when(F.col("start").isNull(), F.count(F.lit(1))).otherwise(1).alias("_n"))
+    return repeated(uses, "_n", "_copy").select(F.col("key").alias(key), "size", "source_size", "target", "taken", "first_shard", "last_shard")
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", chars: str = "n_chars", block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", chars: str = "n_chars", block: int = BLOCK, slots: int = SLOTS, shard: str | None = None) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each time that a document is taken whole, or for each part of it.
 
     A part's text is the taken words with the white space after each; chars, if docs has it, is the length of the text given.
-    Documents that the mix doesn't take go.
+    shard names a further column with the output shard that drew the words; without it a pass over a document is one row when
+    all of it is taken. Null and empty texts have no words and aren't taken; nor are documents that the mix passes over. Rows
+    that repeat or share a key count one by one, each with its own other columns, whatever their names. No rows in, no rows out.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    used = pieces(docs.withColumn("_h", F.xxhash64(body)), key, text, source, block, slots, tie="_h").filter("take > 0")
-    per = used.groupBy("key", "tie", "sid", "start", "size", "turn").agg(F.sum("take").alias("got"), F.collect_list(F.struct("begin", "take")).alias("parts"))
-    rows = per.select("key", "tie", F.explode(F.when(F.col("got") == F.col("size"), F.array(F.struct(F.lit(-1).cast("long").alias("begin"), F.col("size").alias("take")))).otherwise(F.col("parts"))).alias("part"))
-    texts = docs.withColumn("_h", F.xxhash64(body)).dropDuplicates([key, "_h"])
-    joined = texts.join(rows, (texts["_h"] == rows["tie"]) & texts[key].eqNullSafe(rows["key"]))
-    words = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1), (F.col("part.begin") + 1).cast("int"), F.col("part.take").cast("int")), "")
-    out = joined.withColumn("_text", F.when(F.col("part.begin") < 0, F.col(text)).otherwise(words))
-    return out.select(*[F.col("_text").alias(text) if c == text else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == chars else texts[c] for c in docs.columns])
+    tie, words = unused(docs, "tie_"), unused(docs, "words_")
+    hashed = [F.to_json(F.col(f.name)) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in docs.schema.fields]
+    named = docs.withColumn(tie, F.xxhash64(*hashed))
+    used = pieces(named, key, text, source, block, slots, tie=tie).filter("take > 0")
+    use = ["key", "tie", "sid", "start", "size", "turn"] + (["shard"] if shard else [])
+    per = used.groupBy(*use).agg(F.sum("take").alias("got"), F.collect_list(F.struct("begin", "take")).alias("parts"))
+    whole = F.array(F.struct(F.lit(-1).cast("long").alias("begin"), F.col("size").alias("take")))
+    one = F.explode(F.when(F.col("got") == F.col("size"), whole).otherwise(F.col("parts"))).alias("part")
+    rows = per.select(F.col("key").alias("k"), F.col("tie").alias("t"), one, *(["shard"] if shard else []))
+    texts = named.dropDuplicates([key, tie])
+    joined = texts.join(rows, (texts[tie] == rows["t"]) & texts[key].eqNullSafe(rows["k"]))
+    taken = F.array_join(F.slice(F.regexp_extract_all(texts[text], F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1), (rows["part.begin"] + 1).cast("int"), rows["part.take"].cast("int")), "")
+    out = joined.select(*[texts[c] for c in docs.columns], F.when(rows["part.begin"] < 0, texts[text]).otherwise(taken).alias(words), *([rows["shard"].alias(tie)] if shard else []))
+    final = [F.col(words).alias(text) if c == text else F.length(words).cast(docs.schema[c].dataType).alias(c) if c == chars else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*final, *([F.col(tie).alias(shard)] if shard else []))
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
@@ -217,18 +228,32 @@ s4 AS (SELECT *, CASE WHEN p0 IS NULL OR place < p0 THEN cap::DOUBLE ELSE lam *
 s AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota, CAST(ceil(size / {BLOCK}) AS BIGINT) AS blocks FROM s4),
 slots AS (SELECT sid, size, blocks, quota // greatest(size, 1) AS full_, quota % greatest(size, 1) AS rest,
   (quota // greatest(size, 1)) * blocks + CAST(ceil((quota % greatest(size, 1)) / {BLOCK}) AS BIGINT) AS slots FROM s),
-nths AS (SELECT *, unnest(range(0, slots)) AS nth FROM slots WHERE slots > 0),
+f AS (SELECT *, coalesce(sum(slots) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS from_ FROM slots),
+ids AS (SELECT unnest(range(0, (SELECT sum(slots)::BIGINT FROM slots))) AS id, (SELECT greatest(sum(slots), 1)::BIGINT FROM slots) AS total),
+tickets AS (SELECT id // {SLOTS} AS shard, ({prf('id', '11')} * {_P} + {prf('id', '23')}) % total AS ticket FROM ids),
+draws AS (SELECT shard, sid, count(*) AS n FROM tickets JOIN f ON ticket >= from_ AND ticket < from_ + slots GROUP BY shard, sid),
+begun AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY sid ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM draws),
+drawn AS (SELECT shard, sid, unnest(range(start, start + n)) AS nth FROM begun),
+got AS (SELECT f.sid, f.slots, coalesce(sum(n), 0)::BIGINT AS got FROM f LEFT JOIN draws ON draws.sid = f.sid GROUP BY f.sid, f.slots),
+bal AS (SELECT *, greatest(slots - got, 0) AS under,
+  coalesce(sum(greatest(got - slots, 0)) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS over_from,
+  coalesce(sum(greatest(slots - got, 0)) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS under_from FROM got),
+spare AS (SELECT shard, over_from + nth - slots AS spare FROM drawn JOIN bal USING (sid) WHERE nth >= slots),
+dealt AS (SELECT shard, sid, nth FROM drawn JOIN bal USING (sid) WHERE nth < slots
+  UNION ALL SELECT shard, sid, got + spare - under_from FROM spare JOIN bal ON spare >= under_from AND spare < under_from + under),
+nths AS (SELECT slots.*, dealt.shard, dealt.nth FROM dealt JOIN slots USING (sid)),
 placed_slots AS (SELECT *, nth // blocks AS turn, nth % blocks AS j, blocks - 1 AS n, sid * 31 + nth // blocks AS seed FROM nths),
-mixed AS (SELECT sid, CASE WHEN j = blocks - 1 THEN j ELSE x4 END AS block,
+mixed AS (SELECT sid, shard, CASE WHEN j = blocks - 1 THEN j ELSE x4 END AS block,
   CASE WHEN turn = full_ AND rest - j * {BLOCK} < {BLOCK} THEN rest - j * {BLOCK} WHEN j = blocks - 1 THEN size - j * {BLOCK} ELSE {BLOCK} END AS words FROM {nested}),
 runs AS (SELECT 1 + count(*) // {RUN_ROWS} AS k FROM d),
 p AS (SELECT d.doc_id, d.size, s.size AS source_size, s.target, s.sid,
   coalesce(sum(d.size) OVER (PARTITION BY s.sid ORDER BY ((d.doc_id % k) + k) % k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source CROSS JOIN runs),
 b AS (SELECT *, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) AS block FROM p WHERE size > 0),
-t AS (SELECT b.doc_id, sum(greatest(0, least(b.start + b.size - b.block * {BLOCK}, {BLOCK}, m.words) - greatest(b.start - b.block * {BLOCK}, 0)))::BIGINT AS taken
-  FROM b JOIN mixed m ON b.sid = m.sid AND b.block = m.block GROUP BY b.doc_id)
-SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(t.taken, 0) AS taken FROM p LEFT JOIN t ON p.doc_id = t.doc_id
+u AS (SELECT b.doc_id, m.shard, greatest(0, least(b.start + b.size - b.block * {BLOCK}, {BLOCK}, m.words) - greatest(b.start - b.block * {BLOCK}, 0)) AS take
+  FROM b JOIN mixed m ON b.sid = m.sid AND b.block = m.block),
+t AS (SELECT doc_id, sum(take)::BIGINT AS taken, min(shard) FILTER (WHERE take > 0) AS first_shard, max(shard) FILTER (WHERE take > 0) AS last_shard FROM u GROUP BY doc_id)
+SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(t.taken, 0) AS taken, t.first_shard, t.last_shard FROM p LEFT JOIN t ON p.doc_id = t.doc_id
 """
 
 
