@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faktum.llm import extendible
+from faktum.llm.store import repeated, saved, unused
 
 #: Bytes of text that a shard may hold in production.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 1 << 20
 
 
 def shard(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -23,23 +24,26 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text:
     name = F.coalesce(F.col(key).cast("string"), F.lit("\0null"))
     slim = docs.select(F.col(key).alias("_key"), F.octet_length(body).cast("long").alias("weight"), extendible.hash60(name).alias("h1"), extendible.hash60(F.concat_ws("\x01", name, body)).alias("h2"))
     copies = slim.groupBy("_key", "weight", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
-    rows = copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).withColumn("h3", extendible.hash60(F.concat_ws("\x01", F.col("h2").cast("string"), F.col("copy").cast("string"))))
+    rows = repeated(copies, "n", "copy").withColumn("h3", extendible.hash60(F.concat_ws("\x01", F.col("h2").cast("string"), F.col("copy").cast("string"))))
     named = rows.withColumn("_bytes", F.col("weight")).withColumn("_h2", F.col("h2")).withColumn("_copy", F.col("copy"))
+    named = saved(named, "slim")  # texts are read and hashed once
     out = extendible.assign(named, limit, keep=["_key", "_bytes", "_h2", "_copy"])
     return out.select(F.col("_key").alias(key), F.col("_bytes").alias("n_bytes"), F.col("bucket").alias("shard"), F.col("depth").cast("int").alias("depth"), F.col("bucket_weight").alias("shard_bytes"), (F.col("bucket_weight") > limit).alias("oversize"), "_h2", "_copy")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> None:
-    """docs as Parquet, one folder shard=... for each shard. Repeated rows are spread as shard() says; all columns stay."""
-    plan = shard(docs, limit, key, text).withColumnsRenamed({key: "_plan_key", "shard": "_shard"}).select("_plan_key", "_h2", "_copy", "_shard")
-    body, name = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(key).cast("string"), F.lit("\0null"))
-    from pyspark.sql import Window
+    """docs as Parquet, one folder shard=s... (s and the hash prefix) for each shard; all columns stay, whatever their names.
 
-    keyed = docs.withColumn("_h2", extendible.hash60(F.concat_ws("\x01", name, body)))
-    keyed = keyed.withColumn("_copy", F.row_number().over(Window.partitionBy(key, "_h2").orderBy(F.lit(1))).cast("long"))
-    joined = keyed.join(plan, keyed[key].eqNullSafe(plan["_plan_key"]) & (keyed["_h2"] == plan["_h2"]) & (keyed["_copy"] == plan["_copy"]))
-    columns: list[Column] = [keyed[c] for c in docs.columns]
-    joined.select(*columns, F.col("_shard").alias("shard")).repartition("shard").write.partitionBy("shard").parquet(path)
+    Rows that are equal in key and text are spread as shard() says, in order of a hash of their other columns, so that a task
+    that runs again gives the same. Nulls, empty and long texts are as in shard(). An empty table writes no shard.
+    """
+    h, copy, order = unused(docs, "h_"), unused(docs, "copy_"), unused(docs, "order_")
+    plan = shard(docs, limit, key, text).select(F.col(key).alias("k"), F.col("_h2").alias("h"), F.col("_copy").alias("c"), F.concat(F.lit("s"), "shard").alias("s"))
+    body, name = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(key).cast("string"), F.lit("\0null"))
+    keyed = docs.withColumn(h, extendible.hash60(F.concat_ws("\x01", name, body))).withColumn(order, F.to_json(F.struct(*docs.columns)))
+    keyed = keyed.withColumn(copy, F.row_number().over(Window.partitionBy(key, h).orderBy(order)).cast("long"))
+    joined = keyed.join(plan, keyed[key].eqNullSafe(plan["k"]) & (keyed[h] == plan["h"]) & (keyed[copy] == plan["c"]))
+    joined.select(*[keyed[c] for c in docs.columns], F.col("s").alias("shard")).repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:

@@ -35,11 +35,23 @@ def test_sharding(spark):
     assert sharding.shard(frame(spark, []), limit=300).count() == 0
 
 
+def test_write_shards(spark, tmp_path):
+    rows = ODD + [(7, "same row", "a")] * 9 + [(8, "same text", "a"), (8, "same text", "b")] + [(i, "t" * (i % 50), "a") for i in range(100, 160)]
+    sharding.write_shards(frame(spark, rows), str(tmp_path / "out"), limit=200)
+    back = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out"))
+    assert Counter((r.doc_id, r.text, r.source, r["size"]) for r in back.collect()) == Counter((*r, "clash") for r in rows)
+    sizes = Counter()
+    for r in back.collect():
+        sizes[str(r.shard)] += len((r.text or "").encode())
+    want = {r.shard: r.shard_bytes for r in sharding.shard(frame(spark, rows), limit=200).collect()}
+    assert sorted(sizes.values()) == sorted(want.values()) and len(sizes) > 5
+
+
 def test_exact_dedup(spark):
     groups = defaultdict(list)
     for i, t, _ in ODD:
         groups[t or ""].append(i)
-    got = exact_dedup.exact_dedup(frame(spark, ODD), bucket_entries=1).collect()
+    got = exact_dedup.exact_dedup(frame(spark, ODD), bucket_bytes=1).collect()
     want = Counter((i, max((x for x in groups[t or ""] if x is not None), default=None), len(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in ODD)
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
     kept = [r for r in got if r.kept]
@@ -49,6 +61,45 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
 
 
+def test_exact_dedup_goes_through_its_directory(spark, monkeypatch):
+    rows = [(i, f"text {i % 60} " * (1 + i % 60 % 7), "a") for i in range(240)] + [(1000 + i, f"alone {i}", "b") for i in range(30)]
+    df, limit = frame(spark, rows), 100
+    sizes, copies = {}, Counter(t for _, t, _ in rows)
+    for r in exact_dedup.index(df, bucket_bytes=limit).collect():
+        text = next(t for t in copies if hashlib.sha256(t.encode()).hexdigest() == r.sha)
+        assert r.n == copies[text] > 1 and r.keep == max(i for i, t, _ in rows if t == text)
+        assert format((r.h % 2**64) >> 4, "060b").startswith(r.bucket)
+        sizes.setdefault(r.bucket, []).append(len(text))
+    assert sum(map(len, sizes.values())) == sum(n > 1 for n in copies.values()) and len(sizes) > 10
+    assert all(sum(v) <= limit or len(v) == 1 for v in sizes.values())
+    assert not any(a != b and b.startswith(a) for a in sizes for b in sizes)
+
+    def result():
+        return sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df, bucket_bytes=limit).collect())
+
+    right = result()
+    assert right == sorted((i, max(j for j, u, _ in rows if u == t), copies[t], i == max(j for j, u, _ in rows if u == t)) for i, t, _ in rows)
+    for broken in ("junk", "0"):  # a directory that sends keys to buckets that aren't theirs
+        with monkeypatch.context() as m:
+            m.setattr(exact_dedup, "directory", lambda docs, text, b, broken=broken: docs.sparkSession.createDataFrame([(h, broken) for (h,) in docs.selectExpr(f"xxhash64(coalesce({text}, ''))").distinct().collect()], "h long, bucket string"))
+            assert result() != right
+
+
+def test_many_repeated_rows(spark):
+    from faktum.llm.store import repeated
+
+    df = spark.createDataFrame([(1, 3), (2, 10_000), (3, 4096), (4, 4097)], "k long, n long")
+    got = repeated(df, "n", "i").groupBy("k").agg({"i": "max", "k": "count"}).collect()
+    assert sorted((r.k, r["max(i)"], r["count(k)"]) for r in got) == [(1, 3, 3), (2, 10_000, 10_000), (3, 4096, 4096), (4, 4097, 4097)]
+
+
+def test_keep_one_with_clashing_columns(spark):
+    rows = [(1, "a", "x", 5, None, "k"), (2, "a", "y", None, None, "l"), (3, None, "z", 6, None, "m"), (2, "a", "y", None, None, "l")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, sha_ string, _sha int, gone_ int, keep string")
+    left = sorted(tuple(r) for r in exact_dedup.keep_one(df).collect())
+    assert left == [rows[1], rows[2]] and exact_dedup.keep_one(df.limit(0)).columns == df.columns
+
+
 def test_mixing(spark):
     rows = ODD + [(1000 + i, "w " * (i % 37), f"s{i % 5}") for i in range(400)]
     got = mixing.mix(frame(spark, rows), block=16, slots=32).collect()
@@ -77,9 +128,47 @@ def test_mixing(spark):
     assert all(abs(taken[s] - target[s]) <= 0.5 for s in names)
     again = mixing.mix(frame(spark, rows).repartition(7), block=16, slots=32).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
-    out = mixing.mixed(frame(spark, [r for r in rows if r[0] != 3]), block=16, slots=32).collect()
+    out = mixing.mixed(frame(spark, rows), block=16, slots=32).collect()
     assert out and set(out[0].asDict()) == {"doc_id", "text", "source", "size"}
-    assert mixing.mix(frame(spark, [])).count() == 0
+    words = Counter()
+    for r in out:
+        words[r.doc_id] += size(r.text)
+    used = Counter()
+    for r in got:
+        used[r.doc_id] += r.taken
+    assert words == +used
+    assert mixing.mix(frame(spark, [])).count() == 0 and mixing.mixed(frame(spark, [])).count() == 0
+
+
+def test_shards_of_the_mix_are_drawn(spark):
+    """Per shard, counts of a source are multinomial: mean and variance over many shards; parts lie in the shard that drew them."""
+    from pyspark.sql import functions as F
+
+    sizes = {1: 4000, 2: 2000, 3: 1000}  # slots of each source, in blocks of one word
+    sources = spark.createDataFrame([(k, f"s{k}", n, n, float(n), n, n, 1, 0, n, sum(v for j, v in sizes.items() if j < k)) for k, n in sizes.items()], "sid long, source string, size long, n long, target double, blocks long, quota long, full long, rest long, slots long, from long")
+    plan = mixing.plan(sources, block=1, slots=70)
+    counts = {(r.shard, r.sid): r["count"] for r in plan.groupBy("shard", "sid").count().collect()}
+    for sid, n in sizes.items():
+        p, own = n / 7000, np.array([counts.get((s, sid), 0) for s in range(100)])
+        assert own.sum() == n and abs(own.mean() - 70 * p) < 1e-9
+        early = own[:85]  # what a source drew beyond its target is given away in the last shards
+        assert abs(early.mean() - 70 * p) < 1.5 and 0.6 < early.var() / (70 * p * (1 - p)) < 1.6, early.var()
+    assert plan.select("sid", "block").distinct().count() == plan.count() == 7000
+    docs = spark.createDataFrame([(i, f"s{i % 3}", " ".join(f"w{i}_{j}" for j in range(50)), 0, "x", 3) for i in range(120)], "doc_id long, source string, text string, n_chars long, part string, _text int")
+    rows = mixing.mixed(docs, block=16, slots=8, shard="shard")
+    assert rows.columns == [*docs.columns, "shard"]
+    per = {r.doc_id: (r.a, r.b) for r in rows.groupBy("doc_id").agg(F.min("shard").alias("a"), F.max("shard").alias("b")).collect()}
+    for r in mixing.mix(docs, block=16, slots=8).collect():
+        assert (r.first_shard, r.last_shard) == per.get(r.doc_id, (None, None))
+    fill = {r.shard: r.n for r in rows.groupBy("shard").agg(F.sum(F.regexp_count("text", F.lit("[^ ]+"))).alias("n")).collect()}
+    assert max(fill.values()) <= 8 * 16 and len(fill) > 10
+    assert all(r.n_chars == len(r.text) and r.part == "x" and r._text == 3 for r in rows.collect())
+
+
+def test_mixed_keeps_rows_that_differ_elsewhere(spark):
+    rows = [(1, "a b c", "s", "x"), (1, "a b c", "s", "y"), (2, "d e f", "s", "z")]
+    out = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string, other string"), block=4, slots=2).collect()
+    assert {r.other for r in out} == {"x", "y", "z"}
 
 
 def test_permutation():
