@@ -3,176 +3,45 @@
 A passage is any string of LENGTH bytes. Only bytes near something that repeats can be in a repeated one, so texts are first
 cut at anchors: of the GRAM-byte strings in a passage the one with the least hash (the first of those) is its anchor, and
 a segment is a run of passages with one anchor. Equal passages have equal anchors, so they are in segments that meet at
-the anchor's owner. There equal segments fold into the earliest, and anchors with a single segment are done. What is left
-is sorted: an owner deals its anchors to shards by bytes; a shard's segments are one text, whose suffixes are put in order
-by induced sorting. A shard is held in memory, so that memory depends on SHARD_BYTES and on the largest anchor.
-
-The sorting keeps its suffixes in queues by first symbol, which are taken in order (a monotone priority queue) and lie on
-the task's disk beyond QUEUE_BYTES. The least suffixes of each run (those that start with a rise after a fall) are sorted
-first: once by their first stretch, by induction; the stretches get names, and the text of names is sorted in turn, by
-doubling, where names repeat. From these all other suffixes are induced, falling ones upwards and rising ones downwards.
-Neighbours with a common prefix of LENGTH bytes are then equal passages; all but the earliest go.
+the anchor's owner. There segments of equal content (two independent 64-bit hashes and the length) fold into the earliest, so
+that a passage with any share of the rows is sorted once. Others can only share a passage if they share the SIDE bytes to the
+left or to the right of the anchor; a segment that shares neither is done. What is left is sorted: an
+owner deals its anchors to shards by bytes; a shard's segments are written one after the other to a text on the task's disk,
+whose suffixes come out in order with their common prefixes from faktum.llm.induced, in memory that doesn't depend on the
+size of the shard. Neighbours with a common prefix of LENGTH bytes are equal passages; all but the earliest go.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faktum.llm.store import saved, tasks
-from faktum.llm.textkit import grouped, mix, power, texts_of
-
-#: Bytes of a passage and of an anchor; bytes that a task's queues hold in memory; segments gathered before they are sent; bytes of a shard.
-LENGTH, GRAM, QUEUE_BYTES, GATHERED, SHARD_BYTES = 100, 32, 64 << 20, 1 << 19, 2 << 20
-
-
-class Queues:
-    """First-in first-out queues of suffixes by symbol. What is over the limit goes to one file of the task, in runs."""
-
-    def __init__(self, symbols: int, limit: int = QUEUE_BYTES) -> None:
-        self.parts: list[list] = [[] for _ in range(symbols)]
-        self.limit, self.held, self.file = limit, 0, None
-
-    def push(self, symbols: np.ndarray, suffixes: np.ndarray) -> None:
-        order = np.argsort(symbols, kind="stable")
-        symbols, suffixes = symbols[order], suffixes[order]
-        cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(symbols)), bool), symbols[1:] != symbols[:-1])))
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(symbols)], strict=False):
-            self.parts[symbols[a]].append(suffixes[a:b].copy())
-        self.held += suffixes.nbytes
-        if self.held > self.limit:
-            self._spill()
-
-    def _spill(self) -> None:
-        if self.file is None:
-            self.file = tempfile.TemporaryFile()
-        self.file.seek(0, os.SEEK_END)
-        for runs in self.parts:
-            for i, run in enumerate(runs):
-                if isinstance(run, np.ndarray):
-                    at = self.file.tell()
-                    self.file.write(run.tobytes())
-                    runs[i] = (at, len(run), run.dtype)
-        self.held = 0
-
-    def pop(self, symbol: int) -> np.ndarray:
-        out = []
-        for run in self.parts[symbol]:
-            if isinstance(run, tuple):
-                self.file.seek(run[0])
-                out.append(np.frombuffer(self.file.read(run[1] * run[2].itemsize), run[2]))
-            else:
-                out.append(run)
-                self.held -= run.nbytes
-        self.parts[symbol] = []
-        return np.concatenate(out) if out else np.empty(0, np.int64)
+from faktum.llm.induced import Pool, Spread, suffixes
+from faktum.llm.store import owners_for, released, saved, tasks
+from faktum.llm.textkit import CHUNK, grouped, mix, power, texts_of
 
-    def close(self) -> None:
-        if self.file is not None:
-            self.file.close()
-
-
-def _rises(s: np.ndarray) -> np.ndarray:
-    """Whether each suffix is less than the next one; the last, which is a symbol of its own below all others, counts as such."""
-    begin = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    up = np.append(s[begin[:-1]] < s[begin[1:]], True)
-    return np.repeat(up, np.diff(np.append(begin, len(s))))
-
-
-def _induce(s: np.ndarray, rises: np.ndarray, seeds: np.ndarray, limit: int) -> np.ndarray:
-    """All suffixes in order, given the valleys (a rise after a fall) in order. With seeds in order of their first symbol only, the first stretches come out in order."""
-    symbols = int(s.max()) + 1
-    up, lows = Queues(symbols, limit), Queues(symbols, limit)
-    lows.push(s[seeds], seeds)
-    falling: list[np.ndarray] = []
-    for c in range(symbols):
-        out, now = [], up.pop(c)
-        while len(now):
-            out.append(now)
-            before = now[now > 0] - 1
-            before = before[~rises[before]]
-            same = s[before] == c
-            up.push(s[before[~same]], before[~same])
-            now = before[same]
-        falling.append(np.concatenate(out) if out else np.empty(0, np.int64))
-        low = lows.pop(c)
-        before = low[low > 0] - 1
-        up.push(s[before], before)
-    up.close()
-    lows.close()
-    down = Queues(symbols, limit)
-    result: list[np.ndarray] = []
-    for c in range(symbols - 1, -1, -1):
-        out, now = [], down.pop(c)
-        if c == 0:
-            now = np.concatenate((now, np.array([len(s) - 1])))  # the end symbol itself
-        while len(now):
-            out.append(now)
-            before = now[now > 0] - 1
-            before = before[rises[before]]
-            same = s[before] == c
-            down.push(s[before[~same]], before[~same])
-            now = before[same]
-        low = falling[c][::-1]
-        before = low[low > 0] - 1
-        before = before[rises[before]]
-        down.push(s[before], before)
-        result.append(np.concatenate((*out, low)))
-    down.close()
-    return np.concatenate(result)[::-1]
-
-
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """The suffixes of a text of names in order: ranks of one stretch give those of two, and so on until they differ."""
-    rank, width = names.astype(np.int64), 1
-    while True:
-        second = np.full(len(rank), -1, np.int64)
-        if width < len(rank):
-            second[:-width] = rank[width:]
-        order = np.lexsort((second, rank))
-        changed = np.concatenate(([False], (rank[order][1:] != rank[order][:-1]) | (second[order][1:] != second[order][:-1])))
-        new = np.empty(len(rank), np.int64)
-        new[order] = np.cumsum(changed)
-        if changed[1:].all() or len(rank) < 2 or width > len(rank):
-            return order
-        rank, width = new, width * 2
-
-
-def suffix_order(text: np.ndarray, limit: int = QUEUE_BYTES) -> np.ndarray:
-    """The suffix array of a text of small whole numbers of at least 1, without an end symbol."""
-    if not len(text):
-        return np.empty(0, np.int64)
-    s = np.append(text.astype(np.int32), 0)
-    rises = _rises(s)
-    valley = np.flatnonzero(rises[1:] & ~rises[:-1]) + 1
-    rough = _induce(s, rises, valley, limit)
-    is_valley = np.zeros(len(s), bool)
-    is_valley[valley] = True
-    order = rough[is_valley[rough]]
-    # names: equal stretches (from a valley to the next, both included) get equal names
-    following = np.append(valley[1:], len(s) - 1)
-    length = np.zeros(len(s), np.int64)
-    length[valley] = np.minimum(following + 1, len(s)) - valley
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((s.astype(np.uint64) + np.uint64(1)) * power(len(s)))))
-    print_ = (total[order + length[order]] - total[order]) * power(len(s), "down")[order]
-    differs = np.concatenate(([False], (print_[1:] != print_[:-1]) | (length[order][1:] != length[order][:-1])))
-    name = np.zeros(len(s), np.int64)
-    name[order] = np.cumsum(differs)
-    names = name[valley]
-    ranked = valley[_doubled(names)] if len(names) and not differs[1:].all() else order
-    out = _induce(s, rises, ranked, limit)
-    return out[out < len(text)]
-
-
-def segments(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """Of a text's segments: hash of the anchor, hash of the content, start, number of passages."""
+#: Bytes of a passage and of an anchor; bytes that a sorting task's runs hold in memory; segments gathered before they are sent; bytes of a shard.
+LENGTH, GRAM, MEMORY, GATHERED, SHARD_BYTES = 100, 32, 48 << 20, 1 << 19, 8 << 20
+#: Bytes of texts whose segments an owner gets, about.
+OWNED = 16 << 20
+#: Of the two sides of a passage's anchor, the longer has at least so many bytes.
+SIDE = (LENGTH - GRAM) // 2
+#: What each byte counts as in the second content hash.
+_OTHER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def segments(text: bytes) -> tuple[np.ndarray, ...] | None:
+    """Of a text's segments: hash of the anchor, two hashes of the content, start, number of passages, hashes of the sides.
+
+    A passage reaches at least SIDE bytes to the left or to the right of its anchor. The hash of a side stands for the SIDE
+    bytes there if some passage of the segment reaches over them, and is 0 if none does.
+    """
     buf = np.frombuffer(text, np.uint8)
     n = len(buf)
     if n < LENGTH:
@@ -191,10 +60,19 @@ def segments(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     start = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     count = np.diff(np.append(start, len(at)))
     content = mix((total[start + count + LENGTH - 1] - total[start]) * down[start] + count.astype(np.uint64))
-    return hashes[at[start]], content, start, count
-
-
-_SEG = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("start", "<u4"), ("n", "u1")])
+    before, total = total, np.zeros(n + 1, np.uint64)
+    np.cumsum(_OTHER[buf] * power(n), out=total[1:])
+    other = mix((total[start + count + LENGTH - 1] - total[start]) * down[start] + count.astype(np.uint64))
+    p = at[start]
+    here = p - start >= SIDE
+    left = np.where(here, mix((before[p] - before[np.where(here, p - SIDE, 0)]) * down[np.where(here, p - SIDE, 0)]) >> np.uint64(33) | np.uint64(1), np.uint64(0))
+    here = p - (start + count - 1) <= LENGTH - GRAM - SIDE
+    q = np.where(here, p + GRAM, 0)
+    right = np.where(here, mix((before[q + np.where(here, SIDE, 0)] - before[q]) * down[q]) >> np.uint64(33) | np.uint64(1), np.uint64(0))
+    return hashes[p], content, other, start, count, left, right
+
+
+_SEG = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("other", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("start", "<u4"), ("n", "u1"), ("left", "<u4"), ("right", "<u4")])
 _RUN = np.dtype([("start", "<u4"), ("n", "<u4")])
 
 
@@ -229,7 +107,7 @@ def _sent(batches, owners: int):
         for doc, tie, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), texts, strict=True):
             if (s := segments(text)) is not None:
                 x = np.zeros(len(s[0]), _SEG)
-                x["anchor"], x["content"], x["start"], x["n"] = s
+                x["anchor"], x["content"], x["other"], x["start"], x["n"], x["left"], x["right"] = s
                 x["doc"], x["tie"] = doc, tie
                 held.append(x)
                 size += len(x)
@@ -261,67 +139,131 @@ def _shards(owner: int, group: np.ndarray, n: np.ndarray, limit: int) -> np.ndar
 
 
 def _owned(table: pa.Table, limit: int) -> pa.Table:
-    """Folds equal segments into the earliest; the rest of an anchor's segments, if there are several, are to be compared."""
+    """Folds equal segments into the earliest; of an anchor's other segments those that share a side are to be compared."""
     x = np.concatenate([_unpacked(b) for b in table.column("blob").to_pylist()])
-    x = x[np.lexsort((x["start"], x["tie"], x["doc"], x["content"], x["anchor"]))]
+    x = x[np.lexsort((x["start"], x["tie"], x["doc"], x["n"], x["other"], x["content"], x["anchor"]))]
     again = np.concatenate(([False], (x["start"][1:] == x["start"][:-1]) & (x["doc"][1:] == x["doc"][:-1]) & (x["tie"][1:] == x["tie"][:-1])))
     x = x[~again]  # rows that are equal in key and text
     new = np.concatenate(([True], x["anchor"][1:] != x["anchor"][:-1]))
-    first = new | np.concatenate(([True], x["content"][1:] != x["content"][:-1]))
+    first = new | np.concatenate(([True], (x["content"][1:] != x["content"][:-1]) | (x["other"][1:] != x["other"][:-1]) | (x["n"][1:] != x["n"][:-1])))
     group = np.cumsum(new) - 1
-    several = np.bincount(group, first) > 1
-    compare = first & several[group]
+    compare = np.zeros(len(x), bool)
+    for side in ("left", "right"):  # equal passages have equal sides, the left or the right ones
+        at = np.flatnonzero(first & (x[side] > 0))
+        _, name, times = np.unique(group[at].astype(np.uint64) << np.uint64(32) | x[side][at], return_inverse=True, return_counts=True)
+        compare[at[times[name] > 1]] = True
     shard = _shards(table.column("owner")[0].as_py(), group[compare], x["n"][compare], limit)
     return pa.concat_tables([_rows(x[~first], 0), _rows(x[compare], 1, shard)])
 
 
 def _cut_out(batches):
     """The segments' bytes, from their documents."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
     for batch in batches:
-        texts = texts_of(batch.column(4))
-        out = []
-        for shard, doc, tie, runs, text in zip(*(batch.column(i).to_pylist() for i in range(4)), texts, strict=True):
-            r = np.frombuffer(runs, _RUN)
-            for s, n in r.tolist():
-                out.append((shard, doc, tie, s, text[s : s + n + LENGTH - 1]))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["shard", "doc", "tie", "start", "bytes"])
-
-
-def _sorted_shard(table: pa.Table, limit: int = QUEUE_BYTES) -> pa.Table:
-    """Of a shard's segments: the runs of passages that an earlier place in the shard has too."""
-    doc, tie, start = (table.column(c).to_numpy() for c in ("doc", "tie", "start"))
-    order = np.lexsort((start, tie, doc))  # places in the joined text then are in order of document and start
-    pieces = table.column("bytes").take(pa.array(order)).to_pylist()
-    doc, tie, start = doc[order], tie[order], start[order]
-    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    begin = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
-    buf = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
-    text = buf.astype(np.int32) + 2
-    text[begin + size] = 1
-    sa = suffix_order(text, limit)
-    room = np.repeat(begin + size, size + 1) - np.arange(len(text))
-    sa = sa[room[sa] >= LENGTH]
-    # the common prefix of neighbours, as far as it matters: 8 bytes at a time
-    wide = np.lib.stride_tricks.sliding_window_view(np.concatenate((buf, np.zeros(8, np.uint8))), 8)
-    same = np.arange(1, len(sa))
-    for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
-        words = lambda at, k=k: np.ascontiguousarray(wide[at + k]).view(np.uint64)[:, 0]
-        same = same[words(sa[same]) == words(sa[same - 1])]
-    joined = np.zeros(len(sa), bool)
-    joined[same] = True
-    head = np.flatnonzero(~joined)
-    gone = np.zeros(len(text), bool)
-    if len(sa):
-        earliest = np.minimum.reduceat(sa, head)
-        gone[sa] = True
-        gone[earliest] = False
-    # runs of passages that go, within segments
-    edge = np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))
-    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    piece = np.searchsorted(begin, a, side="right") - 1
-    x = np.zeros(len(a), np.dtype([("doc", "<i8"), ("tie", "<u4"), ("start", "<u4"), ("n", "<u4")]))
-    x["doc"], x["tie"], x["start"], x["n"] = doc[piece], tie[piece], start[piece] + a - begin[piece], b - a
-    return _rows(x, 0)
+        out: list[tuple] = []
+        size = 0
+        for doc, tie, parts, text in zip(*(batch.column(i).to_pylist() for i in range(3)), texts_of(batch.column(3)), strict=True):
+            for part in parts:
+                for s, n in np.frombuffer(part["runs"], _RUN).tolist():
+                    out.append((part["shard"], doc, tie, s, text[s : s + n + LENGTH - 1]))
+                    size += n + LENGTH
+                if size > CHUNK:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], _PIECE)
+                    out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], _PIECE)
+
+
+_PIECE = ["shard", "doc", "tie", "start", "bytes"]
+_PLACED = np.dtype([("begin", "<i8"), ("size", "<i8"), ("doc", "<i8"), ("tie", "<u4"), ("start", "<u4")])
+
+
+class Shard:
+    """A shard's text on the task's disk, from its segments in order of document and start."""
+
+    def __init__(self, memory: int) -> None:
+        self.memory, self.folder = memory, tempfile.TemporaryDirectory()
+        self.text, self.placed = (open(f"{self.folder.name}/{name}", "wb") for name in ("text", "placed"))
+        self.n, self.last = 0, None
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        columns = [rows.column(i).to_pylist() for i in range(1, 5)]
+        for doc, tie, start, piece in zip(*columns, strict=True):
+            if (doc, tie, start) == self.last:
+                continue  # rows that are equal in key and text
+            self.last = doc, tie, start
+            symbols = np.frombuffer(piece, np.uint8).astype(np.uint16) + np.uint16(2)
+            self.text.write(symbols.tobytes())
+            self.text.write(b"\1\0")
+            self.placed.write(np.array([(self.n, len(piece), doc, tie, start)], _PLACED).tobytes())
+            self.n += len(piece) + 1
+
+    def gone(self) -> Iterator[np.ndarray]:
+        """Positions of passages that an earlier position has too, in no order."""
+        kept: int | None = None  # the earliest so far of the group that goes on
+        for pos, v in suffixes(f"{self.folder.name}/text", 258, self.memory, self.folder.name):
+            begin = np.flatnonzero(v < LENGTH)
+            whole = np.concatenate(([0], begin)) if not len(begin) or begin[0] else begin
+            least = np.minimum.reduceat(pos, whole)
+            group = np.repeat(np.arange(len(whole)), np.diff(np.append(whole, len(pos))))
+            out = pos[pos != least[group]]
+            if kept is not None and v[0] >= LENGTH:
+                out = np.append(out, max(kept, int(least[0])))
+                least[0] = min(kept, least[0])
+            kept = int(least[-1])
+            yield out
+
+    def removed(self) -> Iterator[pa.Table]:
+        """The runs of passages that go, by document."""
+        self.text.write(b"\0\0")
+        self.text.close()
+        self.placed.close()
+        pool = Pool(self.memory)
+        spread = Spread(pool, self.n, max(1, self.memory // 64))
+        for pos in self.gone():
+            spread.put(pos, pos)
+        placed = np.memmap(f"{self.folder.name}/placed", _PLACED, "r")
+        for pos in spread.spans():
+            pos = np.sort(pos)
+            piece = np.searchsorted(placed["begin"], pos, side="right") - 1
+            inside = placed["begin"][piece] + placed["size"][piece] - pos >= LENGTH  # a passage doesn't reach into the next segment
+            pos, piece = pos[inside], piece[inside]
+            if len(pos):
+                head = np.flatnonzero(np.concatenate(([True], pos[1:] != pos[:-1] + 1)))
+                own = placed[piece[head]]
+                x = np.zeros(len(head), np.dtype([("doc", "<i8"), ("tie", "<u4"), ("start", "<u4"), ("n", "<u4")]))
+                x["doc"], x["tie"], x["start"] = own["doc"], own["tie"], own["start"] + pos[head] - own["begin"]
+                x["n"] = np.diff(np.append(head, len(pos)))
+                yield _rows(x, 0)
+        pool.close()
+
+    def close(self) -> None:
+        self.text.close()
+        self.placed.close()
+        self.folder.cleanup()
+
+
+def _sorted_shards(batches: Iterable[pa.RecordBatch], memory: int = MEMORY) -> Iterator[pa.RecordBatch]:
+    """The runs of passages to remove, from segments in order of shard, document and start; one shard after the other."""
+    shard, name = None, None
+
+    def finished():
+        if shard is not None:
+            for table in shard.removed():
+                yield from table.to_batches()
+            shard.close()
+
+    for batch in batches:
+        names = batch.column(0).to_numpy()
+        cut = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            if a == b:
+                continue
+            if names[a] != name:
+                yield from finished()
+                shard, name = Shard(memory), names[a]
+            shard.add(batch.slice(a, b - a))
+    yield from finished()
 
 
 def removed_runs(runs: list[bytes], n: int) -> np.ndarray:
@@ -334,6 +276,9 @@ def removed_runs(runs: list[bytes], n: int) -> np.ndarray:
     return np.cumsum(cover)[:-1] > 0
 
 
+_FOUND = "kind int, shard long, doc long, tie long, runs binary"
+
+
 def _kept(batches, names: list[str], whole: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -348,7 +293,7 @@ def _kept(batches, names: list[str], whole: bool) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), last], names)
 
 
-def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False, shard_bytes: int = SHARD_BYTES, memory: int = MEMORY) -> DataFrame:
     """One row per row of docs: key, n_bytes, n_removed, n_spans, kept_sha256 (whole: kept, the bytes left, instead).
 
     Null counts as empty. A text shorter than LENGTH keeps all. Rows that are equal in key and text are one document and get
@@ -357,13 +302,15 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bo
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("doc"), F.pmod(F.xxhash64(body), F.lit(2**32)).cast("long").alias("tie"), body.alias("body"))
-    owners = tasks(docs.sparkSession)
+    owners = owners_for(rows, "body", OWNED)
     sent = rows.select("doc", "tie", "body").mapInArrow(lambda b: _sent(b, owners), "owner int, blob binary")
-    found = saved(sent.groupBy("owner").applyInArrow(lambda t: _owned(t, shard_bytes), "kind int, shard long, doc long, tie long, runs binary"), "segments")
+    found = saved(sent.groupBy("owner").applyInArrow(lambda t: _owned(t, shard_bytes), _FOUND), "segments")
     wanted = found.filter("kind = 1").groupBy("doc", "tie").agg(F.collect_list(F.struct("shard", "runs")).alias("parts"))
-    texts = rows.select("doc", "tie", "body").join(wanted, ["doc", "tie"]).select("doc", "tie", "body", F.explode("parts").alias("part")).select("part.shard", "doc", "tie", "part.runs", "body")
-    pieces = texts.mapInArrow(_cut_out, "shard long, doc long, tie long, start long, bytes binary").dropDuplicates(["shard", "doc", "tie", "start"])
-    compared = saved(pieces.groupBy("shard").applyInArrow(lambda t: _sorted_shard(t), "kind int, shard long, doc long, tie long, runs binary"), "compared")
+    texts = rows.select("doc", "tie", "body").join(wanted, ["doc", "tie"]).select("doc", "tie", "parts", "body")
+    pieces = saved(texts.mapInArrow(_cut_out, "shard long, doc long, tie long, start long, bytes binary"), "pieces")
+    dealt = pieces.repartition(tasks(docs.sparkSession), "shard").sortWithinPartitions("shard", "doc", "tie", "start")
+    compared = saved(dealt.mapInArrow(lambda b: _sorted_shards(b, memory), _FOUND), "compared")
+    released(pieces)
     gone = found.filter("kind = 0").unionByName(compared).groupBy("doc", "tie").agg(F.collect_list("runs").alias("runs"))
     out = rows.join(gone, ["doc", "tie"], "left").select("_key", "runs", "body")
     names = [key, "n_bytes", "n_removed", "n_spans", "kept" if whole else "kept_sha256"]
