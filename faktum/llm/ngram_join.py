@@ -33,7 +33,7 @@ GATHERED = 1 << 20
 BEST = 3
 #: Members of a component that one task compares with.
 COMPARED = 4096
-#: Bits of the sketch that bounds the difference of two sets from below.
+#: Bits of the sketch that bounds the difference of two sets from below, at least.
 SKETCH = 2048
 #: Bytes of texts whose signatures an owner gets, at most.
 OWNED = 24 << 20
@@ -94,11 +94,49 @@ def signatures(own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def sketch(own: np.ndarray) -> bytes:
-    """Parities of the counts of elements by hash; two sketches differ in at most as many bits as the sets in elements."""
-    odd = np.bincount((mix(own) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    """Parities of the counts of elements by hash, in four bits or more an element (a power of two of bits, SKETCH at least).
+
+    Two sketches of one length differ in at most as many bits as the sets in elements; one that is longer folds to half its length.
+    """
+    bits = max(SKETCH, 1 << (4 * len(own) - 1).bit_length())
+    odd = np.bincount((mix(own) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the rows of two matrices of sketches differ, at the shorter one's length."""
+    while x.shape[1] != y.shape[1]:
+        if x.shape[1] > y.shape[1]:
+            x, y = y, x
+        half = y.shape[1] // 2
+        y = y[:, :half] ^ y[:, half:]
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+
+
+class Sketches:
+    """The sketches of many sets, those of one length together."""
+
+    def __init__(self, size: np.ndarray, sketches: list[bytes]) -> None:
+        self.size, length = size, np.fromiter(map(len, sketches), np.int64, len(sketches))
+        self.of = {}
+        for n in np.unique(length).tolist():
+            at = np.flatnonzero(length == n)
+            self.of[n] = at, np.frombuffer(b"".join([sketches[i] for i in at.tolist()]), np.uint64).reshape(len(at), n // 8)
+
+    def allowed(self, n: int, own: bytes, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which sets may be similar enough to one of n elements, by sizes and sketches, and how many bits apart they are at least."""
+        found, bits = [], []
+        one = np.frombuffer(own, np.uint64)[None, :]
+        for at, rows in self.of.values():
+            fits = np.flatnonzero((self.size[at] * percent <= n * 100) & (n * percent <= self.size[at] * 100))
+            if len(fits):
+                apart = _apart(one, rows[fits])
+                ok = apart * (100 + percent) <= (self.size[at[fits]] + n) * (100 - percent)
+                found.append(at[fits[ok]])
+                bits.append(apart[ok])
+        return (np.concatenate(found), np.concatenate(bits)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """key, n_shingles, cls (null for an empty set)."""
     kind = docs.schema[key].dataType.simpleString()
@@ -200,9 +238,14 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            x = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for c in ("of_a", "of_b")]
+            x, y = (batch.column(c).to_pylist() for c in ("of_a", "of_b"))
             n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
-            apart = np.bitwise_count(x[0] ^ x[1]).sum(1, dtype=np.int64)
+            kind = np.fromiter((len(i) << 32 | len(j) for i, j in zip(x, y, strict=True)), np.int64, len(x))
+            apart = np.zeros(len(x), np.int64)
+            for k in np.unique(kind).tolist():
+                at = np.flatnonzero(kind == k)
+                one, other = (np.frombuffer(b"".join([v[i] for i in at.tolist()]), np.uint64).reshape(len(at), -1) for v in (x, y))
+                apart[at] = _apart(one, other)
             ok = (n * percent <= m * 100) & (m * percent <= n * 100) & (apart * (100 + percent) <= (n + m) * (100 - percent))
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
@@ -218,17 +261,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
 
-def _bits(rows: list) -> np.ndarray:
-    return np.frombuffer(b"".join(x["sketch"] for x in rows), np.uint64).reshape(len(rows), SKETCH // 64)
-
-
-def _allowed(one: dict, bits: np.ndarray, size: np.ndarray, others: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the others sizes and sketches allow to be similar enough, and how many bits apart they are at least."""
-    n = one["size"]
-    fits = np.flatnonzero((size * percent <= n * 100) & (n * percent <= size * 100))
-    apart = np.bitwise_count(others[fits] ^ bits).sum(1, dtype=np.int64)
-    ok = apart * (100 + percent) <= (size[fits] + n) * (100 - percent)
-    return fits[ok], apart[ok]
+def _sketches(rows: list) -> Sketches:
+    return Sketches(np.array([x["size"] for x in rows], np.int64), [x["sketch"] for x in rows])
 
 
 def _pair_rows(a: list[int], b: list[int]) -> pa.RecordBatch:
@@ -236,16 +270,19 @@ def _pair_rows(a: list[int], b: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
-def _among(batches, percent: int):
-    """Of two parts of a group's members outside its main component: pairs between components that sizes and sketches allow."""
+def _among(batches, percent: int, best: int | None):
+    """Of two parts of a group's members outside its main component: pairs between components that sizes and sketches allow, or each member's best of them."""
     for batch in batches:
         for row in batch.to_pylist():
             one, other = row["one"], row["other"]
-            bits, size, root = _bits(other), np.array([x["size"] for x in other], np.int64), np.array([x["root"] for x in other], np.int64)
-            cls, own = np.array([x["cls"] for x in other], np.int64), _bits(one)
-            for i, x in enumerate(one):
-                j, _ = _allowed(x, own[i], size, bits, percent)
-                j = j[(root[j] != x["root"]) & ((cls[j] > x["cls"]) | (row["same"] == 0))]
+            others, root = _sketches(other), np.array([x["root"] for x in other], np.int64)
+            cls = np.array([x["cls"] for x in other], np.int64)
+            for x in one:
+                j, apart = others.allowed(x["size"], x["sketch"], percent)
+                other_root = root[j] != x["root"]
+                j, apart = j[other_root], apart[other_root]
+                if best is not None:
+                    j = j[np.lexsort((j, apart))[:best]]
                 if len(j):
                     yield _pair_rows([x["cls"]] * len(j), cls[j].tolist())
 
@@ -255,9 +292,9 @@ def _asked(batches, percent: int, best: int | None):
     for batch in batches:
         for row in batch.to_pylist():
             members, askers = row["members"], row["askers"]
-            bits, size, own = _bits(members), np.array([x["size"] for x in members], np.int64), _bits(askers)
-            for i, x in enumerate(askers):
-                j, apart = _allowed(x, own[i], size, bits, percent)
+            known = _sketches(members)
+            for x in askers:
+                j, apart = known.allowed(x["size"], x["sketch"], percent)
                 if best is not None:
                     j = j[np.lexsort((j, apart))[:best]]
                 if len(j):
@@ -280,7 +317,8 @@ def _open_pairs(each: DataFrame, links: DataFrame, sets: DataFrame, percent: int
     cut = among.groupBy("bid").agg(F.ceil(F.count(F.lit(1)) / COMPARED).cast("long").alias("parts"))
     among = among.join(cut, "bid").groupBy("bid", "parts", F.pmod("cls", "parts").alias("part")).agg(F.collect_list(F.struct("cls", "size", "root", "sketch")).alias("who"))
     one, other = (among.select("bid", F.col("part").alias(p), F.col("who").alias(w)) for p, w in (("p", "one"), ("q", "other")))
-    pairs = one.join(other, "bid").filter("p <= q").select("one", "other", F.expr("int(p = q)").alias("same")).mapInArrow(lambda b: _among(b, percent), "a long, b long")
+    met = one.join(other, "bid")
+    pairs = (met if best is not None else met.filter("p <= q")).select("one", "other").mapInArrow(lambda b: _among(b, percent, best), "a long, b long")
     ask = outside.select("cls", "size", F.col("main").alias("root")).distinct()
     known = sets.select("cls", "sketch", "size").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     wanted = known.join(ask.select("root").distinct(), "root", "left_semi")
@@ -317,7 +355,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
             yield pa.RecordBatch.from_arrays(columns, ["cls", "elements", "size", "sketch"])
 
     chosen = docs.select(F.col(key).alias("key"), text).join(wanted, "key").select("cls", text)
-    sets = saved(chosen.mapInArrow(sets_of, "cls long, elements array<long>, size long, sketch binary").dropDuplicates(["cls"]), "sets")
+    sets = saved(chosen.mapInArrow(sets_of, "cls long, elements array<long>, size long, sketch binary"), "sets")
+    if not sets.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():  # a key that several rows have
+        sets = saved(sets.dropDuplicates(["cls"]), "sets")
     stars = saved(each.filter("cls <> lead").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct(), "stars")
     likely = saved(_bounded(stars, sets, percent), "likely")
     links = saved(_verified(likely, sets, percent), "links")
