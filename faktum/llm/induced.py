@@ -10,7 +10,8 @@ before it, and the common prefix with the suffix in front of it in the order. Ru
 A tuple's common prefix is one more than the least of the common prefixes that were taken since its symbol was last put in. The
 valleys themselves are sorted in the same way: a first induction, from valleys in order of their first symbol only, puts the stretches
 from valley to valley in order, and tells which are equal; equal stretches get equal names; the text of names, each written as
-two digits, is sorted by recursion, and its common prefixes, in names, become those of the valleys.
+two digits, is sorted by recursion, and its common prefixes, in names, become those of the valleys. The recursion ends where all names differ, or
+where a text fits in the memory given and is sorted there.
 """
 
 from __future__ import annotations
@@ -196,7 +197,7 @@ class Text:
     """A file of symbols of two bytes, all at least 1 but for the end symbol 0, which is the last."""
 
     def __init__(self, path: str) -> None:
-        self.s = np.memmap(path, np.uint16, "r")
+        self.s = np.memmap(path, np.uint16, "r").view(np.ndarray)
         self.n = len(self.s) - 1
 
     def items(self, pos: np.ndarray, v: np.ndarray | int) -> np.ndarray:
@@ -289,7 +290,10 @@ class _Inducer:
 
 
 def _induced(text: Text, sigma: int, seeds: Queue, pool: Pool, prefixes: bool, block: int) -> Iterator[tuple[np.ndarray, int, bool]]:
-    """All suffixes downwards, from the valleys (seeds, the end among them): tuples, their first symbol, whether they rise."""
+    """All suffixes downwards, from the valleys (seeds, the end among them): tuples, their first symbol, whether they rise.
+
+    Without prefixes, values are 1 for equal stretches and 0 for others, and only rising suffixes are given.
+    """
 
     def meeting(falling: int | None, rising: int | None) -> int:  # where the falling suffixes of a symbol meet the rising ones
         if falling is None or rising is None or not prefixes:
@@ -299,12 +303,19 @@ def _induced(text: Text, sigma: int, seeds: Queue, pool: Pool, prefixes: bool, b
     up = Queue(pool, sigma, block)
     inducer = _Inducer(text, up, sigma, prefixes)
     log: list[tuple[int, list]] = []
+    skim = Skim()
     for c in range(sigma):
         last = None
         while (x := up.pop(c)) is not None:
-            log.append((c, pool.put(x)))
+            before = x["prev"] & _MASK
+            inducer.take(x, x["v"], (x["pos"] > 0) & (before >= c))
             last = int(x["pos"][-1])
-            inducer.take(x, x["v"], (x["pos"] > 0) & ((x["prev"] & _MASK) >= c))
+            if not prefixes:  # those that induce nothing downwards aren't asked for
+                at, value = skim(x["v"], (x["pos"] > 0) & (before < c))
+                x = x[at]
+                x["v"] = value
+            if len(x):
+                log.append((c, pool.put(x)))
         first = True
         while (x := seeds.pop(c)) is not None:
             v = x["v"].copy()
@@ -324,10 +335,15 @@ def _induced(text: Text, sigma: int, seeds: Queue, pool: Pool, prefixes: bool, b
             x = pool.get(log.pop()[1])[::-1].copy()
             value, own = int(x["v"][-1]), np.concatenate(([meeting(int(x["pos"][0]), last) if value is None else value], x["v"][:-1]))
             x["v"] = own
-            yield x, c, False
+            if prefixes:
+                yield x, c, False
             inducer.take(x, x["v"], (x["pos"] > 0) & ((x["prev"] & _MASK) < c))
 
 
+#: Bytes that sorting a symbol in memory takes.
+_IN_MEMORY = 64
+
+
 def _doubled(s: np.ndarray) -> np.ndarray:
     """The suffixes of a text of at most a block in order: ranks of one stretch give those of two, and so on until they differ."""
     rank, width = np.unique(s, return_inverse=True)[1].astype(np.int64) + 1, 1
@@ -349,7 +365,7 @@ def suffixes(path: str, sigma: int, memory: int, folder: str) -> Iterator[tuple[
     memory bounds what runs hold; besides there are some blocks of tuples and, for each symbol, a number.
     """
     text, block = Text(path), max(64, memory // 1024)
-    if 0 < text.n <= block:
+    if 0 < text.n <= max(2, memory // _IN_MEMORY):
         pos = _doubled(text.s[: text.n])[::-1]
         yield pos, np.concatenate(([0], text.common(pos[1:], pos[:-1])))
     elif text.n:
@@ -402,6 +418,7 @@ def _sorted_valleys(text: Text, sigma: int, memory: int, block: int, folder: str
         digits = 1 if n_names <= ONE_DIGIT else 2
         base = n_names if digits == 1 else math.isqrt(n_names - 1) + 1
         with tempfile.TemporaryDirectory(dir=folder) as below:
+            small: list[np.ndarray] = []
             with open(f"{below}/text", "wb") as names, open(f"{below}/places", "wb") as places:
                 for x in spread.spans():
                     x = x[np.argsort(x["pos"])]
@@ -409,12 +426,20 @@ def _sorted_valleys(text: Text, sigma: int, memory: int, block: int, folder: str
                     both = name[:, None] if digits == 1 else np.stack((name // base, name % base), 1)
                     names.write((both + 1).astype(np.uint16).tobytes())
                     places.write(x["pos"].tobytes())
+                    if n_valleys * _IN_MEMORY <= memory:
+                        small.append(name)
                 names.write(np.zeros(1, np.uint16).tobytes())
                 places.write(np.array([text.n], np.int64).tobytes())
             pool.close()
-            place = np.memmap(f"{below}/places", np.int64, "r")
+            place = np.memmap(f"{below}/places", np.int64, "r").view(np.ndarray)
             skim = Skim()
-            for pos, v in suffixes(f"{below}/text", base + 1, memory, below):
+            if n_valleys * _IN_MEMORY <= memory:
+                one = Text(f"{below}/text")
+                r = _doubled(np.concatenate(small))[::-1]
+                found = [(r * digits, np.concatenate(([0], one.common(r[1:] * digits, r[:-1] * digits))))]
+            else:
+                found = suffixes(f"{below}/text", base + 1, memory, below)
+            for pos, v in found:
                 at, common = skim(v, pos % digits == 0)
                 if len(at):
                     r = pos[at] // digits

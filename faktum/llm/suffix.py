@@ -30,6 +30,8 @@ from faktum.llm.textkit import CHUNK, grouped, mix, power, texts_of
 LENGTH, GRAM, MEMORY, GATHERED, SHARD_BYTES = 100, 32, 48 << 20, 1 << 19, 8 << 20
 #: Bytes of texts whose segments an owner gets, about.
 OWNED = 16 << 20
+#: Owners that deal to the same shards.
+TOGETHER = 2
 #: Of the two sides of a passage's anchor, the longer has at least so many bytes.
 SIDE = (LENGTH - GRAM) // 2
 #: What each byte counts as in the second content hash.
@@ -135,7 +137,7 @@ def _shards(owner: int, group: np.ndarray, n: np.ndarray, limit: int) -> np.ndar
     """The shard of each segment of n passages. Anchors (groups, in order) stay whole; a shard ends with the one that brings it to limit bytes."""
     _, anchor = np.unique(group, return_inverse=True)
     size = np.bincount(anchor, n.astype(np.int64) + LENGTH)
-    return (owner << 32) + ((np.cumsum(size) - size) // limit).astype(np.int64)[anchor]
+    return (owner // TOGETHER << 32) + ((np.cumsum(size) - size) // limit).astype(np.int64)[anchor]
 
 
 def _owned(table: pa.Table, limit: int) -> pa.Table:

@@ -28,7 +28,7 @@ def common_prefix(a, b):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(1, 4), max_size=60), st.integers(1, 6), st.sampled_from([1, 1 << 20]), st.sampled_from([2, 2048]))
+@given(st.lists(st.integers(1, 4), max_size=60), st.integers(1, 6), st.sampled_from([1, 1 << 10, 1 << 20]), st.sampled_from([2, 2048]))
 def test_suffixes_and_common_prefixes(text, times, memory, one_digit):
     text = text * times
     want = sorted(range(len(text)), key=lambda i: text[i:])
@@ -105,7 +105,7 @@ def test_passages(spark):
 
 def test_shards_are_dealt_by_bytes(spark):
     group = np.repeat(np.arange(200), 5)
-    shard = suffix._shards(3, group, np.full(1000, 50, np.uint8), 3000)
+    shard = suffix._shards(3 * suffix.TOGETHER, group, np.full(1000, 50, np.uint8), 3000)
     sizes = np.bincount(shard - (3 << 32), np.full(1000, 50 + suffix.LENGTH))
     assert len(sizes) == 50 and sizes.max() <= 3000 + 5 * (50 + suffix.LENGTH)
     assert all(len(set(shard[group == g].tolist())) == 1 for g in range(200))
