@@ -16,16 +16,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faktum.llm.textkit import CHUNK, Words, grouped, mix, power
+from faktum.llm.store import unused
+from faktum.llm.textkit import CHUNK, Words, grouped, mix
 
 #: Documents of each language that the model learns from, at most.
 SAMPLE_DOCS = 200
+#: Letters of each of these documents, at most (a bound on the driver's memory; what is predicted is whole texts).
+LEARNED = 20_000
 #: Sizes of the n-gram tables and of the lexicon; n-gram lengths; gradient steps.
 GRAMS, LEXICON, LENGTHS, STEPS = 1 << 16, 1 << 17, (2, 3, 4), 12
 #: Texts that are worked on together when learning; languages beyond which portions of texts shrink, to hold memory.
 TOGETHER, MANY = 100, 16
-#: Words of a chain: longer texts are several chains, one after the other.
-CHAIN = 256
+#: A text is one chain. With at most FEW languages it is worked on in pieces of CHAIN words, to which what comes before and after is carried.
+CHAIN, FEW = 256, 16
+#: Of so many texts that are learned from one is spliced with another one's words, SPLICED of each, so that moves are learned.
+EVERY, SPLICED = 3, 25
 UNKNOWN = "und"
 
 _ALPHA = np.zeros(256, bool)
@@ -61,78 +66,123 @@ class Features:
                 out[:, label] += (total[last] - total[np.minimum(begin, last)]).astype(np.float32)
         return out
 
-    def chains(self) -> tuple[np.ndarray, np.ndarray]:
-        """Where each chain begins and how long it is."""
+    def chains(self, n_labels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each piece of a chain begins, how long it is, and whether it goes on with the one before."""
         first = self.words.first
         count = np.diff(first)
-        parts = -(-count // CHAIN)
+        size = CHAIN if n_labels <= FEW else max(1, int(count.max(initial=1)))
+        parts = -(-count // size)
         text = np.repeat(np.arange(len(count)), parts)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
-        begin = first[text] + nth * CHAIN
-        return begin, np.minimum(CHAIN, first[text + 1] - begin)
+        begin = first[text] + nth * size
+        return begin, np.minimum(size, first[text + 1] - begin), nth > 0
 
 
-def forward_backward(evidence: np.ndarray, moves: np.ndarray, begin: np.ndarray, length: np.ndarray, learning: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each word's label probabilities, the expected count of each move (when learning), and each chain's log partition.
+def _carried(emit: np.ndarray, step: np.ndarray, begin: np.ndarray, length: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece: the label probabilities (up to a factor) of the word before it, and what the words after it say of its last one.
 
-    All chains are worked on at once, word by word.
+    A piece is a matrix, the product of its words' steps; all pieces' matrices are made at once, then vectors go through them.
+    """
+    n, n_labels = len(begin), len(step)
+    before, after = np.full((n, n_labels), 1 / n_labels), np.ones((n, n_labels))
+    if not follows.any():
+        return before, after
+    cut = np.flatnonzero(~follows)
+    size = np.diff(np.append(cut, n))
+    long = np.repeat(size > 1, size)
+    at_piece = np.flatnonzero(long)
+    matrix = np.zeros((n, n_labels, n_labels))
+    now = np.where(follows[at_piece, None, None], step[None], np.eye(n_labels)[None]) * emit[begin[at_piece]][:, None, :]
+    for t in range(1, int(length[at_piece].max())):
+        on = length[at_piece] > t
+        now[on] = (now[on] @ step) * emit[begin[at_piece[on]] + t][:, None, :]
+        now[on] /= now[on].sum((1, 2), keepdims=True)
+    matrix[at_piece] = now
+    several = cut[size > 1]
+    lengths = size[size > 1]
+    for i in range(1, int(lengths.max())):
+        at = several[lengths > i] + i
+        x = np.einsum("ka,kab->kb", before[at - 1], matrix[at - 1])
+        before[at] = x / x.sum(1, keepdims=True)
+    for i in range(int(lengths.max()) - 2, -1, -1):
+        at = several[lengths > i + 1] + i
+        x = np.einsum("kab,kb->ka", matrix[at + 1], after[at + 1])
+        after[at] = x / x.sum(1, keepdims=True)
+    return before, after
+
+
+def forward_backward(evidence: np.ndarray, moves: np.ndarray, begin: np.ndarray, length: np.ndarray, follows: np.ndarray | None = None, learning: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's label probabilities, the expected count of each move (when learning), and each piece's log partition.
+
+    The log partition of a chain is the sum of its pieces'. All pieces are worked on at once, word by word.
     """
     n_labels = evidence.shape[1]
-    order = np.argsort(-length, kind="stable")
-    begin, length = begin[order], length[order]
+    follows = np.zeros(len(begin), bool) if follows is None else follows
     top = evidence.max(1, keepdims=True) if len(evidence) else np.zeros((0, 1))
     emit = np.exp(evidence - top).astype(np.float64)
     step = np.exp(moves).astype(np.float64)
+    before, after = _carried(emit, step, begin, length, follows)
+    order = np.argsort(-length, kind="stable")
+    begin, length, follows, before, after = begin[order], length[order], follows[order], before[order], after[order]
     steps = int(length[0]) if len(length) else 0
     active = np.searchsorted(-length, -np.arange(steps), side="left")
     alpha = np.zeros((len(evidence), n_labels))
     log_z = np.zeros(len(begin))
-    now = np.empty((0, n_labels))
+    now = np.where(follows[:, None], before @ step, 1 / n_labels)
     for t in range(steps):
         k = active[t]
         at = begin[:k] + t
-        now = emit[at] / n_labels if t == 0 else (now[:k] @ step) * emit[at]
+        now = (now[:k] if t == 0 else now[:k] @ step) * emit[at]
         scale = now.sum(1)
         log_z[:k] += np.log(scale) + top[at, 0]
         now = now / scale[:, None]
         alpha[at] = now
     marginals = np.zeros((len(evidence), n_labels))
     pairs = np.zeros((n_labels, n_labels))
-    beta = np.ones((len(begin), n_labels))
+    beta = after.copy()
     for t in range(steps - 1, -1, -1):
         k = active[t]
         at = begin[:k] + t
         p = alpha[at] * beta[:k]
         marginals[at] = p / p.sum(1, keepdims=True)
-        if t:
-            back = emit[at] * beta[:k]
-            if learning:
-                left = alpha[at - 1]
-                each = (left @ step * back).sum(1, keepdims=True)
-                pairs += step * (left.T @ (back / each))
-            beta[:k] = back @ step.T
-            beta[:k] /= beta[:k].sum(1, keepdims=True)
-    return marginals, pairs, log_z
+        back = emit[at] * beta[:k]
+        if learning:
+            inner = np.flatnonzero(follows[:k]) if t == 0 else np.arange(k)
+            left = alpha[at[inner] - 1]
+            each = (left @ step * back[inner]).sum(1, keepdims=True)
+            pairs += step * (left.T @ (back[inner] / each))
+        beta[:k] = back @ step.T
+        beta[:k] /= beta[:k].sum(1, keepdims=True)
+    out = np.empty(len(begin))
+    out[order] = log_z
+    return marginals, pairs, out
 
 
 class Part:
-    """Some of the texts that are learned from; their words' right labels."""
+    """Some of the texts that are learned from; the right labels of their words, as (label, words) runs of each text."""
 
-    def __init__(self, texts: list[bytes], labels: list[int], n: int) -> None:
+    def __init__(self, texts: list[bytes], labels: list[list[tuple[int, int]]], n: int) -> None:
         self.f = f = Features(texts)
-        f.words._total = None
         f.grams = [g.astype(np.int32) for g in f.grams]
         self.n = n
-        self.begin, self.length = f.chains()
-        self.gold = np.repeat(np.array(labels, np.int64), np.diff(f.words.first))
+        self.begin, self.length, self.follows = f.chains(n)
+        self.gold = np.array([x for runs in labels for x, words in runs for _ in range(words)], np.int64)
         inner = np.ones(len(self.gold), bool)
-        inner[self.begin] = False
-        self.moved = np.diag(np.bincount(self.gold[inner], minlength=n)).astype(float)
+        inner[self.begin[~self.follows]] = False
+        at = np.flatnonzero(inner)
+        self.moved = np.bincount(self.gold[at - 1] * n + self.gold[at], minlength=n * n).reshape(n, n).astype(float)
+
+    def likelihood(self, model: dict) -> float:
+        """The log likelihood of the right labels."""
+        evidence = self.f.evidence(model)
+        _, _, log_z = forward_backward(evidence, model["moves"], self.begin, self.length, self.follows)
+        starts = np.count_nonzero(~self.follows)  # every label is as likely to begin with
+        return float(evidence[np.arange(len(self.gold)), self.gold].sum() + (self.moved * model["moves"]).sum() - starts * np.log(self.n) - log_z.sum())
 
     def gradient(self, model: dict, weigh: np.ndarray, bias: np.ndarray, moves: np.ndarray, lexicon: np.ndarray, grams: list[np.ndarray]) -> None:
         """Adds the slope of the log likelihood of the right labels to bias, moves, lexicon and grams."""
         f, n = self.f, self.n
-        p, pairs, _ = forward_backward(f.evidence(model), model["moves"], self.begin, self.length, learning=True)
+        p, pairs, _ = forward_backward(f.evidence(model), model["moves"], self.begin, self.length, self.follows, learning=True)
         off = (np.eye(n)[self.gold] - p) * weigh[self.gold][:, None]
         bias += off.sum(0)
         moves += self.moved - pairs
@@ -148,14 +198,22 @@ class Part:
 
 
 def fit(texts: list[bytes], labels: list[str], steps: int = STEPS) -> dict:
-    """The model learned from texts whose every word is taken to be in the text's language."""
+    """The model learned from texts whose every word is taken to be in the text's language, and from some of them spliced."""
     names = sorted(set(labels))
     n = len(names)
     model = {"names": names, "bias": np.zeros(n, np.float32), "lexicon": np.zeros((LEXICON, n), np.float32), "grams": [np.zeros((GRAMS, n), np.float32) for _ in LENGTHS], "moves": np.zeros((n, n), np.float32)}
     if n < 2:
         return model
     number, together = {x: i for i, x in enumerate(names)}, max(1, TOGETHER * MANY // max(MANY, n))
-    parts = [Part(texts[i : i + together], [number[x] for x in labels[i : i + together]], n) for i in range(0, len(texts), together)]
+    runs = [[(number[x], len(t.split()))] for t, x in zip(texts, labels, strict=True)]
+    texts = list(texts)
+    for i in range(0, len(runs), EVERY):  # words of two texts of different languages one after the other
+        other = next((j % len(labels) for j in range(i + 1, i + len(labels)) if labels[j % len(labels)] != labels[i]), None)
+        if other is not None:
+            both = [texts[k].split()[:SPLICED] for k in (i, other)]
+            texts.append(b" ".join(both[0] + both[1]))
+            runs.append([(number[labels[k]], len(w)) for k, w in zip((i, other), both, strict=True)])
+    parts = [Part(texts[i : i + together], runs[i : i + together], n) for i in range(0, len(texts), together)]
     held = sum(np.bincount(p.gold, minlength=n) for p in parts)
     # each language counts alike, however many of its words the sample holds
     weigh = held.sum() / n / np.maximum(held, 1)
@@ -179,8 +237,8 @@ def fit(texts: list[bytes], labels: list[str], steps: int = STEPS) -> dict:
 
 def label_words(model: dict, texts: list[bytes]) -> tuple[Features, np.ndarray]:
     f = Features(texts)
-    begin, length = f.chains()
-    p, _, _ = forward_backward(f.evidence(model), model["moves"], begin, length)
+    begin, length, follows = f.chains(len(model["names"]))
+    p, _, _ = forward_backward(f.evidence(model), model["moves"], begin, length, follows)
     return f, p
 
 
@@ -209,7 +267,7 @@ def learn(rows: DataFrame, text: str, lang: str, order: Column, sample: int = SA
         return fit([], [])
     # a hash bound for each language lets through a few more rows than are needed; the exact number is cut from those
     bound = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (sample + 6 * sample**0.5 + 20) / n) * 2**32)])
-    some = rows.filter(F.col(lang).isin(list(counts))).withColumn("_order", order).filter(F.col("_order") < bound[F.col(lang)]).select(lang, F.col(text).alias("_text"), "_order").collect()
+    some = rows.filter(F.col(lang).isin(list(counts))).select(F.col(lang).alias("lang"), F.substring(text, 1, LEARNED).alias("text"), order.alias("order")).filter(F.col("order") < bound[F.col("lang")]).collect()
     some.sort(key=lambda r: (r[2], r[1] or ""))
     taken: dict[str, int] = {}
     texts, labels = [], []
@@ -227,10 +285,11 @@ def identify(docs: DataFrame, model: dict, keep: list[str], text: str = "text",
 
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    read = docs.select(*keep, F.col(text).alias("_text"))
+    body = unused(docs, "_text")
+    read = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias(body))
 
     def run(batches):
-        for rows, texts in grouped(batches, "_text", CHUNK * MANY // max(MANY, len(sent.value["names"]))):
+        for rows, texts in grouped(batches, body, CHUNK * MANY // max(MANY, len(sent.value["names"]))):
             langs, scores = predict(sent.value, texts)
             yield pa.RecordBatch.from_arrays([rows.column(i) for i in range(len(keep))] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, *names])
 
@@ -256,9 +315,14 @@ def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
 
 
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.35) -> DataFrame:
-    """docs without the rows whose language can't be told (und) or has a share below least; all columns stay."""
-    names = ("_identified", "_share")
-    return identify(docs, train_for(docs, key, text, lang), docs.columns, text, names).filter(f"_identified <> '{UNKNOWN}' AND _share >= {least}").select(docs.columns)
+    """docs without the rows whose language can't be told (und) or has a share below least; all columns stay, whatever their names.
+
+    Null texts and texts without a letter go. Repeated rows all stay or all go. If no row has a language to learn from, all go;
+    an empty table gives no rows. Very long texts are labelled whole. A null key counts as a text of its own.
+    """
+    names = (unused(docs, "identified_"), unused(docs, "share_"))
+    told = identify(docs, train_for(docs, key, text, lang), docs.columns, text, names)
+    return told.filter((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).select(docs.columns)
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
