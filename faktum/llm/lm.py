@@ -1,205 +1,241 @@
 """Language-model scoring from a log-frequency Bloom filter of quantised n-gram counts.
 
-Training counts all words and word pairs: readers count what they have and send it to owners of hash ranges; an owner adds
-up and makes its part of the filter. A count c is stored as its level, 1 + floor(log2(c)): the n-gram is inserted once with
-each number from 1 to its level, so that a reader gets the level by probing 1, 2, ... until a probe fails. A part has as many
-bits as leave FILL of them set after all insertions, so the filter grows with the corpus and no n-gram is left out.
-
-Parts stay with their owners. A reader has the exact counts of at most HEAD frequent words; each portion of texts asks the
-owners for the other words and for its pairs, and owners answer with levels, and with exact counts of words for the base
-score. The portion itself goes to its home, where answers are put together.
-
-The model mixes pair and word probabilities; a word that the filter doesn't have counts as the unknown word, which has the
-share of training words that occur once. A caller of train can bound the filter; then n-grams below a part's floor, the
-smallest power of two that fits, are left out. score never does.
+Training counts words, pairs and triples of words: readers count what they have and send it to owners of ranges of contexts (a
+word for pairs, a pair for triples); an owner adds up and makes its part of the filter. A count is stored as its level, about
+its logarithm: the n-gram is inserted once with each number from 1 to its level, so that a reader gets the level by probing 1,
+2, ... until a probe fails. The first level has FIRST probes, so that an n-gram that wasn't seen is hardly ever found. Of a context the
+filter has, in the same way, how many different words follow it and what their counts make together (rounded up), unless
+that is one word seen once. A part has as many bits as leave FILL of them set, so the filter grows with the corpus and no n-gram is left out.
+
+The filter as a whole has no size bound, so it isn't broadcast: parts stay with their owners. Each portion of texts asks the owners
+for its n-grams and contexts, and owners answer with levels, and with exact counts of words for the base score alone. The portion
+itself goes to its home, where answers are put together.
+
+Probabilities are smoothed after Witten and Bell: P(w | h) = (count(hw) + different(h) P(w | shorter h)) / total(h), with counts
+as the levels give them, rounded down, and totals rounded up, so that they sum to one at most. At the end stand the words' own shares; the share of
+words seen once goes to new words, by the letters: a table of which byte follows which, from all words of the training texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faktum.llm.store import saved, tasks
+from faktum.llm.store import owners_for, saved
 from faktum.llm.textkit import Words, grouped, mix, texts_of
 
-#: Share of bits that may be set, probes for each level, frequent words with exact counts at readers.
-FILL, PROBES, HEAD = 0.3, 3, 1 << 17
-#: Tokens whose counts a reader gathers before it sends them.
-GATHERED = 2 << 20
-#: Weight of pairs after a context seen at least OFTEN times, and after a rarer one.
-PAIR_WEIGHT, RARE_WEIGHT, OFTEN = 0.15, 0.05, 8
-END, START, _PAIR = np.uint64(0xE1D0_0000_0000_0001), np.uint64(0x57A2_0000_0000_0001), np.uint64(0x9E3779B97F4A7C15)
-
-
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all texts' words, each text's followed by END; and where each text's begin (one more at the end)."""
+#: Share of bits that may be set; probes for the first level and for each other.
+FILL, FIRST, PROBES = 0.3, 12, 3
+#: Tokens whose counts a reader gathers before it sends them; bytes of texts whose n-grams an owner gets, about.
+GATHERED, OWNED = 2 << 20, 24 << 20
+#: Levels to a doubling: of a word's count, of an n-gram's, of different followers, of a context's total (which begins at 2).
+STEPS = {"word": 4, "gram": 1, "different": 1, "total": 2}
+#: What the filter has: words, pairs, triples; different followers and totals of words and of pairs.
+WORD, PAIR, TRIPLE, DIFFERENT, TOTAL = 0, 1, 2, (3, 4), (5, 6)
+END, START, _PAIR, _TRIPLE = np.uint64(0xE1D0_0000_0000_0001), np.uint64(0x57A2_0000_0000_0001), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_LOW = np.uint64((1 << 40) - 1)
+_SPACE = np.arange(256)
+_SPACE[[9, 10, 11, 12, 13]] = 32
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Words]:
+    """Hashes of all texts' words, each text's followed by END; where each text's begin (one more at the end); the words."""
     words = Words(texts, lower=True)
     n = np.diff(words.first)
     first = np.concatenate(([0], np.cumsum(n + 1)))
     out = np.full(first[-1], END, np.uint64)
     out[np.arange(len(words.h)) + np.repeat(np.arange(len(n)), n)] = words.h
-    return out, first
+    return out, first, words
 
 
-def pairs(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    before = np.concatenate((np.zeros(1, np.uint64), h[:-1])) if len(h) else h
+def contexts(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token: the word before it (or START), the pair it ends, the pair before it, the triple it ends."""
+    before = np.concatenate((np.zeros(1, np.uint64), h[:-1])) if len(h) else h.copy()
     before[first[:-1]] = START
-    return mix(before * _PAIR + h)
+    pair = mix(before * _PAIR + h)
+    two = np.concatenate((np.zeros(1, np.uint64), pair[:-1])) if len(h) else h.copy()
+    two[first[:-1]] = mix(np.array([START], np.uint64) * _PAIR + START)[0]
+    return before, pair, two, mix(two * _TRIPLE + h)
 
 
 def owner_of(h: np.ndarray, owners: int) -> np.ndarray:
     return ((h >> np.uint64(40)) * np.uint64(owners) >> np.uint64(24)).astype(np.int64)
 
 
-def _split(h: np.ndarray, owners: int):
-    """(owner, from, to) of each owner's part of h, which is in order."""
-    cut = np.searchsorted(owner_of(h, owners), np.arange(owners + 1))
-    return ((o, int(cut[o]), int(cut[o + 1])) for o in range(owners) if cut[o] < cut[o + 1])
+def _cuts(owner: np.ndarray, owners: int) -> list[tuple[int, int, int]]:
+    """(owner, from, to) of each owner's part of what is in order of owners."""
+    cut = np.searchsorted(owner, np.arange(owners + 1)).tolist()
+    return [(o, cut[o], cut[o + 1]) for o in range(owners) if cut[o] < cut[o + 1]]
+
+
+def _five(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _from_five(blobs: list[bytes]) -> np.ndarray:
+    five = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 5)
+    out = np.zeros((len(five), 8), np.uint8)
+    out[:, :5] = five
+    return out.view(np.uint64)[:, 0]
+
+
+_COUNTED = ["owner", "words", "word_counts", "ctx1", "n1", "pairs", "pair_counts", "ctx2", "n2", "triples", "triple_counts", "letters"]
 
 
 def _counts(batches, text: str, owners: int):
-    """owner, words, word_counts, once (5 low bytes of pairs that were seen once), pairs, pair_counts; all binary."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """An owner's words and counts; its contexts of both kinds, how many n-grams each has, these and their counts; letters for owner 0."""
+    held: list[tuple[np.ndarray, ...]] = []
+    letters = np.zeros(1 << 16, np.int64)
     size = 0
 
     def flush():
-        h, n = np.unique(np.concatenate([x for x, _ in held]), return_counts=True)
-        p, m = np.unique(np.concatenate([x for _, x in held]), return_counts=True)
-        rows: dict[int, list[bytes]] = {}
-        for o, a, b in _split(h, owners):
-            rows.setdefault(o, [b""] * 5)[:2] = [h[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()]
-        for o, a, b in _split(p, owners):
-            own, many = p[a:b], m[a:b] > 1
-            rows.setdefault(o, [b""] * 5)[2:] = [own[~many].view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), own[many].tobytes(), m[a:b][many].astype(np.uint32).tobytes()]
+        rows: dict[int, list[bytes]] = {0: [b""] * 11}
+        h, n = np.unique(np.concatenate([x[0] for x in held]), return_counts=True)
+        for o, a, b in _cuts(owner_of(h, owners), owners):
+            rows.setdefault(o, [b""] * 11)[:2] = [h[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()]
+        for k in (1, 2):
+            context, gram = (np.concatenate([x[2 * k - 1 + i] for x in held]) for i in (0, 1))
+            gram, at, n = np.unique(gram, return_index=True, return_counts=True)
+            context = context[at]
+            order = np.argsort(context, kind="stable")
+            context, gram, n = context[order], gram[order], n[order]
+            for o, a, b in _cuts(owner_of(context, owners), owners):
+                c, times = np.unique(context[a:b], return_counts=True)
+                rows.setdefault(o, [b""] * 11)[4 * k - 2 : 4 * k + 2] = [_five(c), times.astype(np.uint32).tobytes(), _five(gram[a:b]), n[a:b].astype(np.uint32).tobytes()]
+        rows[0][10] = zlib.compress(letters.tobytes(), 1)
         columns = list(zip(*rows.values(), strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["owner", "words", "word_counts", "once", "pairs", "pair_counts"])
+        return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], _COUNTED)
 
     for _, texts in grouped(batches, text):
-        h, first = tokens(texts)
-        held.append((h, pairs(h, first)))
+        h, first, words = tokens(texts)
+        held.append((h, *contexts(h, first)))
+        buf = _SPACE[words.buf]
+        letters += np.bincount(buf[:-1] * 256 + buf[1:], minlength=1 << 16)
         size += len(h)
         if size >= GATHERED:
             yield flush()
-            held, size = [], 0
+            held, letters, size = [], np.zeros(1 << 16, np.int64), 0
     if size:
         yield flush()
 
 
-def _add_up(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(h, kind="stable")
-    h, n = h[order], n[order].astype(np.int64)
-    begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
-    return h[begin], np.add.reduceat(n, begin) if len(h) else n
+def levels(n: np.ndarray, kind: str) -> np.ndarray:
+    """The level of each number: rounded down, but for totals, which are rounded up; 0 for none, and for totals of 2."""
+    n = np.asarray(n, np.float64)
+    if kind == "total":
+        return np.ceil(STEPS[kind] * np.log2(np.maximum(n, 2) / 2)).astype(np.int64)
+    return np.where(n > 0, np.floor(STEPS[kind] * np.log2(np.maximum(n, 1))).astype(np.int64) + 1, 0)
+
+
+def about(level: np.ndarray, kind: str) -> np.ndarray:
+    """The number that a level stands for."""
+    if kind == "total":
+        return 2 * 2.0 ** (level / STEPS[kind])
+    return np.where(level > 0, 2.0 ** ((level - 1) / STEPS[kind]), 0.0)
 
 
-def bits_of(h: np.ndarray, level: np.ndarray | int, bits: int) -> np.ndarray:
-    """The PROBES bit numbers of (n-gram, level) in a part of so many bits."""
-    a = mix((h & np.uint64((1 << 40) - 1)) + np.asarray(level).astype(np.uint64) * np.uint64(1 << 41))
+def bits_of(h: np.ndarray, kind: int, level: int, bits: int) -> np.ndarray:
+    """The bit numbers of (thing, level) in a part of so many bits."""
+    a = mix((h & _LOW) + np.uint64((kind << 56) + (level << 44)))
     b = mix(a) | np.uint64(1)
-    return np.stack([(a + np.uint64(i) * b) % np.uint64(bits) for i in range(PROBES)])
+    return np.stack([(a + np.uint64(i) * b) % np.uint64(bits) for i in range(FIRST if level == 1 else PROBES)])
 
 
-def levels(n: np.ndarray, floor: int) -> np.ndarray:
-    return np.where(n >= floor, np.floor(np.log2(np.maximum(n, floor) / floor)).astype(np.int64) + 1, 0)
+def part_of(things: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The filter with (kind, hashes, levels), as packed bits."""
+    set_bits = sum(float(FIRST * (level > 0).sum() + PROBES * np.maximum(level - 1, 0).sum()) for _, _, level in things)
+    bits = max(64, (int(set_bits / -np.log(1 - FILL)) + 8) // 8 * 8)
+    part = np.zeros(bits, bool)
+    for kind, h, level in things:
+        for j in range(1, int(level.max(initial=0)) + 1):
+            part[bits_of(h[level >= j], kind, j, bits).ravel().astype(np.int64)] = True
+    return np.packbits(part)
 
 
-def level_of(part: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
-    """The level of each n-gram in a part, 0 if it isn't there."""
-    level = np.zeros(len(h), np.int64)
-    on = np.arange(len(h))
-    j = 0
-    while len(on) and j < 60:
+def level_of(part: np.ndarray, kind: int, h: np.ndarray) -> np.ndarray:
+    """The level of each thing in a part, 0 if it isn't there."""
+    level, on, j = np.zeros(len(h), np.uint8), np.arange(len(h)), 0
+    while len(on) and j < 250:
         j += 1
-        at = bits_of(h[on], j, bits).astype(np.int64)
+        at = bits_of(h[on], kind, j, 8 * len(part)).astype(np.int64)
         on = on[((part[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0)]
         level[on] = j
     return level
 
 
-def about(level: np.ndarray, floor: np.ndarray | int = 1) -> np.ndarray:
-    """About the count that a level stands for."""
-    low = floor * 2.0 ** (level - 1)
-    return np.where(level == 0, 0.0, np.where(low < 2, low, low * 2**0.5))
-
-
-def _part(table: pa.Table, bits: int | None, head: int) -> pa.Table:
-    """An owner's part of the filter, sized by its insertions unless bits is given, and its words with their counts."""
-    column = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-    h, n = _add_up(column("words", np.uint64), column("word_counts", np.uint32))
-    once = np.zeros((len(five := column("once", np.uint8).reshape(-1, 5)), 8), np.uint8)
-    once[:, :5] = five
-    low = np.uint64((1 << 40) - 1)
-    p, m = _add_up(np.concatenate((once.view(np.uint64)[:, 0], column("pairs", np.uint64) & low)), np.concatenate((np.ones(len(once), np.uint32), column("pair_counts", np.uint32))))
-    grams, counts = np.concatenate((h & low, p)), np.concatenate((n, m))
-    floor, level = 1, levels(counts, 1)
-    if bits is None:
-        bits = max(64, (int(PROBES * float(level.sum()) / -np.log(1 - FILL)) + 8) // 8 * 8)
-    while True:
-        level = levels(counts, floor)
-        # each insertion sets PROBES bits at random: the expected share of set bits
-        if 1 - np.exp(-PROBES * float(level.sum()) / bits) <= FILL:
-            break
-        floor *= 2
-    part = np.zeros(bits, bool)
-    for j in range(1, int(level.max(initial=0)) + 1):
-        part[bits_of(grams[level >= j], j, bits).ravel()] = True
-    top = np.argsort(-n, kind="stable")[:head]
-    top = top[np.argsort(h[top])]
-    row = {"owner": pa.array([table.column("owner")[0].as_py()], pa.int32()), "tokens": [int(n.sum())], "types": [len(h)], "singles": [int((n == 1).sum())], "floor": [floor], "bits": [np.packbits(part).tobytes()], "head": [h[top].tobytes()], "head_counts": [n[top].tobytes()], "words": [h.tobytes()], "counts": [n.tobytes()]}
+def _add_up(keys: tuple[np.ndarray, ...], n: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Different keys (the last one is the first to sort by), and the sums of their numbers."""
+    order = np.lexsort(keys)
+    keys, n = tuple(k[order] for k in keys), n[order].astype(np.int64)
+    new = np.ones(min(1, len(n)), bool)
+    if len(n):
+        new = np.concatenate((new, np.any([k[1:] != k[:-1] for k in keys], 0)))
+    begin = np.flatnonzero(new)
+    return tuple(k[begin] for k in keys), np.add.reduceat(n, begin) if len(n) else n
+
+
+def _part(table: pa.Table) -> pa.Table:
+    """An owner's part of the filter, and its words with their exact counts for the base score."""
+    column = lambda name: [x for x in table.column(name).to_pylist() if x]
+    numbers = lambda name, kind: np.frombuffer(b"".join(column(name)), kind)
+    (h,), n = _add_up((numbers("words", np.uint64),), numbers("word_counts", np.uint32))
+    word_level = levels(n, "word")
+    things = [(WORD, h, word_level)]
+    for k, name in ((0, "pair"), (1, "triple")):
+        context = np.repeat(_from_five(column(f"ctx{k + 1}")), numbers(f"n{k + 1}", np.uint32))
+        (gram, context), count = _add_up((_from_five(column(f"{name}s")), context), numbers(f"{name}_counts", np.uint32))
+        level = levels(count, "gram")
+        begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(context)), bool), context[1:] != context[:-1])))
+        different = np.diff(np.append(begin, len(context)))
+        total = np.add.reduceat(about(level, "gram"), begin) if len(begin) else np.empty(0)
+        total = total + about(levels(different, "different"), "different")
+        own = np.where((different == 1) & (total == 2), 0, 1)
+        things += [((PAIR, TRIPLE)[k], gram, level), (DIFFERENT[k], context[begin], levels(different, "different") * own), (TOTAL[k], context[begin], levels(total, "total"))]
+    letters = sum((np.frombuffer(zlib.decompress(x), np.int64) for x in column("letters")), np.zeros(1 << 16, np.int64))
+    row = {"owner": pa.array([table.column("owner")[0].as_py()], pa.int32()), "tokens": [int(n.sum())], "types": [len(h)], "singles": [int((n == 1).sum())], "mass": [float(about(word_level, "word").sum())], "letters": [zlib.compress(letters.tobytes()) if letters.any() else b""], "bits": [part_of(things).tobytes()], "words": [h.tobytes()], "counts": [n.tobytes()]}
     return pa.table(row)
 
 
-class Frequent:
-    """What every worker has of the model: totals, and exact counts of frequent words."""
+_PART = "owner int, tokens long, types long, singles long, mass double, letters binary, bits binary, words binary, counts binary"
 
-    def __init__(self, rows: list) -> None:
-        self.tokens, self.types, self.singles = (sum(r[k] for r in rows) for k in ("tokens", "types", "singles"))
-        head = np.concatenate([np.frombuffer(r["head"], np.uint64) for r in rows] or [np.empty(0, np.uint64)])
-        counts = np.concatenate([np.frombuffer(r["head_counts"], np.int64) for r in rows] or [np.empty(0, np.int64)])
-        order = np.argsort(head)
-        self.head, self.head_counts = head[order], counts[order]
 
-    def frequent(self, h: np.ndarray) -> np.ndarray:
-        """The exact count of each word, 0 for those that aren't among the frequent ones."""
-        return _look_up(self.head, self.head_counts, h)
+class Totals:
+    """What every worker has of the model: sums over all of the training texts, and the table of letters."""
 
-    def log10(self, first: np.ndarray, alone: np.ndarray, together: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability in its place, from about the counts of the tokens and of their pairs."""
+    def __init__(self, rows: list) -> None:
+        self.tokens, self.types, self.singles = (sum(r[k] for r in rows) for k in ("tokens", "types", "singles"))
+        self.mass = sum(r["mass"] for r in rows)
+        letters = sum((np.frombuffer(zlib.decompress(r["letters"]), np.int64) for r in rows if r["letters"]), np.zeros(1 << 16, np.int64)).reshape(256, 256) + 1.0
+        letters[32, 32] = 0  # a word has a letter
+        letters[:, [9, 10, 11, 12, 13]] = 0
+        self.letters = np.log(np.maximum(letters, 1e-300)) - np.log(letters.sum(1, keepdims=True))
+
+    def spelled(self, words: Words) -> np.ndarray:
+        """The natural log of each word's probability by its letters and the space behind it."""
+        buf = _SPACE[words.buf]
+        total = np.concatenate(([0.0, 0.0], np.cumsum(self.letters[buf[:-1], buf[1:]])))
+        return total[words.ends + 1] - total[words.starts]
+
+    def log10(self, spelled: np.ndarray, word: np.ndarray, pair: np.ndarray, triple: np.ndarray, different: list[np.ndarray], total: list[np.ndarray], seen: list[np.ndarray]) -> np.ndarray:
+        """log10 of each token's probability, from its spelling (-inf for the end) and the levels of n-grams and contexts.
+
+        seen tells for both kinds of context whether training had it; one without levels has one follower, seen once.
+        """
         if not self.tokens:
-            return np.zeros(len(alone))
-        unknown = max(1.0, self.singles) / (self.tokens + 1)
-        single = np.where(alone > 0, (1 - unknown) * (alone + 1) / (self.tokens + self.types + 1), unknown)
-        before = np.concatenate((np.zeros(1), alone[:-1]))
-        before[first[:-1]] = alone[first[1:] - 1]  # as many starts as ends, and each text's last token is an end
-        weight = np.where(before >= OFTEN, PAIR_WEIGHT, np.where(before > 0, RARE_WEIGHT, 0.0))
-        pair = np.minimum(together / np.maximum(before, 1), 1.0)
-        return np.log10(weight * pair + (1 - weight) * single)
-
-
-class Model(Frequent):
-    """All parts of a filter in one place."""
-
-    def __init__(self, rows: list, owners: int) -> None:
-        super().__init__(rows)
-        self.owners = owners
-        self.parts = {r["owner"]: np.frombuffer(r["bits"], np.uint8) for r in rows}
-        self.floor = np.ones(owners, np.int64)
-        for r in rows:
-            self.floor[r["owner"]] = r["floor"]
-        self.filter = np.concatenate([*self.parts.values(), np.empty(0, np.uint8)])
-
-    def probe(self, h: np.ndarray) -> np.ndarray:
-        """About the count of each n-gram, 0 if the filter doesn't have it."""
-        owner = owner_of(h, self.owners)
-        level = np.zeros(len(h), np.int64)
-        for o, part in self.parts.items():
-            mine = owner == o
-            level[mine] = level_of(part, 8 * len(part), h[mine])
-        return about(level, self.floor[owner])
+            return np.zeros(len(word))
+        new = min(0.5, max(1.0, self.singles) / (self.tokens + 1))
+        with np.errstate(divide="ignore"):
+            log = np.logaddexp(np.log1p(-new) + np.log(about(word, "word")) - np.log(self.mass), np.log(new) + spelled)
+            for k, gram in enumerate((pair, triple)):
+                followers = np.where(different[k] > 0, about(different[k], "different"), 1.0)
+                longer = np.logaddexp(np.log(about(gram, "gram")), np.log(followers) + log) - np.log(about(total[k], "total"))
+                log = np.where(seen[k], np.minimum(longer, 0.0), log)
+        return log / np.log(10)
 
 
 def _look_up(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -210,24 +246,35 @@ def _look_up(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == h, values[at], 0)
 
 
-def parts(docs: DataFrame, text: str = "text", bits: int | None = None, head: int = HEAD) -> DataFrame:
+def parts(docs: DataFrame, text: str = "text", owners: int = 1) -> DataFrame:
     """The owners' parts of the model of the texts of docs, one row each."""
-    owners = min(tasks(docs.sparkSession), 4096)
-    sent = docs.select(text).mapInArrow(lambda b: _counts(b, text, owners), "owner int, words binary, word_counts binary, once binary, pairs binary, pair_counts binary")
-    schema = "owner int, tokens long, types long, singles long, floor long, bits binary, head binary, head_counts binary, words binary, counts binary"
-    own = -(-head // owners)
-    return sent.groupBy("owner").applyInArrow(lambda t: _part(t, bits, own), schema)
+    kinds = ", ".join(f"{c} binary" for c in _COUNTED[1:])
+    return docs.select(text).mapInArrow(lambda b: _counts(b, text, owners), f"owner int, {kinds}").groupBy("owner").applyInArrow(_part, _PART)
+
 
+class Questions:
+    """What a portion of texts has to ask: its words, pairs, triples and contexts, each in order of owners, and where its tokens find them."""
 
-def train(docs: DataFrame, text: str = "text", filter_bytes: int | None = None, head: int = HEAD) -> Model:
-    """The model of the texts of docs in one place; the driver gets all of the filter, which filter_bytes can bound."""
-    owners = min(tasks(docs.sparkSession), 4096)
-    bits = filter_bytes and max(64, filter_bytes * 8 // owners // 8 * 8)
-    return Model(parts(docs, text, bits, head).drop("words", "counts").toArrow().to_pylist(), owners)
+    def __init__(self, h: np.ndarray, first: np.ndarray, owners: int) -> None:
+        before, pair, two, triple = contexts(h, first)
+        self.words = np.unique(np.append(h, START))
+        self.word, self.before = np.searchsorted(self.words, h), np.searchsorted(self.words, before)
+        self.asked, self.back = [], []
+        for gram, context in ((pair, before), (triple, two), (two, two)):
+            gram, at, back = np.unique(gram, return_index=True, return_inverse=True)
+            owner = owner_of(context[at], owners)
+            order = np.argsort(owner, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            self.asked.append((gram[order], _cuts(owner[order], owners)))
+            self.back.append(place[back])
+        self.word_cuts = _cuts(owner_of(self.words, owners), owners)
 
 
 _ROW = "owner int, portion long, other int, texts binary, {}"
-_ASKED, _TOLD = _ROW.format("words binary, pairs binary"), _ROW.format("counts binary, word_levels binary, pair_levels binary")
+_ASKED_NAMES = ["owner", "portion", "other", "texts", "words", "pairs", "triples", "contexts"]
+_TOLD_NAMES = ["owner", "portion", "other", "texts", "counts", "words", "pairs", "triples", "contexts"]
+_ASKED, _TOLD = (_ROW.format(", ".join(f"{c} binary" for c in names[4:])) for names in (_ASKED_NAMES, _TOLD_NAMES))
 
 
 def _table(rows: list[tuple], names: list[str]) -> pa.Table:
@@ -235,27 +282,24 @@ def _table(rows: list[tuple], names: list[str]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
-_ASKED_NAMES = ["owner", "portion", "other", "texts", "words", "pairs"]
-_TOLD_NAMES = ["owner", "portion", "other", "texts", "counts", "word_levels", "pair_levels"]
-
-
-def _ask(batches, model: Frequent, owners: int):
-    """For each portion of texts: itself for its home, and for each owner the rare words and 5 low bytes of the pairs it has."""
+def _ask(batches, owners: int):
+    """For each portion of texts: itself for its home, and for each owner the words, n-grams and contexts it has."""
     for rows, texts in grouped(batches, "_text"):
-        h, first = tokens(texts)
+        h, first, _ = tokens(texts)
         # of the content alone, so that a task that runs again gives the same number; equal portions get equal answers
         portion = int.from_bytes(hashlib.blake2b(first.tobytes() + h.tobytes(), digest_size=8).digest(), "little", signed=True)
         home = portion % owners
+        q = Questions(h, first, owners)
         asked: dict[int, list[bytes]] = {}
-        words, p = np.unique(h[model.frequent(h) == 0]), np.unique(pairs(h, first))
-        for o, a, b in _split(words, owners):
-            asked.setdefault(o, [b"", b""])[0] = words[a:b].tobytes()
-        for o, a, b in _split(p, owners):
-            asked.setdefault(o, [b"", b""])[1] = p[a:b].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+        for o, a, b in q.word_cuts:
+            asked.setdefault(o, [b""] * 4)[0] = q.words[a:b].tobytes()
+        for i, (gram, cuts) in enumerate(q.asked):
+            for o, a, b in cuts:
+                asked.setdefault(o, [b""] * 4)[i + 1] = _five(gram[a:b])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_batch(rows)
-        out = [(home, portion, home, sink.getvalue().to_pybytes(), None, None)]
+        out = [(home, portion, home, sink.getvalue().to_pybytes(), None, None, None, None)]
         out += [(o, portion, home, None, *x) for o, x in asked.items()]
         yield from _table(out, _ASKED_NAMES).to_batches()
 
@@ -268,19 +312,17 @@ def _tell(asked: pa.Table, own: pa.Table) -> pa.Table:
     out = []
     columns = [asked.column(c) for c in _ASKED_NAMES]
     for i in range(asked.num_rows):
-        me, portion, home, texts, words, p = (c[i].as_py() for c in columns)
+        me, portion, home, texts, words, pairs, triples, pairs_before = (c[i].as_py() for c in columns)
         if texts is not None:
-            out.append((me, portion, me, texts, None, None, None))
+            out.append((me, portion, me, texts, *[None] * 5))
             continue
         h = np.frombuffer(words, np.uint64)
-        five = np.zeros((len(p) // 5, 8), np.uint8)
-        five[:, :5] = np.frombuffer(p, np.uint8).reshape(-1, 5)
-        levels_of = [level_of(part, 8 * len(part), x).astype(np.uint8).tobytes() for x in (h, five.view(np.uint64)[:, 0])]
-        out.append((home, portion, me, None, _look_up(keys, counts, h).tobytes(), *levels_of))
+        known = lambda x, *kinds: b"".join(level_of(part, k, x).tobytes() for k in kinds)
+        out.append((home, portion, me, None, _look_up(keys, counts, h).tobytes(), known(h, WORD, DIFFERENT[0], TOTAL[0]), known(_from_five([pairs]), PAIR), known(_from_five([triples]), TRIPLE), known(_from_five([pairs_before]), DIFFERENT[1], TOTAL[1])))
     return _table(out, _TOLD_NAMES)
 
 
-def _scored(table: pa.Table, model: Frequent, owners: int, names: list[str]) -> pa.Table:
+def _scored(table: pa.Table, model: Totals, owners: int, names: list[str]) -> pa.Table:
     """The scores of a home's portions from the owners' answers."""
     column = {c: table.column(c) for c in _TOLD_NAMES}
     told, portions = {}, []
@@ -292,42 +334,53 @@ def _scored(table: pa.Table, model: Frequent, owners: int, names: list[str]) ->
     out = []
     for portion, i in portions:
         rows = pa.ipc.open_stream(column["texts"][i].as_py()).read_all()
-        h, first = tokens(texts_of(rows.column("_text").combine_chunks()))
-        told_of = lambda x, c, kind: np.concatenate([np.frombuffer(column[c][told[portion, o]].as_py(), kind) for o, _, _ in _split(x, owners)] or [np.empty(0, kind)])  # noqa: B023, E731
-        exact = model.frequent(h)
-        alone = exact.astype(float)
-        rare = np.flatnonzero(exact == 0)
-        words, back = np.unique(h[rare], return_inverse=True)
-        exact[rare] = told_of(words, "counts", np.int64)[back]
-        alone[rare] = about(told_of(words, "word_levels", np.uint8).astype(np.int64))[back]
-        p, back = np.unique(pairs(h, first), return_inverse=True)
-        log = model.log10(first, alone, about(told_of(p, "pair_levels", np.uint8).astype(np.int64))[back])
+        h, first, words = tokens(texts_of(rows.column("_text").combine_chunks()))
+        q = Questions(h, first, owners)
+
+        def answers(cuts, name, kinds, dtype=np.uint8, portion=portion):
+            got = [np.frombuffer(column[name][told[portion, o]].as_py(), dtype).reshape(kinds, -1) for o, _, _ in cuts]
+            return np.concatenate(got, 1)
+
+        counts = answers(q.word_cuts, "counts", 1, np.int64)[0]
+        by_word = answers(q.word_cuts, "words", 3)
+        by_pair, by_triple, by_context = (answers(q.asked[k][1], name, n) for k, (name, n) in enumerate((("pairs", 1), ("triples", 1), ("contexts", 2))))
+        exact, level = counts[q.word], by_word[0][q.word]
+        pair = by_pair[0][q.back[0]]
+        starts = np.zeros(len(h), bool)
+        starts[first[:-1]] = True
+        seen_pair = np.concatenate(([False], pair[:-1] > 0)) if len(h) else starts
         n = np.diff(first)
         text_of = np.repeat(np.arange(len(n)), n)
+        spelled = np.full(len(h), -np.inf)
+        ends = np.zeros(len(h), bool)
+        ends[first[1:] - 1] = True
+        spelled[~ends] = model.spelled(words)
+        log = model.log10(spelled, level, pair, by_triple[0][q.back[1]], [by_word[1][q.before], by_context[0][q.back[2]]], [by_word[2][q.before], by_context[1][q.back[2]]], [starts | (by_word[0][q.before] > 0), starts | seen_pair])
         base = np.bincount(text_of, np.log10(exact + 1.0), len(n)) - n * np.log10(model.tokens + model.types + 1)
         known = np.bincount(text_of, exact > 0, len(n)).astype(np.int64)
-        out.append(pa.table([rows.column("_key"), rows.column("held"), pa.array(n, pa.int64()), pa.array(known), pa.array(np.full(len(n), model.tokens, np.int64)), pa.array(base), pa.array(np.bincount(text_of, log, len(n)))], names))
+        gain = np.bincount(text_of, np.where(exact > 0, log, 0.0), len(n))
+        out.append(pa.table([rows.column("_key"), rows.column("held"), pa.array(n, pa.int64()), pa.array(known), pa.array(np.full(len(n), model.tokens, np.int64)), pa.array(base), pa.array(np.bincount(text_of, log, len(n))), pa.array(gain)], names))
     return pa.concat_tables(out)
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
-    """One row per row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", owned: int = OWNED) -> DataFrame:
+    """One row per row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score, known_score (of known tokens alone).
 
     Learns from rows whose crc32 of the key as text isn't 2 modulo 7. Null and empty texts are one end token. Repeated rows
-    are learned and scored as often as they occur. Without any row to learn from both scores are 0. Very long texts are
-    scored whole. Other columns aren't read.
+    are learned and scored as often as they occur. Without any row to learn from scores are 0. Very long texts are
+    scored whole. An empty table gives no rows. Other columns aren't read. A null key is in the learning part.
     """
     code = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 7
     rows = docs.select(F.col(key).alias("_key"), (code == 2).alias("held"), F.col(text).alias("_text"))
-    own = saved(parts(rows.filter("not held"), "_text", head=head), "lm")
-    model = Frequent(own.select("tokens", "types", "singles", "head", "head_counts").toArrow().to_pylist())
+    owners = min(owners_for(rows, "_text", owned), 1 << 20)
+    own = saved(parts(rows.filter("not held"), "_text", owners), "lm")
+    model = Totals(own.select("tokens", "types", "singles", "mass", "letters").toArrow().to_pylist())
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    owners = min(tasks(docs.sparkSession), 4096)
     kind = docs.schema[key].dataType.simpleString()
-    names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    asked = rows.mapInArrow(lambda b: _ask(b, sent.value, owners), _ASKED)
+    names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "known_score"]
+    asked = rows.mapInArrow(lambda b: _ask(b, owners), _ASKED)
     told = asked.groupBy("owner").cogroup(own.select("owner", "bits", "words", "counts").groupBy("owner")).applyInArrow(_tell, _TOLD)
-    schema = f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, known_score double"
     return told.groupBy("owner").applyInArrow(lambda t: _scored(t, sent.value, owners, names), schema)
 
 

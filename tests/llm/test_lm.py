@@ -1,81 +1,147 @@
-"""Exact parts against brute force; the filter's counts within their levels; the model against the base."""
+"""Exact parts and the model against brute force; the filter's levels; probabilities that sum to one; junk below prose."""
 
 import math
+import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 
 from faktum.llm import lm
 
 
-def brute(rows):
-    toks = [[*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for _, t in rows]
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute_base(rows):
+    toks = [[*words_of(t), None] for _, t in rows]
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
     c = Counter(w for x, h in zip(toks, held, strict=True) if not h for w in x)
     n, v = sum(c.values()), len(c)
     return sorted((i, h, len(x), sum(c[w] > 0 for w in x), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in x), 6)) for (i, _), x, h in zip(rows, toks, held, strict=True))
 
 
+class Brute:
+    """The model of some texts from dictionaries of exact counts, each rounded as the filter rounds it."""
+
+    def __init__(self, texts):
+        self.grams, followers, letters = Counter(), defaultdict(set), Counter()
+        for t in texts:
+            w = [*words_of(t), None]
+            for i in range(len(w)):
+                for k in (1, 2, 3):
+                    gram = tuple(w[j] if j >= 0 else "<s>" for j in range(i - k + 1, i + 1))
+                    gram = (" ", *gram) if k == 1 else gram  # apart from contexts
+                    self.grams[gram] += 1
+                    if k > 1:
+                        followers[gram[:-1]].add(gram)
+            for x in w[:-1]:
+                letters.update(zip(b" " + x.encode(), x.encode() + b" ", strict=True))
+        down = lambda n, kind: float(lm.about(lm.levels(np.array([n]), kind), kind)[0])
+        self.down = down
+        self.mass = sum(down(n, "word") for g, n in self.grams.items() if g[0] == " ")
+        self.different = {c: down(len(f), "different") for c, f in followers.items()}
+        up = lambda n: float(lm.about(lm.levels(np.array([n]), "total"), "total")[0])
+        self.total = {c: up(sum(down(self.grams[g], "gram") for g in f) + self.different[c]) for c, f in followers.items()}
+        words = {g: n for g, n in self.grams.items() if g[0] == " "}
+        self.new = min(0.5, max(1, sum(n == 1 for n in words.values())) / (sum(words.values()) + 1))
+        self.letters, self.rows = letters, Counter()
+        for (a, _), n in letters.items():
+            self.rows[a] += n
+
+    def spelled(self, word):
+        """By letters: every byte but the five controls may follow, and a space only behind a letter."""
+        out = 1.0
+        for a, b in zip(b" " + word.encode(), word.encode() + b" ", strict=True):
+            out *= (self.letters[a, b] + 1) / (self.rows[a] + (250 if a == 32 else 251))
+        return out
+
+    def p(self, w, u, v):
+        p = (1 - self.new) * self.down(self.grams[" ", w], "word") / self.mass + (self.new * self.spelled(w) if w else 0)
+        for context in ((v,), (u, v)):
+            if context in self.total:
+                p = (self.down(self.grams[*context, w], "gram") + self.different[context] * p) / self.total[context]
+        return p
+
+    def score(self, text):
+        w = ["<s>", "<s>", *words_of(text), None]
+        return sum(math.log10(self.p(w[i], w[i - 2], w[i - 1])) for i in range(2, len(w)))
+
+
 def test_against_brute_force(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    rows = [tuple(r) for r in docs.collect()] + [(-1, None), (-2, ""), (-3, "Zz  zz\tZZ"), (-3, "Zz  zz\tZZ"), (-3, "other")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = lm.score(df, head=300).collect()
-    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == brute(rows)
-    held = [r for r in got if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()] + [(-1, None), (-2, ""), (-3, "Zz  zz\tZZ"), (-3, "Zz  zz\tZZ"), (-3, "other"), (-4, "word " * 30_000)]
+    df = spark.createDataFrame([(*r, 1, 2.0) for r in rows], "doc_id long, text string, owner int, _text double")
+    got = lm.score(df, owned=50_000).collect()
+    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == brute_base(rows)
     assert all(r.score <= 0 and math.isfinite(r.score) for r in got)
+    model = Brute([t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2])
+    texts, off = dict(rows), []
+    for r in got:
+        if r.doc_id != -3:
+            off.append(abs(r.score - model.score(texts[r.doc_id])) / r.n_tokens)
+    assert np.mean(off) < 0.02 and np.median(off) < 0.01  # the filter's false hits
     assert lm.score(df.limit(0)).count() == 0
-
-
-def test_filter_levels(spark):
-    text = " ".join(f"w{i}" for i in range(200) for _ in range(i + 1))
-    model = lm.train(spark.createDataFrame([(text,)], "text string"), filter_bytes=1 << 16, head=1)
-    h, _ = lm.tokens([" ".join(f"w{i}" for i in range(200)).encode()])
-    got = model.probe(h[:200])
-    n = np.arange(1, 201)
-    assert set(model.floor.tolist()) == {1}
-    assert (got >= n / 2 - 0.5).all() and (got <= 3 * n + 1).mean() > 0.9
-    few, _ = lm.tokens([" ".join(f"x{i}" for i in range(500)).encode()])
-    assert (model.probe(few[:500]) > 0).mean() < 0.1
-
-
-def test_small_filter_raises_its_floor(spark):
-    text = " ".join(f"w{i % 3000}" for i in range(9000))
-    model = lm.train(spark.createDataFrame([(text,)], "text string"), filter_bytes=512, head=1)
-    assert model.floor.max() > 1
-    assert np.unpackbits(model.filter).mean() < lm.FILL + 0.1
+    none = lm.score(df.filter("doc_id = 15"), owned=50_000).collect() if zlib.crc32(b"15") % 7 == 2 else []
+    assert all(r.score == 0 for r in none)
+
+
+def test_probabilities_sum_to_one_at_most():
+    model = Brute(["a b a c", "b a a", "c a b b a", "d"])
+    for u, v in (("<s>", "<s>"), ("<s>", "a"), ("a", "b"), ("b", "a"), ("x", "a"), ("x", "y")):
+        known = sum(model.p(w, u, v) for w in ("a", "b", "c", "d", None))
+        assert 0.5 < known <= 1 + 1e-9
+        spelled = sum(model.spelled(w) for w in ("a", "b", "c", "d"))
+        assert known + model.new * (1 - spelled) * (model.p("zz", u, v) / (model.new * model.spelled("zz"))) <= 1 + 1e-9
+    assert sum(model.spelled(chr(i)) for i in range(33, 127)) < 1
+    letters = np.zeros(1 << 16, np.int64)
+    for (a, b), n in model.letters.items():
+        letters[a * 256 + b] = n
+    table = lm.Totals([{"tokens": 1, "types": 1, "singles": 1, "mass": 1.0, "letters": zlib.compress(letters.tobytes())}])
+    assert np.allclose(np.exp(table.letters[[97, 32, 200]]).sum(1), 1)
+    _, _, words = lm.tokens([b"ab c", b"zz"])
+    assert np.allclose(np.exp(table.spelled(words)), [model.spelled(w) for w in ("ab", "c", "zz")])
+
+
+def test_junk_scores_below_prose_and_known_words_gain(spark):
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    r, extra = random.Random(3), []
+    prose = [(i, t) for i, t in docs if t and len(t.split()) > 50 and zlib.crc32(str(i).encode()) % 7 == 2][:40]
+    held = iter(k for k in range(10**6, 10**7) if zlib.crc32(str(k).encode()) % 7 == 2)
+    for _, t in prose:
+        w = t.split()
+        r.shuffle(w)
+        extra.append((next(held), " ".join(w)))
+        extra.append((next(held), " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in x) for x in t.split())))
+    got = {x.doc_id: x for x in lm.score(spark.createDataFrame(docs + extra, "doc_id long, text string")).collect()}
+    mean = lambda ids: np.mean([got[i].score / got[i].n_tokens for i in ids])
+    real, shuffled, random_ = mean([i for i, _ in prose]), mean([i for i, _ in extra[::2]]), mean([i for i, _ in extra[1::2]])
+    assert real > shuffled + 0.1 and shuffled > random_ + 2
+    tests = [x for x in got.values() if x.held_out and x.doc_id < 10**6]
+    unknown = np.log10(1 / (tests[0].train_tokens + 1))
+    known_base = sum(x.base_score for x in tests) - sum(x.n_tokens - x.n_known for x in tests) * unknown
+    assert sum(x.known_score for x in tests) > known_base
+
+
+def test_filter_levels():
+    n = np.arange(1, 3001)
+    h = lm.mix(n.astype(np.uint64))
+    part = lm.part_of([(lm.WORD, h, lm.levels(n, "word")), (lm.PAIR, h, lm.levels(n, "gram")), (lm.TOTAL[0], h, lm.levels(n + 1, "total"))])
+    assert np.unpackbits(part).mean() < lm.FILL + 0.02
+    got = lm.about(lm.level_of(part, lm.WORD, h), "word")
+    assert (got >= n / 2**0.26).all() and (got <= n * 1.001).mean() > 0.95
+    assert (lm.about(lm.level_of(part, lm.PAIR, h), "gram") > n / 2).all()
+    assert (lm.about(lm.level_of(part, lm.TOTAL[0], h), "total") >= (n + 1) * 0.999).all()
+    assert (lm.level_of(part, lm.TRIPLE, h) > 0).mean() < 0.001
 
 
 def test_filter_grows_with_the_corpus(spark):
     def sizes(n):
         docs = spark.createDataFrame([(" ".join(f"w{i}" for i in range(k, k + 500)),) for k in range(0, n, 500)], "text string")
-        rows = lm.parts(docs, head=1).collect()
-        assert {r.floor for r in rows} == {1}
+        rows = lm.parts(docs, "text", 3).collect()
         assert all(np.unpackbits(np.frombuffer(r.bits, np.uint8)).mean() < lm.FILL + 0.1 for r in rows)
         return sum(len(r.bits) for r in rows)
 
     assert 9 < sizes(50000) / sizes(5000) < 11
-
-
-def test_score_sees_every_ngram(spark):
-    """Against the model over exact counts, each at its level: only the filter's false hits may differ."""
-    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
-    h = {i: lm.tokens([(t or "").encode()]) for i, t in rows}
-    learned = [h[i] for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
-    words, two = Counter(w for x, _ in learned for w in x.tolist()), Counter(p for x, f in learned for p in lm.pairs(x, f).tolist())
-    rare = lambda n: float(lm.about(lm.levels(np.array([n]), 1))[0]) if n else 0.0
-    n, v, once = sum(words.values()), len(words), sum(c == 1 for c in words.values())
-    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), head=1).collect()}
-    off = []
-    for i, _ in rows:
-        x, f = h[i]
-        alone = np.array([rare(words[w]) for w in x.tolist()])
-        before = np.concatenate((alone[-1:], alone[:-1]))
-        weight = np.where(before >= lm.OFTEN, lm.PAIR_WEIGHT, np.where(before > 0, lm.RARE_WEIGHT, 0.0))
-        pair = np.minimum(np.array([rare(two[p]) for p in lm.pairs(x, f).tolist()]) / np.maximum(before, 1), 1)
-        single = np.where(alone > 0, (1 - once / (n + 1)) * (alone + 1) / (n + v + 1), once / (n + 1))
-        off.append((got[i] - np.log10(weight * pair + (1 - weight) * single).sum()) / len(x))
-    assert np.abs(off).mean() < 0.05 and np.median(off) < 0.02
