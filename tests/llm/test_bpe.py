@@ -52,3 +52,12 @@ def test_operator(spark):
     back = bpe.decode(bpe.encode(df, PATH), PATH)
     assert sorted((r.doc_id or -1, r.decoded) for r in back.collect()) == sorted((i or -1, t or "") for i, t, _ in rows)
     assert bpe.digest(df.limit(0), PATH).count() == 0
+
+
+def test_long_texts_are_split_by_a_running_match(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "LONG_TEXT", 200)
+    text = "Some words, it's 12 345\n\n  and <|endoftext|> more words " * 400
+    assert ids(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+    huge = "word number seven " * 70_000  # over LONG_TEXT as it is in production
+    monkeypatch.undo()
+    assert len(huge) > bpe.LONG_TEXT and ids(huge) == LIBRARY.encode(huge, add_special_tokens=False).ids
