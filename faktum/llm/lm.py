@@ -1,19 +1,21 @@
 """Language-model scoring from a log-frequency Bloom filter of quantised n-gram counts.
 
-Training counts words, pairs and triples of words: readers count what they have and send it to owners of ranges of contexts (a
-word for pairs, a pair for triples); an owner adds up and makes its part of the filter. A count is stored as its level, about
-its logarithm: the n-gram is inserted once with each number from 1 to its level, so that a reader gets the level by probing 1,
-2, ... until a probe fails. The first level has FIRST probes, so that an n-gram that wasn't seen is hardly ever found. Of a context the
-filter has, in the same way, how many different words follow it and what their counts make together (rounded up), unless
-that is one word seen once. A part has as many bits as leave FILL of them set, so the filter grows with the corpus and no n-gram is left out.
+Training counts words, pairs and triples of words: readers count what they have and send it to owners of hash ranges; an owner
+adds up and makes its part of the filter. A count is stored as its level, about its logarithm: the n-gram is inserted once with
+each number from 1 to its level, so that a reader gets the level by probing 1, 2, ... until a probe fails. The first level has
+more probes, so that an n-gram that wasn't seen is hardly ever found. A part has as many bits as leave FILL of them set, so the
+filter grows with the corpus and no n-gram is left out.
 
 The filter as a whole has no size bound, so it isn't broadcast: parts stay with their owners. Each portion of texts asks the owners
-for its n-grams and contexts, and owners answer with levels, and with exact counts of words for the base score alone. The portion
-itself goes to its home, where answers are put together.
-
-Probabilities are smoothed after Witten and Bell: P(w | h) = (count(hw) + different(h) P(w | shorter h)) / total(h), with counts
-as the levels give them, rounded down, and totals rounded up, so that they sum to one at most. At the end stand the words' own shares; the share of
-words seen once goes to new words, by the letters: a table of which byte follows which, from all words of the training texts.
+for its n-grams, and owners answer with levels, and with exact counts of words for the base score alone. The portion
+itself goes to its home, where answers are put together. Documents are scored in SLICES, one after the other, which bounds what is
+under way at a time.
+
+Probabilities are smoothed after Witten and Bell: P(w | h) = (count(hw) + k P(w | shorter h)) / (count(h) + k), with counts of
+n-grams rounded down to their levels and counts of contexts rounded up, so that they sum to one at most. k is how many
+different words follow a context that is seen as often, on average over all contexts of that level in the training texts. At the end
+stand the words' own shares; the share of words seen once goes to new words, by the letters: a table of which byte follows
+which, from all words of the training texts.
 """
 
 from __future__ import annotations
@@ -26,17 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faktum.llm.store import owners_for, saved
+from faktum.llm.store import owners_for, released, saved
 from faktum.llm.textkit import Words, grouped, mix, texts_of
 
-#: Share of bits that may be set; probes for the first level and for each other.
-FILL, FIRST, PROBES = 0.3, 12, 3
-#: Tokens whose counts a reader gathers before it sends them; bytes of texts whose n-grams an owner gets, about.
-GATHERED, OWNED = 2 << 20, 24 << 20
-#: Levels to a doubling: of a word's count, of an n-gram's, of different followers, of a context's total (which begins at 2).
-STEPS = {"word": 4, "gram": 1, "different": 1, "total": 2}
-#: What the filter has: words, pairs, triples; different followers and totals of words and of pairs.
-WORD, PAIR, TRIPLE, DIFFERENT, TOTAL = 0, 1, 2, (3, 4), (5, 6)
+#: Share of bits that may be set; probes for the first level by words in the n-gram, and for each other level.
+FILL, FIRST, PROBES = 0.3, (12, 12, 8), 3
+#: Tokens whose counts a reader gathers before it sends them; bytes of texts whose n-grams an owner gets, about; slices of documents.
+GATHERED, OWNED, SLICES = 2 << 20, 24 << 20, 4
+#: Levels to a doubling of the counts of words, pairs and triples; the most levels there are.
+STEPS, MOST = (4, 2, 2), 250
 END, START, _PAIR, _TRIPLE = np.uint64(0xE1D0_0000_0000_0001), np.uint64(0x57A2_0000_0000_0001), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64((1 << 40) - 1)
 _SPACE = np.arange(256)
@@ -53,14 +53,14 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Words]:
     return out, first, words
 
 
-def contexts(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token: the word before it (or START), the pair it ends, the pair before it, the triple it ends."""
+def ngrams(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token: the pair and the triple that it ends; before a text stand two STARTs."""
     before = np.concatenate((np.zeros(1, np.uint64), h[:-1])) if len(h) else h.copy()
     before[first[:-1]] = START
     pair = mix(before * _PAIR + h)
     two = np.concatenate((np.zeros(1, np.uint64), pair[:-1])) if len(h) else h.copy()
-    two[first[:-1]] = mix(np.array([START], np.uint64) * _PAIR + START)[0]
-    return before, pair, two, mix(two * _TRIPLE + h)
+    two[first[:-1]] = START
+    return pair, mix(two * _TRIPLE + h)
 
 
 def owner_of(h: np.ndarray, owners: int) -> np.ndarray:
@@ -84,36 +84,40 @@ def _from_five(blobs: list[bytes]) -> np.ndarray:
     return out.view(np.uint64)[:, 0]
 
 
-_COUNTED = ["owner", "words", "word_counts", "ctx1", "n1", "pairs", "pair_counts", "ctx2", "n2", "triples", "triple_counts", "letters"]
+_COUNTED = ["owner", "words", "word_counts", "pairs", "pair_counts", "triples", "triple_counts", "letters", "followers"]
 
 
 def _counts(batches, text: str, owners: int):
-    """An owner's words and counts; its contexts of both kinds, how many n-grams each has, these and their counts; letters for owner 0."""
+    """An owner's words, pairs and triples with their counts; for owner 0 the letters, and the contexts and their followers by level."""
     held: list[tuple[np.ndarray, ...]] = []
     letters = np.zeros(1 << 16, np.int64)
     size = 0
 
     def flush():
-        rows: dict[int, list[bytes]] = {0: [b""] * 11}
-        h, n = np.unique(np.concatenate([x[0] for x in held]), return_counts=True)
-        for o, a, b in _cuts(owner_of(h, owners), owners):
-            rows.setdefault(o, [b""] * 11)[:2] = [h[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()]
-        for k in (1, 2):
-            context, gram = (np.concatenate([x[2 * k - 1 + i] for x in held]) for i in (0, 1))
-            gram, at, n = np.unique(gram, return_index=True, return_counts=True)
-            context = context[at]
-            order = np.argsort(context, kind="stable")
-            context, gram, n = context[order], gram[order], n[order]
-            for o, a, b in _cuts(owner_of(context, owners), owners):
-                c, times = np.unique(context[a:b], return_counts=True)
-                rows.setdefault(o, [b""] * 11)[4 * k - 2 : 4 * k + 2] = [_five(c), times.astype(np.uint32).tobytes(), _five(gram[a:b]), n[a:b].astype(np.uint32).tobytes()]
-        rows[0][10] = zlib.compress(letters.tobytes(), 1)
+        rows: dict[int, list[bytes]] = {0: [b""] * 8}
+        followers = np.zeros((2, 2, MOST), np.int64)
+        first_token = np.concatenate([x[3] for x in held])
+        for k in range(3):
+            every = np.concatenate([x[k] for x in held])
+            h, at, back, n = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
+            for o, a, b in _cuts(owner_of(h, owners), owners):
+                rows.setdefault(o, [b""] * 8)[2 * k : 2 * k + 2] = [h[a:b].tobytes() if k == 0 else _five(h[a:b]), n[a:b].astype(np.uint32).tobytes()]
+            if k:  # the context of each different n-gram is what ends one token before it; starts of texts apart
+                inner = at[~first_token[at]] - 1
+                different = np.bincount(context_of[inner], minlength=len(context_n))
+                level = levels(context_n, k - 1)
+                some = different > 0
+                followers[k - 1] += np.stack([np.bincount(level[some], w, MOST).astype(np.int64) for w in (np.ones(some.sum()), different[some])])
+            context_of, context_n = back, n
+        rows[0][6:] = [zlib.compress(letters.tobytes(), 1), followers.tobytes()]
         columns = list(zip(*rows.values(), strict=True))
         return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], _COUNTED)
 
     for _, texts in grouped(batches, text):
         h, first, words = tokens(texts)
-        held.append((h, *contexts(h, first)))
+        starts = np.zeros(len(h), bool)
+        starts[first[:-1]] = True
+        held.append((h, *ngrams(h, first), starts))
         buf = _SPACE[words.buf]
         letters += np.bincount(buf[:-1] * 256 + buf[1:], minlength=1 << 16)
         size += len(h)
@@ -124,96 +128,98 @@ def _counts(batches, text: str, owners: int):
         yield flush()
 
 
-def levels(n: np.ndarray, kind: str) -> np.ndarray:
-    """The level of each number: rounded down, but for totals, which are rounded up; 0 for none, and for totals of 2."""
+def levels(n: np.ndarray, k: int) -> np.ndarray:
+    """The level of each count of an n-gram of k + 1 words, rounded down; 0 for none."""
     n = np.asarray(n, np.float64)
-    if kind == "total":
-        return np.ceil(STEPS[kind] * np.log2(np.maximum(n, 2) / 2)).astype(np.int64)
-    return np.where(n > 0, np.floor(STEPS[kind] * np.log2(np.maximum(n, 1))).astype(np.int64) + 1, 0)
+    return np.where(n > 0, np.floor(STEPS[k] * np.log2(np.maximum(n, 1))).astype(np.int64) + 1, 0)
+
 
+def at_least(level: np.ndarray, k: int) -> np.ndarray:
+    """The smallest count (a whole number) at a level."""
+    return np.where(level > 0, np.ceil(2.0 ** ((level - 1) / STEPS[k]) - 1e-9), 0.0)
 
-def about(level: np.ndarray, kind: str) -> np.ndarray:
-    """The number that a level stands for."""
-    if kind == "total":
-        return 2 * 2.0 ** (level / STEPS[kind])
-    return np.where(level > 0, 2.0 ** ((level - 1) / STEPS[kind]), 0.0)
 
+def at_most(level: np.ndarray, k: int) -> np.ndarray:
+    """The largest count at a level."""
+    return np.where(level > 0, np.maximum(np.ceil(2.0 ** (level / STEPS[k]) - 1e-9) - 1, 1), 0.0)
 
-def bits_of(h: np.ndarray, kind: int, level: int, bits: int) -> np.ndarray:
-    """The bit numbers of (thing, level) in a part of so many bits."""
-    a = mix((h & _LOW) + np.uint64((kind << 56) + (level << 44)))
+
+def bits_of(h: np.ndarray, k: int, level: int, bits: int) -> np.ndarray:
+    """The bit numbers of (n-gram of k + 1 words, level) in a part of so many bits."""
+    a = mix((h & _LOW) + np.uint64((k << 56) + (level << 44)))
     b = mix(a) | np.uint64(1)
-    return np.stack([(a + np.uint64(i) * b) % np.uint64(bits) for i in range(FIRST if level == 1 else PROBES)])
+    return np.stack([(a + np.uint64(i) * b) % np.uint64(bits) for i in range(FIRST[k] if level == 1 else PROBES)])
 
 
-def part_of(things: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The filter with (kind, hashes, levels), as packed bits."""
-    set_bits = sum(float(FIRST * (level > 0).sum() + PROBES * np.maximum(level - 1, 0).sum()) for _, _, level in things)
+def part_of(grams: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The filter with (hashes, levels) of words, pairs and triples, as packed bits."""
+    set_bits = sum(float(FIRST[k] * (level > 0).sum() + PROBES * np.maximum(level - 1, 0).sum()) for k, (_, level) in enumerate(grams))
     bits = max(64, (int(set_bits / -np.log(1 - FILL)) + 8) // 8 * 8)
     part = np.zeros(bits, bool)
-    for kind, h, level in things:
+    for k, (h, level) in enumerate(grams):
         for j in range(1, int(level.max(initial=0)) + 1):
-            part[bits_of(h[level >= j], kind, j, bits).ravel().astype(np.int64)] = True
+            h, level = h[level >= j], level[level >= j]
+            part[bits_of(h, k, j, bits).ravel().astype(np.int64)] = True
     return np.packbits(part)
 
 
-def level_of(part: np.ndarray, kind: int, h: np.ndarray) -> np.ndarray:
-    """The level of each thing in a part, 0 if it isn't there."""
+def level_of(part: np.ndarray, k: int, h: np.ndarray) -> np.ndarray:
+    """The level of each n-gram of k + 1 words in a part, 0 if it isn't there."""
     level, on, j = np.zeros(len(h), np.uint8), np.arange(len(h)), 0
-    while len(on) and j < 250:
+    while len(on) and j < MOST:
         j += 1
-        at = bits_of(h[on], kind, j, 8 * len(part)).astype(np.int64)
+        at = bits_of(h[on], k, j, 8 * len(part)).astype(np.int64)
         on = on[((part[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0)]
         level[on] = j
     return level
 
 
-def _add_up(keys: tuple[np.ndarray, ...], n: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-    """Different keys (the last one is the first to sort by), and the sums of their numbers."""
-    order = np.lexsort(keys)
-    keys, n = tuple(k[order] for k in keys), n[order].astype(np.int64)
-    new = np.ones(min(1, len(n)), bool)
-    if len(n):
-        new = np.concatenate((new, np.any([k[1:] != k[:-1] for k in keys], 0)))
-    begin = np.flatnonzero(new)
-    return tuple(k[begin] for k in keys), np.add.reduceat(n, begin) if len(n) else n
+def _add_up(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order].astype(np.int64)
+    begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
+    return h[begin], np.add.reduceat(n, begin) if len(h) else n
 
 
 def _part(table: pa.Table) -> pa.Table:
     """An owner's part of the filter, and its words with their exact counts for the base score."""
     column = lambda name: [x for x in table.column(name).to_pylist() if x]
     numbers = lambda name, kind: np.frombuffer(b"".join(column(name)), kind)
-    (h,), n = _add_up((numbers("words", np.uint64),), numbers("word_counts", np.uint32))
-    word_level = levels(n, "word")
-    things = [(WORD, h, word_level)]
-    for k, name in ((0, "pair"), (1, "triple")):
-        context = np.repeat(_from_five(column(f"ctx{k + 1}")), numbers(f"n{k + 1}", np.uint32))
-        (gram, context), count = _add_up((_from_five(column(f"{name}s")), context), numbers(f"{name}_counts", np.uint32))
-        level = levels(count, "gram")
-        begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(context)), bool), context[1:] != context[:-1])))
-        different = np.diff(np.append(begin, len(context)))
-        total = np.add.reduceat(about(level, "gram"), begin) if len(begin) else np.empty(0)
-        total = total + about(levels(different, "different"), "different")
-        own = np.where((different == 1) & (total == 2), 0, 1)
-        things += [((PAIR, TRIPLE)[k], gram, level), (DIFFERENT[k], context[begin], levels(different, "different") * own), (TOTAL[k], context[begin], levels(total, "total"))]
+    h, n = _add_up(numbers("words", np.uint64), numbers("word_counts", np.uint32))
+    grams = [(h, levels(n, 0))]
+    for k, name in ((1, "pair"), (2, "triple")):
+        own, count = _add_up(_from_five(column(f"{name}s")), numbers(f"{name}_counts", np.uint32))
+        grams.append((own, levels(count, k)))
     letters = sum((np.frombuffer(zlib.decompress(x), np.int64) for x in column("letters")), np.zeros(1 << 16, np.int64))
-    row = {"owner": pa.array([table.column("owner")[0].as_py()], pa.int32()), "tokens": [int(n.sum())], "types": [len(h)], "singles": [int((n == 1).sum())], "mass": [float(about(word_level, "word").sum())], "letters": [zlib.compress(letters.tobytes()) if letters.any() else b""], "bits": [part_of(things).tobytes()], "words": [h.tobytes()], "counts": [n.tobytes()]}
+    followers = sum((np.frombuffer(x, np.int64) for x in column("followers")), np.zeros(4 * MOST, np.int64))
+    row = {"owner": pa.array([table.column("owner")[0].as_py()], pa.int32()), "tokens": [int(n.sum())], "types": [len(h)], "singles": [int((n == 1).sum())], "mass": [float(at_least(grams[0][1], 0).sum())], "ends": [int(n[h == END].sum())], "letters": [zlib.compress(letters.tobytes()) if letters.any() else b""], "followers": [followers.tobytes()], "bits": [part_of(grams).tobytes()], "words": [h.tobytes()], "counts": [n.tobytes()]}
     return pa.table(row)
 
 
-_PART = "owner int, tokens long, types long, singles long, mass double, letters binary, bits binary, words binary, counts binary"
+_PART = "owner int, tokens long, types long, singles long, mass double, ends long, letters binary, followers binary, bits binary, words binary, counts binary"
 
 
 class Totals:
-    """What every worker has of the model: sums over all of the training texts, and the table of letters."""
+    """What every worker has of the model: sums over all of the training texts, and the tables of letters and of followers."""
 
     def __init__(self, rows: list) -> None:
-        self.tokens, self.types, self.singles = (sum(r[k] for r in rows) for k in ("tokens", "types", "singles"))
+        self.tokens, self.types, self.singles, self.texts = (sum(r[k] for r in rows) for k in ("tokens", "types", "singles", "ends"))
         self.mass = sum(r["mass"] for r in rows)
         letters = sum((np.frombuffer(zlib.decompress(r["letters"]), np.int64) for r in rows if r["letters"]), np.zeros(1 << 16, np.int64)).reshape(256, 256) + 1.0
         letters[32, 32] = 0  # a word has a letter
         letters[:, [9, 10, 11, 12, 13]] = 0
         self.letters = np.log(np.maximum(letters, 1e-300)) - np.log(letters.sum(1, keepdims=True))
+        counted = sum((np.frombuffer(r["followers"], np.int64) for r in rows), np.zeros(4 * MOST, np.int64)).reshape(2, 2, MOST)
+        self.followers = [self._mean(*counted[k]) for k in (0, 1)]
+
+    @staticmethod
+    def _mean(contexts: np.ndarray, different: np.ndarray) -> np.ndarray:
+        """How many different followers a context of each level has; levels that no reader met have those of the next lower one."""
+        out, last = np.ones(MOST), 1.0
+        for i in range(MOST):
+            last = different[i] / contexts[i] if contexts[i] else last
+            out[i] = last
+        return out
 
     def spelled(self, words: Words) -> np.ndarray:
         """The natural log of each word's probability by its letters and the space behind it."""
@@ -221,20 +227,21 @@ class Totals:
         total = np.concatenate(([0.0, 0.0], np.cumsum(self.letters[buf[:-1], buf[1:]])))
         return total[words.ends + 1] - total[words.starts]
 
-    def log10(self, spelled: np.ndarray, word: np.ndarray, pair: np.ndarray, triple: np.ndarray, different: list[np.ndarray], total: list[np.ndarray], seen: list[np.ndarray]) -> np.ndarray:
-        """log10 of each token's probability, from its spelling (-inf for the end) and the levels of n-grams and contexts.
-
-        seen tells for both kinds of context whether training had it; one without levels has one follower, seen once.
-        """
+    def log10(self, spelled: np.ndarray, starts: np.ndarray, levels_of: list[np.ndarray]) -> np.ndarray:
+        """log10 of each token's probability, from its spelling (-inf for the end) and the levels of its word, pair and triple."""
         if not self.tokens:
-            return np.zeros(len(word))
+            return np.zeros(len(spelled))
         new = min(0.5, max(1.0, self.singles) / (self.tokens + 1))
         with np.errstate(divide="ignore"):
-            log = np.logaddexp(np.log1p(-new) + np.log(about(word, "word")) - np.log(self.mass), np.log(new) + spelled)
-            for k, gram in enumerate((pair, triple)):
-                followers = np.where(different[k] > 0, about(different[k], "different"), 1.0)
-                longer = np.logaddexp(np.log(about(gram, "gram")), np.log(followers) + log) - np.log(about(total[k], "total"))
-                log = np.where(seen[k], np.minimum(longer, 0.0), log)
+            log = np.logaddexp(np.log1p(-new) + np.log(at_least(levels_of[0], 0)) - np.log(self.mass), np.log(new) + spelled)
+            for k in (1, 2):
+                # the context is the word or pair that the token before ends; a text's first token has all texts' starts
+                level = np.concatenate((levels_of[k - 1][:1], levels_of[k - 1][:-1])).astype(np.int64)
+                level[starts] = int(levels(np.array([self.texts]), k - 1)[0])
+                often, more = at_most(level, k - 1), self.followers[k - 1][level]
+                own = np.where(levels_of[k - 1] > 0, at_least(levels_of[k], k), 0.0)  # what has no shorter part is a false hit
+                longer = np.logaddexp(np.log(own), np.log(more) + log) - np.log(often + more)
+                log = np.where(level > 0, np.minimum(longer, 0.0), log)
         return log / np.log(10)
 
 
@@ -253,27 +260,19 @@ def parts(docs: DataFrame, text: str = "text", owners: int = 1) -> DataFrame:
 
 
 class Questions:
-    """What a portion of texts has to ask: its words, pairs, triples and contexts, each in order of owners, and where its tokens find them."""
+    """What a portion of texts has to ask: its words, pairs and triples, each in order (of owners too), and where its tokens find them."""
 
     def __init__(self, h: np.ndarray, first: np.ndarray, owners: int) -> None:
-        before, pair, two, triple = contexts(h, first)
-        self.words = np.unique(np.append(h, START))
-        self.word, self.before = np.searchsorted(self.words, h), np.searchsorted(self.words, before)
         self.asked, self.back = [], []
-        for gram, context in ((pair, before), (triple, two), (two, two)):
-            gram, at, back = np.unique(gram, return_index=True, return_inverse=True)
-            owner = owner_of(context[at], owners)
-            order = np.argsort(owner, kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            self.asked.append((gram[order], _cuts(owner[order], owners)))
-            self.back.append(place[back])
-        self.word_cuts = _cuts(owner_of(self.words, owners), owners)
+        for gram in (h, *ngrams(h, first)):
+            gram, back = np.unique(gram, return_inverse=True)
+            self.asked.append((gram, _cuts(owner_of(gram, owners), owners)))
+            self.back.append(back)
 
 
 _ROW = "owner int, portion long, other int, texts binary, {}"
-_ASKED_NAMES = ["owner", "portion", "other", "texts", "words", "pairs", "triples", "contexts"]
-_TOLD_NAMES = ["owner", "portion", "other", "texts", "counts", "words", "pairs", "triples", "contexts"]
+_ASKED_NAMES = ["owner", "portion", "other", "texts", "words", "pairs", "triples"]
+_TOLD_NAMES = ["owner", "portion", "other", "texts", "counts", "words", "pairs", "triples"]
 _ASKED, _TOLD = (_ROW.format(", ".join(f"{c} binary" for c in names[4:])) for names in (_ASKED_NAMES, _TOLD_NAMES))
 
 
@@ -291,15 +290,13 @@ def _ask(batches, owners: int):
         home = portion % owners
         q = Questions(h, first, owners)
         asked: dict[int, list[bytes]] = {}
-        for o, a, b in q.word_cuts:
-            asked.setdefault(o, [b""] * 4)[0] = q.words[a:b].tobytes()
         for i, (gram, cuts) in enumerate(q.asked):
             for o, a, b in cuts:
-                asked.setdefault(o, [b""] * 4)[i + 1] = _five(gram[a:b])
+                asked.setdefault(o, [b""] * 3)[i] = gram[a:b].tobytes() if i == 0 else _five(gram[a:b])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_batch(rows)
-        out = [(home, portion, home, sink.getvalue().to_pybytes(), None, None, None, None)]
+        out = [(home, portion, home, sink.getvalue().to_pybytes(), None, None, None)]
         out += [(o, portion, home, None, *x) for o, x in asked.items()]
         yield from _table(out, _ASKED_NAMES).to_batches()
 
@@ -312,13 +309,13 @@ def _tell(asked: pa.Table, own: pa.Table) -> pa.Table:
     out = []
     columns = [asked.column(c) for c in _ASKED_NAMES]
     for i in range(asked.num_rows):
-        me, portion, home, texts, words, pairs, triples, pairs_before = (c[i].as_py() for c in columns)
+        me, portion, home, texts, words, pairs, triples = (c[i].as_py() for c in columns)
         if texts is not None:
-            out.append((me, portion, me, texts, *[None] * 5))
+            out.append((me, portion, me, texts, *[None] * 4))
             continue
-        h = np.frombuffer(words, np.uint64)
-        known = lambda x, *kinds: b"".join(level_of(part, k, x).tobytes() for k in kinds)
-        out.append((home, portion, me, None, _look_up(keys, counts, h).tobytes(), known(h, WORD, DIFFERENT[0], TOTAL[0]), known(_from_five([pairs]), PAIR), known(_from_five([triples]), TRIPLE), known(_from_five([pairs_before]), DIFFERENT[1], TOTAL[1])))
+        asked_for = (np.frombuffer(words, np.uint64), _from_five([pairs]), _from_five([triples]))
+        counted = _look_up(keys, counts, asked_for[0])
+        out.append((home, portion, me, None, counted.astype(np.uint32 if counted.max(initial=0) < 1 << 32 else np.uint64).tobytes(), *(level_of(part, k, x).tobytes() for k, x in enumerate(asked_for))))
     return _table(out, _TOLD_NAMES)
 
 
@@ -337,25 +334,20 @@ def _scored(table: pa.Table, model: Totals, owners: int, names: list[str]) -> pa
         h, first, words = tokens(texts_of(rows.column("_text").combine_chunks()))
         q = Questions(h, first, owners)
 
-        def answers(cuts, name, kinds, dtype=np.uint8, portion=portion):
-            got = [np.frombuffer(column[name][told[portion, o]].as_py(), dtype).reshape(kinds, -1) for o, _, _ in cuts]
-            return np.concatenate(got, 1)
+        def answers(k, name, portion=portion, q=q):
+            cuts = q.asked[k][1]
+            got = [column[name][told[portion, o]].as_py() for o, _, _ in cuts]
+            kinds = [np.uint8 if name != "counts" else np.uint32 if len(x) == 4 * (b - a) else np.uint64 for x, (_, a, b) in zip(got, cuts, strict=True)]
+            return np.concatenate([np.frombuffer(x, kind) for x, kind in zip(got, kinds, strict=True)])[q.back[k]].astype(np.int64)
 
-        counts = answers(q.word_cuts, "counts", 1, np.int64)[0]
-        by_word = answers(q.word_cuts, "words", 3)
-        by_pair, by_triple, by_context = (answers(q.asked[k][1], name, n) for k, (name, n) in enumerate((("pairs", 1), ("triples", 1), ("contexts", 2))))
-        exact, level = counts[q.word], by_word[0][q.word]
-        pair = by_pair[0][q.back[0]]
-        starts = np.zeros(len(h), bool)
-        starts[first[:-1]] = True
-        seen_pair = np.concatenate(([False], pair[:-1] > 0)) if len(h) else starts
+        exact = answers(0, "counts")
         n = np.diff(first)
         text_of = np.repeat(np.arange(len(n)), n)
+        starts, ends = np.zeros(len(h), bool), np.zeros(len(h), bool)
+        starts[first[:-1]] = ends[first[1:] - 1] = True
         spelled = np.full(len(h), -np.inf)
-        ends = np.zeros(len(h), bool)
-        ends[first[1:] - 1] = True
         spelled[~ends] = model.spelled(words)
-        log = model.log10(spelled, level, pair, by_triple[0][q.back[1]], [by_word[1][q.before], by_context[0][q.back[2]]], [by_word[2][q.before], by_context[1][q.back[2]]], [starts | (by_word[0][q.before] > 0), starts | seen_pair])
+        log = model.log10(spelled, starts, [answers(k, name) for k, name in enumerate(("words", "pairs", "triples"))])
         base = np.bincount(text_of, np.log10(exact + 1.0), len(n)) - n * np.log10(model.tokens + model.types + 1)
         known = np.bincount(text_of, exact > 0, len(n)).astype(np.int64)
         gain = np.bincount(text_of, np.where(exact > 0, log, 0.0), len(n))
@@ -374,14 +366,20 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", owned: int =
     rows = docs.select(F.col(key).alias("_key"), (code == 2).alias("held"), F.col(text).alias("_text"))
     owners = min(owners_for(rows, "_text", owned), 1 << 20)
     own = saved(parts(rows.filter("not held"), "_text", owners), "lm")
-    model = Totals(own.select("tokens", "types", "singles", "mass", "letters").toArrow().to_pylist())
+    model = Totals(own.drop("owner", "bits", "words", "counts").toArrow().to_pylist())
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "known_score"]
-    asked = rows.mapInArrow(lambda b: _ask(b, owners), _ASKED)
-    told = asked.groupBy("owner").cogroup(own.select("owner", "bits", "words", "counts").groupBy("owner")).applyInArrow(_tell, _TOLD)
     schema = f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, known_score double"
-    return told.groupBy("owner").applyInArrow(lambda t: _scored(t, sent.value, owners, names), schema)
+    out = None
+    for i in range(SLICES):
+        some = rows.filter(F.pmod(F.xxhash64("_key"), F.lit(SLICES)) == i)
+        asked = some.mapInArrow(lambda b: _ask(b, owners), _ASKED)
+        told = asked.groupBy("owner").cogroup(own.select("owner", "bits", "words", "counts").groupBy("owner")).applyInArrow(_tell, _TOLD)
+        scored = saved(told.groupBy("owner").applyInArrow(lambda t: _scored(t, sent.value, owners, names), schema), "scores")
+        out = scored if out is None else out.unionByName(scored)
+    released(own)
+    return out
 
 
 def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:

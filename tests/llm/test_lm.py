@@ -27,26 +27,28 @@ class Brute:
     """The model of some texts from dictionaries of exact counts, each rounded as the filter rounds it."""
 
     def __init__(self, texts):
-        self.grams, followers, letters = Counter(), defaultdict(set), Counter()
+        self.grams, letters = [Counter(), Counter(), Counter()], Counter()
         for t in texts:
-            w = [*words_of(t), None]
-            for i in range(len(w)):
-                for k in (1, 2, 3):
-                    gram = tuple(w[j] if j >= 0 else "<s>" for j in range(i - k + 1, i + 1))
-                    gram = (" ", *gram) if k == 1 else gram  # apart from contexts
-                    self.grams[gram] += 1
-                    if k > 1:
-                        followers[gram[:-1]].add(gram)
-            for x in w[:-1]:
+            w = ["<s>", "<s>", *words_of(t), None]
+            for k in range(3):
+                self.grams[k].update(tuple(w[i - k : i + 1]) for i in range(2, len(w)))
+            for x in w[2:-1]:
                 letters.update(zip(b" " + x.encode(), x.encode() + b" ", strict=True))
-        down = lambda n, kind: float(lm.about(lm.levels(np.array([n]), kind), kind)[0])
-        self.down = down
-        self.mass = sum(down(n, "word") for g, n in self.grams.items() if g[0] == " ")
-        self.different = {c: down(len(f), "different") for c, f in followers.items()}
-        up = lambda n: float(lm.about(lm.levels(np.array([n]), "total"), "total")[0])
-        self.total = {c: up(sum(down(self.grams[g], "gram") for g in f) + self.different[c]) for c, f in followers.items()}
-        words = {g: n for g, n in self.grams.items() if g[0] == " "}
-        self.new = min(0.5, max(1, sum(n == 1 for n in words.values())) / (sum(words.values()) + 1))
+        self.low = lambda n, k: float(lm.at_least(lm.levels(np.array([n]), k), k)[0])
+        self.high = lambda n, k: float(lm.at_most(lm.levels(np.array([n]), k), k)[0])
+        self.texts, self.mass = len(texts), sum(self.low(n, 0) for n in self.grams[0].values())
+        self.k = []
+        for k in (0, 1):
+            followers, by = Counter(g[:-1] for g in self.grams[k + 1] if g[-2] != "<s>"), defaultdict(list)
+            for c, n in followers.items():
+                # a pair at a text's start is counted with the start before it
+                by[int(lm.levels(np.array([self.grams[k][c]]), k)[0])].append(n)
+            means, last = [], 1.0
+            for level in range(lm.MOST):
+                last = float(np.mean(by[level])) if level in by else last
+                means.append(last)
+            self.k.append(means)
+        self.new = min(0.5, max(1, sum(n == 1 for n in self.grams[0].values())) / (sum(self.grams[0].values()) + 1))
         self.letters, self.rows = letters, Counter()
         for (a, _), n in letters.items():
             self.rows[a] += n
@@ -59,10 +61,13 @@ class Brute:
         return out
 
     def p(self, w, u, v):
-        p = (1 - self.new) * self.down(self.grams[" ", w], "word") / self.mass + (self.new * self.spelled(w) if w else 0)
-        for context in ((v,), (u, v)):
-            if context in self.total:
-                p = (self.down(self.grams[*context, w], "gram") + self.different[context] * p) / self.total[context]
+        p = (1 - self.new) * self.low(self.grams[0][(w,)], 0) / self.mass + (self.new * self.spelled(w) if w else 0)
+        for k, context in ((1, (v,)), (2, (u, v))):
+            often = self.texts if v == "<s>" else self.grams[k - 1][context]
+            if often:
+                more = self.k[k - 1][int(lm.levels(np.array([often]), k - 1)[0])]
+                own = self.low(self.grams[k][*context, w], k) if self.grams[k - 1][(u, v, w)[3 - k :]] else 0
+                p = (own + more * p) / (self.high(often, k - 1) + more)
         return p
 
     def score(self, text):
@@ -99,7 +104,7 @@ def test_probabilities_sum_to_one_at_most():
     letters = np.zeros(1 << 16, np.int64)
     for (a, b), n in model.letters.items():
         letters[a * 256 + b] = n
-    table = lm.Totals([{"tokens": 1, "types": 1, "singles": 1, "mass": 1.0, "letters": zlib.compress(letters.tobytes())}])
+    table = lm.Totals([{"tokens": 1, "types": 1, "singles": 1, "mass": 1.0, "ends": 1, "followers": np.zeros(4 * lm.MOST, np.int64).tobytes(), "letters": zlib.compress(letters.tobytes())}])
     assert np.allclose(np.exp(table.letters[[97, 32, 200]]).sum(1), 1)
     _, _, words = lm.tokens([b"ab c", b"zz"])
     assert np.allclose(np.exp(table.spelled(words)), [model.spelled(w) for w in ("ab", "c", "zz")])
@@ -128,13 +133,14 @@ def test_junk_scores_below_prose_and_known_words_gain(spark):
 def test_filter_levels():
     n = np.arange(1, 3001)
     h = lm.mix(n.astype(np.uint64))
-    part = lm.part_of([(lm.WORD, h, lm.levels(n, "word")), (lm.PAIR, h, lm.levels(n, "gram")), (lm.TOTAL[0], h, lm.levels(n + 1, "total"))])
+    part = lm.part_of([(h, lm.levels(n, 0)), (h, lm.levels(n, 1)), (h[:0], n[:0])])
     assert np.unpackbits(part).mean() < lm.FILL + 0.02
-    got = lm.about(lm.level_of(part, lm.WORD, h), "word")
-    assert (got >= n / 2**0.26).all() and (got <= n * 1.001).mean() > 0.95
-    assert (lm.about(lm.level_of(part, lm.PAIR, h), "gram") > n / 2).all()
-    assert (lm.about(lm.level_of(part, lm.TOTAL[0], h), "total") >= (n + 1) * 0.999).all()
-    assert (lm.level_of(part, lm.TRIPLE, h) > 0).mean() < 0.001
+    for k, most in ((0, 0.26), (1, 0.51)):
+        level = lm.level_of(part, k, h)
+        assert (level >= lm.levels(n, k)).all() and (level == lm.levels(n, k)).mean() > 0.95
+        exact = lm.levels(n, k)
+        assert (lm.at_least(exact, k) <= n).all() and (lm.at_most(exact, k) >= n).all() and (lm.at_most(exact, k) <= n * 2**most + 1).all()
+    assert (lm.level_of(part, 2, h) > 0).mean() < 0.002
 
 
 def test_filter_grows_with_the_corpus(spark):
