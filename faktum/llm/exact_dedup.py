@@ -21,7 +21,7 @@ from faktum.llm.store import released, repeated, saved, tasks, unused
 BUCKET_BYTES = 64 << 10
 #: Entries that readers may send for one text.
 SALTS = 32
-#: A directory of at most so many hashes (under 3 MB) is broadcast; a larger one is joined by shuffle.
+#: A directory or index of at most so many entries (under 10 MB) is broadcast; a larger one is joined by shuffle.
 BROADCAST_KEYS = 1 << 16
 #: What a null text counts as. Texts are compared as they are: equality is after no change.
 _EMPTY = ""
@@ -81,13 +81,16 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     empty texts, so one row of all those stays. An empty table gives no rows.
     """
     sha, gone, again = unused(docs, "sha_"), unused(docs, "gone_"), unused(docs, "again_")
-    found = index(docs, key, text).select(F.col("sha").alias(gone), "keep")
+    saved_index = index(docs, key, text)
+    found = saved_index.select(F.col("sha").alias(gone), "keep")
+    if saved_index.count() <= BROADCAST_KEYS:  # the documents then needn't be dealt
+        found = F.broadcast(found)
     hashed = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text), F.lit(_EMPTY)), 256))
     joined = hashed.join(found, hashed[sha] == found[gone], "left")
     left = joined.filter(found[gone].isNull() | hashed[key].eqNullSafe(found["keep"])).select(*[hashed[c] for c in hashed.columns], found[gone])
     table = saved(left, "kept")
     copies = saved(table.filter(F.col(gone).isNotNull()).groupBy(gone).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col(gone).alias(again)), "again")
-    released(found)
+    released(saved_index)
     if copies.isEmpty():
         return table.select(docs.columns)
     once = table.join(copies, F.col(gone) == F.col(again), "left_semi").dropDuplicates([gone])

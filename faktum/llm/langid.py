@@ -17,14 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faktum.llm.store import unused
-from faktum.llm.textkit import CHUNK, Words, grouped, mix
+from faktum.llm.textkit import Words, grouped, mix
 
 #: Documents of each language that the model learns from, at most.
 SAMPLE_DOCS = 200
 #: Letters of each of these documents, at most (a bound on the driver's memory; what is predicted is whole texts).
-LEARNED = 20_000
+LEARNED = 4_000
 #: Sizes of the n-gram tables and of the lexicon; n-gram lengths; gradient steps.
 GRAMS, LEXICON, LENGTHS, STEPS = 1 << 16, 1 << 17, (2, 3, 4), 12
+#: Bytes of texts that are labelled together, about.
+PORTION = 2 << 20
 #: Texts that are worked on together when learning; languages beyond which portions of texts shrink, to hold memory.
 TOGETHER, MANY = 100, 16
 #: A text is one chain. With at most FEW languages it is worked on in pieces of CHAIN words, to which what comes before and after is carried.
@@ -285,11 +287,11 @@ def identify(docs: DataFrame, model: dict, keep: list[str], text: str = "text",
 
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    body = unused(docs, "_text")
-    read = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias(body))
+    body = text if text in keep else unused(docs, "_text")  # a text travels once
+    read = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [F.col(text).alias(body)]))
 
     def run(batches):
-        for rows, texts in grouped(batches, body, CHUNK * MANY // max(MANY, len(sent.value["names"]))):
+        for rows, texts in grouped(batches, body, PORTION * MANY // max(MANY, len(sent.value["names"]))):
             langs, scores = predict(sent.value, texts)
             yield pa.RecordBatch.from_arrays([rows.column(i) for i in range(len(keep))] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, *names])
 

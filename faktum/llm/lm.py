@@ -32,9 +32,9 @@ from faktum.llm.store import owners_for, released, saved
 from faktum.llm.textkit import Words, grouped, mix, texts_of
 
 #: Share of bits that may be set; probes for the first level by words in the n-gram, and for each other level.
-FILL, FIRST, PROBES = 0.3, (12, 12, 8), 3
+FILL, FIRST, PROBES = 0.3, (8, 12, 6), 3
 #: Tokens whose counts a reader gathers before it sends them; bytes of texts whose n-grams an owner gets, about; slices of documents.
-GATHERED, OWNED, SLICES = 2 << 20, 24 << 20, 4
+GATHERED, OWNED, SLICES = 1 << 20, 24 << 20, 4
 #: Levels to a doubling of the counts of words, pairs and triples; the most levels there are.
 STEPS, MOST = (4, 2, 2), 250
 END, START, _PAIR, _TRIPLE = np.uint64(0xE1D0_0000_0000_0001), np.uint64(0x57A2_0000_0000_0001), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -99,10 +99,12 @@ def _counts(batches, text: str, owners: int):
         first_token = np.concatenate([x[3] for x in held])
         for k in range(3):
             every = np.concatenate([x[k] for x in held])
-            h, at, back, n = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
+            h, back, n = np.unique(every, return_inverse=True, return_counts=True)
             for o, a, b in _cuts(owner_of(h, owners), owners):
                 rows.setdefault(o, [b""] * 8)[2 * k : 2 * k + 2] = [h[a:b].tobytes() if k == 0 else _five(h[a:b]), n[a:b].astype(np.uint32).tobytes()]
             if k:  # the context of each different n-gram is what ends one token before it; starts of texts apart
+                at = np.empty(len(h), np.int64)
+                at[back] = np.arange(len(back))
                 inner = at[~first_token[at]] - 1
                 different = np.bincount(context_of[inner], minlength=len(context_n))
                 level = levels(context_n, k - 1)
@@ -148,7 +150,11 @@ def bits_of(h: np.ndarray, k: int, level: int, bits: int) -> np.ndarray:
     """The bit numbers of (n-gram of k + 1 words, level) in a part of so many bits."""
     a = mix((h & _LOW) + np.uint64((k << 56) + (level << 44)))
     b = mix(a) | np.uint64(1)
-    return np.stack([(a + np.uint64(i) * b) % np.uint64(bits) for i in range(FIRST[k] if level == 1 else PROBES)])
+    out = np.empty((FIRST[k] if level == 1 else PROBES, len(h)), np.int64)
+    for i in range(len(out)):  # the upper half of each hash, scaled to the part
+        out[i] = (a >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)
+        a += b
+    return out
 
 
 def part_of(grams: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -159,7 +165,7 @@ def part_of(grams: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     for k, (h, level) in enumerate(grams):
         for j in range(1, int(level.max(initial=0)) + 1):
             h, level = h[level >= j], level[level >= j]
-            part[bits_of(h, k, j, bits).ravel().astype(np.int64)] = True
+            part[bits_of(h, k, j, bits).ravel()] = True
     return np.packbits(part)
 
 
@@ -168,7 +174,7 @@ def level_of(part: np.ndarray, k: int, h: np.ndarray) -> np.ndarray:
     level, on, j = np.zeros(len(h), np.uint8), np.arange(len(h)), 0
     while len(on) and j < MOST:
         j += 1
-        at = bits_of(h[on], k, j, 8 * len(part)).astype(np.int64)
+        at = bits_of(h[on], k, j, 8 * len(part))
         on = on[((part[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0)]
         level[on] = j
     return level

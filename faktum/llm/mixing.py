@@ -197,7 +197,9 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     whole = F.array(F.struct(F.lit(-1).cast("long").alias("begin"), F.col("size").alias("take")))
     one = F.explode(F.when(F.col("got") == F.col("size"), whole).otherwise(F.col("parts"))).alias("part")
     rows = per.select(F.col("key").alias("k"), F.col("tie").alias("t"), one, *(["shard"] if shard else []))
-    texts = named.dropDuplicates([key, tie])
+    texts = named
+    if not named.groupBy(key, tie).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():  # equal rows; each use is joined to one of them
+        texts = named.dropDuplicates([key, tie])
     joined = texts.join(rows, (texts[tie] == rows["t"]) & texts[key].eqNullSafe(rows["k"]))
     taken = F.array_join(F.slice(F.regexp_extract_all(texts[text], F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1), (rows["part.begin"] + 1).cast("int"), rows["part.take"].cast("int")), "")
     out = joined.select(*[texts[c] for c in docs.columns], F.when(rows["part.begin"] < 0, texts[text]).otherwise(taken).alias(words), *([rows["shard"].alias(tie)] if shard else []))
