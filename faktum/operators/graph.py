@@ -42,7 +42,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 def shortest_path(relation: DataFrame, source: int, target: int, depth: int = PATH_DEPTH) -> DataFrame:
     """(step, id) of a shortest path of calls; no rows if there is none. The way back takes the least predecessor."""
     spark = relation.sparkSession
-    at = cut(reach(calls(relation), spark.createDataFrame([(source,)], "id long"), depth))
+    at = cut(reach(cut(calls(relation)), spark.createDataFrame([(source,)], "id long"), depth))
     end = at.filter(F.col("id") == target)
     row = end.first()
     if row is None:
@@ -56,12 +56,12 @@ def shortest_path(relation: DataFrame, source: int, target: int, depth: int = PA
 
 
 def distances(relation: DataFrame, source: int, depth: int = PATH_DEPTH) -> DataFrame:
-    return reach(calls(relation), relation.sparkSession.createDataFrame([(source,)], "id long"), depth).select("id", F.col("depth").alias("hops"))
+    return reach(cut(calls(relation)), relation.sparkSession.createDataFrame([(source,)], "id long"), depth).select("id", F.col("depth").alias("hops"))
 
 
 def subgraph(entity: DataFrame, relation: DataFrame, centre: int, radius: int = 1, kinds: tuple[int, ...] | None = None) -> DataFrame:
     """Entities within radius steps either way; kinds restrict what is shown, not what is passed through."""
-    near = reach(calls(relation, both=True), relation.sparkSession.createDataFrame([(centre,)], "id long"), min(max(radius, 1), RADIUS))
+    near = reach(cut(calls(relation, both=True)), relation.sparkSession.createDataFrame([(centre,)], "id long"), min(max(radius, 1), RADIUS))
     out = near.join(entity, "id").select("id", "name", "kind", F.col("depth").alias("hops"))
     return out.filter(F.col("kind").isin(*kinds)) if kinds else out
 
@@ -71,7 +71,7 @@ def call_tree(relation: DataFrame, root: int, depth: int = 3, reverse: bool = Fa
 
     Walks that end in the same (parent, id) at a level are one row with their number, so rows don't grow with the walks.
     """
-    e = calls(relation, reverse)
+    e = cut(calls(relation, reverse))
     level = relation.sparkSession.createDataFrame([(root,)], "id long").select(F.lit(0).alias("depth"), "id", F.lit(None).cast("long").alias("parent"), F.lit(1).cast("long").alias("walks"))
     out = level
     for d in range(1, min(depth, TREE_DEPTH) + 1):
@@ -101,7 +101,9 @@ def name_chain(entity: DataFrame, relation: DataFrame, source: str, target: str,
 def impact(entity: DataFrame, relation: DataFrame, files: DataFrame, depth: int = IMPACT_DEPTH) -> DataFrame:
     """(direction, id, depth): functions that changed files (file_path) reach as callers or callees, without the seeds."""
     seeds = entity.filter(F.col("kind").isin(*CALLABLE)).join(files, "file_path", "left_semi").select("id")
-    parts = [reach(calls(relation, reverse), seeds, depth).filter("depth > 0").select(F.lit(name).alias("direction"), "id", "depth") for name, reverse in (("callers", True), ("callees", False))]
+    forth = cut(calls(relation))
+    back = forth.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    parts = [reach(back if reverse else forth, seeds, depth).filter("depth > 0").select(F.lit(name).alias("direction"), "id", "depth") for name, reverse in (("callers", True), ("callees", False))]
     return parts[0].unionByName(parts[1])
 
 

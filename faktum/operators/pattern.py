@@ -131,6 +131,7 @@ def match(entity: DataFrame, relation: DataFrame, pattern: Pattern | str) -> Dat
     if p.most == 1:
         out = edges.join(sources, "source_id", "left_semi").join(targets, "target_id", "left_semi").withColumn("hops", F.lit(1))
         return out.select("source_id", "target_id", "hops").orderBy("source_id", "target_id", "hops").limit(p.limit)
+    edges = cut(edges)  # every step reads them
     level = sources.select("source_id", F.col("source_id").alias("node"))
     out = None
     for d in range(1, p.most + 1):

@@ -8,10 +8,21 @@ from pyspark.sql import functions as F
 from faktum.functions.text import canonical_type, family
 from faktum.schema import CALLABLE
 
-# Weights of the factors in order of evaluation, thresholds, and names too common to tell anything.
+# Weights of the factors in order of evaluation, and thresholds.
 WEIGHTS = {"module": 0.15, "import": 0.80, "namespace": 0.10, "signature": 0.10, "distance": 0.05, "constructor": 0.10, "receiver": 0.15, "common": 0.10, "call_kind": 0.15, "definition": 0.20}
 LEAST, MARGIN, MOST_CANDIDATES, FUZZY_HITS, FAST = 0.40, 0.15, 50, 5, 0.85
-COMMON = ("get", "set", "init", "new", "run", "start", "stop", "close", "open", "read", "write", "main")
+# Names too common to tell anything, compared by case.
+COMMON = (
+    "Len", "Init", "Run", "Stop", "Close", "Open", "Read", "Write", "Get", "Set", "Add", "Remove", "Update", "Delete", "Create", "New",
+    "Process", "Handle", "Execute", "Start", "End", "Error", "String", "Format", "Marshal", "Unmarshal", "Equals", "Compare", "Hash",
+    "Copy", "Clone", "Reset", "Clear", "IsEmpty", "IsValid", "HasNext", "Next", "Previous", "First", "Last", "Value", "Key", "Int", "Float",
+    "Bool", "Bytes", "Size", "Cap",
+)
+# Names that are matched exactly or not at all.
+NOT_FUZZY = (
+    "Error", "Len", "String", "Done", "Contains", "Errorf", "Sprintf", "Printf", "Print", "Println", "Panic", "Fatal", "Append", "Make",
+    "Copy", "Delete", "Close", "Cap", "Range", "Value",
+)
 
 
 def candidates(refs: DataFrame, entity: DataFrame, imports: DataFrame) -> DataFrame:
@@ -82,11 +93,11 @@ def edges(chosen: DataFrame) -> DataFrame:
 
 
 def fuzzy(names: DataFrame, entity: DataFrame, hits: int = FUZZY_HITS) -> DataFrame:
-    """(name, tier, ids): equal but for case, else a prefix either way, else a suffix (three letters at least); the first ids.
+    """(name, tier, ids), for names that aren't in NOT_FUZZY: equal but for case, else a prefix either way, else a suffix (three letters at least); the first ids.
 
     Prefixes and suffixes meet through their first or last three letters, so names are never compared pairwise.
     """
-    n = names.select("name").distinct().withColumn("low", F.lower("name"))
+    n = names.select("name").filter(~F.col("name").isin(*NOT_FUZZY)).distinct().withColumn("low", F.lower("name"))
     e = entity.select("id", F.lower("name").alias("e"))
     same = n.join(e, F.col("low") == F.col("e")).select("name", F.lit(1).alias("tier"), "id")
     head, tail = lambda c: F.substring(c, 1, 3), lambda c: F.substring(c, -3, 3)

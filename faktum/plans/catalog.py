@@ -294,7 +294,7 @@ cand AS (SELECT rf.*, e.id, e.kind, e.qualified_name AS qname, e.file_path AS fi
  WHERE NOT (e.language = 'go' AND regexp_matches(e.name, '^[a-z]') AND e.module_path <> c.module_path) AND NOT (e.language = 'python' AND starts_with(e.name, '_') AND e.file_path <> c.file_path)),
 sc AS (SELECT *, CASE WHEN module = from_module THEN 1.0 WHEN regexp_extract(module, '^(.*/)[^/]+/$', 1) = regexp_extract(from_module, '^(.*/)[^/]+/$', 1) THEN 0.5 ELSE 0.0 END AS m FROM cand),
 pt AS (SELECT *, .15 * m AS v0, .8 * (CASE WHEN module = from_module OR imported THEN 1.0 ELSE 0.0 END) AS v1, .1 * m AS v2, .1 * (CASE WHEN arity = 0 AND c_arity = 0 THEN .5 WHEN arity = c_arity THEN 1.0 WHEN c_arity = 0 THEN .5 ELSE -.5 END) AS v3, .05 * (CASE WHEN file = from_file THEN 1.0 WHEN module = from_module THEN .3 ELSE 0.0 END) AS v4, .1 * (CASE WHEN kind IN (2, 3) THEN 1.0 ELSE 0.0 END) AS v5,
- .15 * (CASE WHEN receiver_type = '' THEN .5 WHEN starts_with(qname, receiver_type || '.') THEN 1.0 WHEN contains(qname, receiver_type) THEN .5 WHEN contains(lower(file), lower(receiver_type)) THEN .2 ELSE 0.0 END) AS v6, .1 * (CASE WHEN name IN ('get','set','init','new','run','start','stop','close','open','read','write','main') AND module <> from_module THEN -.25 ELSE 0.0 END) AS v7, CASE WHEN call_kind = 0 THEN 0.0 ELSE .15 * (CASE call_kind WHEN 3 THEN .3 WHEN 2 THEN -.3 ELSE -.1 END) END AS v8, .2 AS v9 FROM sc),
+ .15 * (CASE WHEN receiver_type = '' THEN .5 WHEN starts_with(qname, receiver_type || '.') THEN 1.0 WHEN contains(qname, receiver_type) THEN .5 WHEN contains(lower(file), lower(receiver_type)) THEN .2 ELSE 0.0 END) AS v6, .1 * (CASE WHEN name IN ({', '.join(repr(x) for x in R.COMMON)}) AND module <> from_module THEN -.25 ELSE 0.0 END) AS v7, CASE WHEN call_kind = 0 THEN 0.0 ELSE .15 * (CASE call_kind WHEN 3 THEN .3 WHEN 2 THEN -.3 ELSE -.1 END) END AS v8, .2 AS v9 FROM sc),
 fin AS (SELECT *, round((v0 + v1 + v2 + v3 + v4 + v5 + v6 + v7 + v8 + v9) * 1000)::BIGINT AS points FROM pt) """
 
 

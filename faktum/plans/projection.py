@@ -41,7 +41,7 @@ CALL_RECORD = f"""
 SELECT o_orderkey AS rid, e.file_path, CAST(o_custkey % 520 AS INT) AS at_row FROM orders JOIN ({ENTITY}) e ON e.id = o_orderkey % (SELECT count(*) FROM part)"""
 
 REFERENCE = """
-SELECT row_number() OVER (ORDER BY r.source_id, r.target_id) AS ref_id, r.source_id AS caller_id, t.name, t.arity,
+SELECT r.source_id * 100000000 + r.target_id AS ref_id, r.source_id AS caller_id, t.name, t.arity,
   CAST(r.source_id % 4 AS INT) AS call_kind, CASE WHEN r.source_id % 5 = 0 THEN t.qualified_name ELSE '' END AS qualified_target,
   CASE WHEN r.source_id % 6 = 0 THEN split_part(t.qualified_name, '.', 1) ELSE '' END AS receiver_type
 FROM relation r JOIN entity t ON r.target_id = t.id WHERE r.type = 1"""

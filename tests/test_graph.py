@@ -88,3 +88,12 @@ def test_communities_query_runs_to_its_end(spark):
             break
     assert len(history) > 5
     assert {x.id: x.label for x in catalog.QUERIES["communities"](spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_names_that_are_not_matched_loosely(spark):
+    from faktum.operators import resolve
+
+    entity = spark.createDataFrame([(1, "error"), (2, "Closed"), (3, "parse")], "id long, name string")
+    got = resolve.fuzzy(spark.createDataFrame([("Error",), ("Close",), ("PARSE",)], "name string"), entity).collect()
+    assert [(r.name, r.ids) for r in got] == [("PARSE", "3")]
+    assert len(set(resolve.COMMON)) == 48 and len(set(resolve.NOT_FUZZY)) == 20
