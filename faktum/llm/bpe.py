@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 #: How text is split before merging; \\s is the White_Space property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Bytes of text whose new pieces are encoded together, and pieces that a task remembers before it starts anew.
-TOGETHER, REMEMBERED = 16 << 20, 400_000
+TOGETHER, REMEMBERED = 4 << 20, 200_000
 #: Text longer than this is split by a running match, so that its pieces are never all in memory.
 LONG_TEXT = 1 << 20
 _NONE = np.int32(2**31 - 1)

@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faktum.llm.store import owners_for, released, saved
-from faktum.llm.textkit import Words, grouped, mix, texts_of
+from faktum.llm.textkit import Words, grouped, mix, texts_of, trim
 
 #: Share of bits that may be set; probes for the first level by words in the n-gram, and for each other level.
 FILL, FIRST, PROBES = 0.3, (8, 12, 6), 3
 #: Tokens whose counts a reader gathers before it sends them; bytes of texts whose n-grams an owner gets, about; slices of documents.
-GATHERED, OWNED, SLICES = 1 << 20, 24 << 20, 4
+GATHERED, OWNED, SLICES = 1 << 20, 8 << 20, 4
 #: Levels to a doubling of the counts of words, pairs and triples; the most levels there are.
 STEPS, MOST = (4, 2, 2), 250
 END, START, _PAIR, _TRIPLE = np.uint64(0xE1D0_0000_0000_0001), np.uint64(0x57A2_0000_0000_0001), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -199,6 +199,7 @@ def _part(table: pa.Table) -> pa.Table:
     letters = sum((np.frombuffer(zlib.decompress(x), np.int64) for x in column("letters")), np.zeros(1 << 16, np.int64))
     followers = sum((np.frombuffer(x, np.int64) for x in column("followers")), np.zeros(4 * MOST, np.int64))
     row = {"owner": pa.array([table.column("owner")[0].as_py()], pa.int32()), "tokens": [int(n.sum())], "types": [len(h)], "singles": [int((n == 1).sum())], "mass": [float(at_least(grams[0][1], 0).sum())], "ends": [int(n[h == END].sum())], "letters": [zlib.compress(letters.tobytes()) if letters.any() else b""], "followers": [followers.tobytes()], "bits": [part_of(grams).tobytes()], "words": [h.tobytes()], "counts": [n.tobytes()]}
+    trim()
     return pa.table(row)
 
 
@@ -312,16 +313,21 @@ def _tell(asked: pa.Table, own: pa.Table) -> pa.Table:
     part, keys, counts = np.zeros(8, np.uint8), np.empty(0, np.uint64), np.empty(0, np.int64)
     if own.num_rows:
         part, keys, counts = (np.frombuffer(own.column(c)[0].as_py(), k) for c, k in (("bits", np.uint8), ("words", np.uint64), ("counts", np.int64)))
-    out = []
-    columns = [asked.column(c) for c in _ASKED_NAMES]
-    for i in range(asked.num_rows):
-        me, portion, home, texts, words, pairs, triples = (c[i].as_py() for c in columns)
-        if texts is not None:
-            out.append((me, portion, me, texts, *[None] * 4))
-            continue
-        asked_for = (np.frombuffer(words, np.uint64), _from_five([pairs]), _from_five([triples]))
-        counted = _look_up(keys, counts, asked_for[0])
-        out.append((home, portion, me, None, counted.astype(np.uint32 if counted.max(initial=0) < 1 << 32 else np.uint64).tobytes(), *(level_of(part, k, x).tobytes() for k, x in enumerate(asked_for))))
+    me, portion, home, texts, *questions = (asked.column(c).to_pylist() for c in _ASKED_NAMES)
+    out = [(me[i], portion[i], me[i], texts[i], *[None] * 4) for i in range(len(me)) if texts[i] is not None]
+    rows = [i for i in range(len(me)) if texts[i] is None]
+    answers, counted = [], []
+    for k, blobs in enumerate(questions):  # all portions' questions at once, each different one once
+        own = [np.frombuffer(blobs[i], np.uint64) if k == 0 else _from_five([blobs[i]]) for i in rows]
+        h, back = np.unique(np.concatenate([*own, np.empty(0, np.uint64)]), return_inverse=True)
+        ends = np.cumsum([len(x) for x in own])[:-1] if own else []
+        answers.append(np.split(level_of(part, k, h)[back], ends))
+        if k == 0:
+            counted = np.split(_look_up(keys, counts, h)[back], ends)
+    for j, i in enumerate(rows):
+        n = counted[j]
+        out.append((home[i], portion[i], me[i], None, n.astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.uint64).tobytes(), *(x[j].tobytes() for x in answers)))
+    trim()
     return _table(out, _TOLD_NAMES)
 
 

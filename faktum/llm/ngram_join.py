@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 
 from faktum.llm.components import connected
 from faktum.llm.store import owners_for, released, saved, unused
-from faktum.llm.textkit import Words, grouped, mix, shingles
+from faktum.llm.textkit import Words, grouped, mix, shingles, trim
 
 #: Words in a shingle; similarity in percent; growth of a band of sizes; cells of a part and how many may differ; spare parts.
 WIDTH, PERCENT, GROWTH, N2, K2, SPARE = 5, 80, 1.25, 3, 1, 0.1
 #: Signatures that a task gathers before it sends them to their owners.
-GATHERED = 1 << 20
+GATHERED = 1 << 19
 #: Pairs of a class with a part of a component that are tried before all the others.
 BEST = 3
 #: Members of a component that one task compares with.
@@ -36,7 +36,7 @@ COMPARED = 4096
 #: Bits of the sketch that bounds the difference of two sets from below, at least.
 SKETCH = 2048
 #: Bytes of texts whose signatures an owner gets, at most.
-OWNED = 24 << 20
+OWNED = 10 << 20
 #: Classes that a task remembers, so as not to send the signatures of copies again.
 REMEMBERED = 1 << 18
 
@@ -230,6 +230,7 @@ def _groups(table: pa.Table, percent: int) -> pa.Table:
         sizes.append(own)
         leaders.append(cls[a:b][lead])
     many = pa.list_(pa.int64())
+    trim()
     return pa.table([pa.array(bids, pa.int64()), pa.array(members, many), pa.array(sizes, many), pa.array(leaders, many)], ["bid", "members", "sizes", "leaders"])
 
 

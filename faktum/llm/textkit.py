@@ -6,6 +6,8 @@ numpy, some bytes at a time, so memory is bounded by CHUNK or by the longest tex
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -139,3 +141,11 @@ def grouped(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int =
         size += more
     if texts:
         yield pa.Table.from_batches(tables).combine_chunks().to_batches()[0], texts
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back, as a Python worker lives on and its executor's other workers need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library than glibc keeps it
+        ctypes.CDLL(None).malloc_trim(0)
