@@ -19,10 +19,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from faktum.llm.textkit import trim
+
 #: How text is split before merging; \\s is the White_Space property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Bytes of text whose new pieces are encoded together, and pieces that a task remembers before it starts anew.
-TOGETHER, REMEMBERED = 4 << 20, 200_000
+TOGETHER, REMEMBERED = 4 << 20, 100_000
 #: Text longer than this is split by a running match, so that its pieces are never all in memory.
 LONG_TEXT = 1 << 20
 _NONE = np.int32(2**31 - 1)
@@ -203,6 +205,8 @@ def encoded(codec: Codec, batches: Iterator[pa.RecordBatch], text: str, together
                 if len(memory) > remembered:
                     memory = Memory(codec)
     yield from flush()
+    held, memory = [], None
+    trim()
 
 
 def _codec(df: DataFrame, path: str):

@@ -26,7 +26,7 @@ LEARNED = 4_000
 #: Sizes of the n-gram tables and of the lexicon; n-gram lengths; gradient steps.
 GRAMS, LEXICON, LENGTHS, STEPS = 1 << 16, 1 << 17, (2, 3, 4), 12
 #: Bytes of texts that are labelled together, about.
-PORTION = 2 << 20
+PORTION = 1 << 20
 #: Texts that are worked on together when learning; languages beyond which portions of texts shrink, to hold memory.
 TOGETHER, MANY = 100, 16
 #: A text is one chain. With at most FEW languages it is worked on in pieces of CHAIN words, to which what comes before and after is carried.

@@ -35,6 +35,8 @@ from faktum.llm.textkit import Words, grouped, mix, texts_of, trim
 FILL, FIRST, PROBES = 0.3, (8, 12, 6), 3
 #: Tokens whose counts a reader gathers before it sends them; bytes of texts whose n-grams an owner gets, about; slices of documents.
 GATHERED, OWNED, SLICES = 1 << 20, 8 << 20, 4
+#: Bytes of texts in a portion.
+PORTION = 2 << 20
 #: Levels to a doubling of the counts of words, pairs and triples; the most levels there are.
 STEPS, MOST = (4, 2, 2), 250
 END, START, _PAIR, _TRIPLE = np.uint64(0xE1D0_0000_0000_0001), np.uint64(0x57A2_0000_0000_0001), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -115,7 +117,7 @@ def _counts(batches, text: str, owners: int):
         columns = list(zip(*rows.values(), strict=True))
         return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], _COUNTED)
 
-    for _, texts in grouped(batches, text):
+    for _, texts in grouped(batches, text, PORTION):
         h, first, words = tokens(texts)
         starts = np.zeros(len(h), bool)
         starts[first[:-1]] = True
@@ -290,7 +292,7 @@ def _table(rows: list[tuple], names: list[str]) -> pa.Table:
 
 def _ask(batches, owners: int):
     """For each portion of texts: itself for its home, and for each owner the words, n-grams and contexts it has."""
-    for rows, texts in grouped(batches, "_text"):
+    for rows, texts in grouped(batches, "_text", PORTION):
         h, first, _ = tokens(texts)
         # of the content alone, so that a task that runs again gives the same number; equal portions get equal answers
         portion = int.from_bytes(hashlib.blake2b(first.tobytes() + h.tobytes(), digest_size=8).digest(), "little", signed=True)
