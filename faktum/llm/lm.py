@@ -34,7 +34,7 @@ from faktum.llm.textkit import Words, grouped, mix, texts_of, trim
 #: Share of bits that may be set; probes for the first level by words in the n-gram, and for each other level.
 FILL, FIRST, PROBES = 0.3, (8, 12, 6), 3
 #: Tokens whose counts a reader gathers before it sends them; bytes of texts whose n-grams an owner gets, about; slices of documents.
-GATHERED, OWNED, SLICES = 1 << 20, 8 << 20, 4
+GATHERED, OWNED, SLICES = 1 << 19, 8 << 20, 4
 #: Bytes of texts in a portion.
 PORTION = 2 << 20
 #: Levels to a doubling of the counts of words, pairs and triples; the most levels there are.
