@@ -1,12 +1,12 @@
 """Embedding near-dedup by dual traversal of cover trees; it gives exactly the pairs at or over a cosine threshold.
 
 Vectors of one label are compared as points on the unit sphere, where a cosine is a distance. Equal vectors are one point with
-a weight. Points lie in blocks of at most BLOCK, near ones together as far as pivots tell. Each block gets a cover tree: the
+a weight. A label's points are split among pivots, level by level, until cells are blocks of at most BLOCK points; the cells of
+all levels, with their covering radii, are the upper part of a tree that is traversed by joins. Each block gets a cover tree: the
 levels have halving radii, a node's children are a net of half its radius, and its covering radius is the largest distance
 from its centre to a point under it. Two trees are traversed together. A pair of nodes is left out when their centres are
 farther apart than both covering radii and the threshold allow, and taken whole when they are so near that all their points
-must be linked; only pairs of leaves between these bounds are compared point by point, in double precision. Blocks
-themselves are paired by the same bound on their roots. A task gives each point's number of links and the few links that
+must be linked; only pairs of leaves between these bounds are compared point by point, in double precision. A task gives each point's number of links and the few links that
 connect its points, so a group of any size costs no list of pairs.
 """
 
@@ -14,15 +14,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faktum.llm.components import connected
-from faktum.llm.store import saved
+from faktum.llm.store import released, saved
 
-#: Least cosine of a link; points in a block and in a leaf; pivots over all labels (at most so many vectors are broadcast).
-COSINE, BLOCK, LEAF, PIVOTS = 0.98, 2048, 24, 4096
-_SLACK = 1e-9
+#: Least cosine of a link; points in a block and in a leaf; pivots that split a cell, levels of splits, and a cell's points in a task.
+COSINE, BLOCK, LEAF, FAN, DEPTH, DEALT = 0.98, 2048, 24, 64, 16, 32768
+#: Blocks that one block is compared with in a task, about.
+TOGETHER = 8
+_SLACK = 1e-7
 
 
 class Tree:
@@ -131,63 +133,112 @@ def _unit(rows: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _celled(points: DataFrame, total: DataFrame) -> DataFrame:
-    """points with cell: the nearest of its label's pivots. Pivots are for speed: any cell gives the same links."""
-    large = total.filter(F.col("n") > BLOCK).orderBy(F.desc("n"), "label", "dim").limit(PIVOTS // 2).withColumn("pivots", F.least(2 * F.ceil(F.col("n") / BLOCK), F.lit(256)))
-    from pyspark.sql import Window
-
-    # a hash bound lets through about twice the wanted pivots of each label, before they are ranked
-    some = points.join(F.broadcast(large), ["label", "dim"]).filter(F.pmod("cid", F.lit(1 << 20)) < 2 * F.col("pivots") / F.col("n") * (1 << 20))
-    rank = F.row_number().over(Window.partitionBy("label", "dim").orderBy("cid"))
-    chosen = some.withColumn("rank", rank).filter("rank <= pivots").orderBy("label", "dim", "cid").limit(PIVOTS).select("label", "dim", "embedding").collect()
-    by: dict = {}
-    for r in chosen:
-        by.setdefault((r[0], r[1]), []).append(r[2])
-    sent = points.sparkSession.sparkContext.broadcast({k: _unit(v) for k, v in by.items()})
-
-    def run(batches):
-        for batch in batches:
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            cell = np.zeros(len(keys), np.int32)
-            vectors = batch.column(4)
-            for k in set(keys) & set(sent.value):
-                at = [i for i, x in enumerate(keys) if x == k]
-                cell[at] = (_unit(vectors.take(pa.array(at)).to_pylist()) @ sent.value[k].T).argmax(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
-
-    from pyspark.sql import types as T
-
-    return points.mapInArrow(run, T.StructType([*points.schema.fields, T.StructField("cell", T.IntegerType())]))
-
-
-def _paired(meta: pa.Table, cosine: float) -> pa.Table:
-    """Of a label's blocks: the pairs whose roots are near enough, each once, and each block with itself."""
-    limit = np.sqrt(2 - 2 * cosine)
-    block = meta.column("block").to_pylist()
-    centre, radius = np.array(meta.column("centre").to_pylist(), np.float64), np.array(meta.column("radius").to_pylist())
-    one, two = [], []
-    for i in range(len(block)):
-        apart = np.sqrt(np.maximum(0, 2 - 2 * centre[i:] @ centre[i]))
-        for j in np.flatnonzero(apart <= radius[i] + radius[i:] + limit + _SLACK).tolist():
-            one.append(block[i])
-            two.append(block[i + j])
-    return pa.table([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["one", "two"])
-
-
-def _compared(batches, cosine: float):
-    """cid, links and other: a class's linked weight (other null), or a link that connects (links 0)."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            own = [(np.frombuffer(row[f"cids_{s}"], np.int64), np.frombuffer(row[f"weights_{s}"], np.int64).astype(float), np.frombuffer(row[f"points_{s}"]).reshape(-1, row["dim"])) for s in ("a", "b")]
-            (ca, wa, xa), (cb, wb, xb) = own
-            a = grown(xa)
-            same = row["one"] == row["two"]
-            got_a, got_b, links = traverse(a, a, wa, wa, cosine) if same else traverse(a, b := grown(xb), wa, wb, cosine)
-            cids = ca if same else np.concatenate((ca, cb))
-            got = got_a if same else np.concatenate((got_a, got_b))
-            at = np.flatnonzero(got)
-            out = np.array([(cids[i], cids[j]) for i, j in links], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((cids[at], out[:, 0]))), pa.array(np.concatenate((got[at].astype(np.int64), np.zeros(len(out), np.int64)))), pa.array([None] * len(at) + out[:, 1].tolist(), pa.int64())], ["cid", "links", "other"])
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """The unit vectors of a column of arrays of one length."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return _unit(flat.reshape(len(column), -1))
+
+
+def _nearest(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+    """Some points of a cell, each with the nearest pivot as its new cell and the distance; without pivots all stay."""
+    parent = rows.column("cell")
+    cell, gap = parent, pa.nulls(len(rows), pa.float64())
+    if len(pivots) and len(rows):
+        centre, near, best = _vectors(pivots.column("embedding")), [], []
+        x = _vectors(rows.column("embedding"))
+        for i in range(0, len(x), BLOCK):
+            cosine = x[i : i + BLOCK] @ centre.T
+            at = cosine.argmax(1)
+            near.append(at)
+            best.append(cosine[np.arange(len(at)), at])
+        cell = pa.array(pivots.column("id").to_numpy()[np.concatenate(near)], pa.int64())
+        gap = pa.array(np.sqrt(np.maximum(0.0, 2 - 2 * np.concatenate(best))))
+    kept = [rows.column(c) for c in ("dim", "cid", "weight", "embedding")]
+    return pa.table([cell, parent, gap, *kept], ["cell", "parent", "gap", "dim", "cid", "weight", "embedding"])
+
+
+_MOVED = "cell long, parent long, gap double, dim int, cid long, weight long, embedding array<double>"
+
+
+def _length(a: Column) -> Column:
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda total, x: total + x * x))
+
+
+def _levels(points: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The points with their cells, and the upper levels of the labels' trees: parent, id, centre and covering radius of each node.
+
+    A label is one cell at first. While a cell has more than BLOCK points, it is split among at most FAN pivots of its own;
+    points go to the nearest one. A large cell's points are dealt to many tasks. Pivots are for speed: any cells give the same links.
+    """
+    now = saved(points.select(F.xxhash64("label", "dim").alias("cell"), "dim", "cid", "weight", F.col("embedding").cast("array<double>").alias("embedding")), "cells")
+    levels: list[DataFrame] = []
+    for level in range(DEPTH):
+        sizes = now.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+        large = saved(sizes.select("cell", "n", F.least(2 * F.ceil(F.col("n") / BLOCK), F.lit(FAN)).alias("pivots"), F.ceil(F.col("n") / DEALT).alias("salts")), "large")
+        if large.isEmpty():
+            break
+        big = now.join(large, "cell")
+        # a hash bound lets through about twice the wanted pivots of a cell, before they are ranked
+        order = F.xxhash64("cid", F.lit(level))
+        some = big.filter(F.pmod(order, F.lit(1 << 40)) < 2 * F.col("pivots") / F.col("n") * (1 << 40))
+        rank = F.row_number().over(Window.partitionBy("cell").orderBy(order, "cid"))
+        chosen = saved(some.withColumn("rank", rank).filter("rank <= pivots").select("cell", "salts", F.xxhash64("cell", "rank", F.lit(level)).alias("id"), "embedding"), "pivots")
+        sent = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+        dealt = big.withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("salts")))
+        moved = saved(dealt.groupBy("cell", "salt").cogroup(sent.groupBy("cell", "salt")).applyInArrow(_nearest, _MOVED), "moved")
+        largest = F.array_max(F.transform("embedding", F.abs))
+        scaled = chosen.select("id", F.transform("embedding", lambda x: x / largest).alias("v"))
+        centre = scaled.select("id", F.transform("v", lambda x: x / _length(F.col("v"))).alias("centre"))
+        radius = moved.filter("cell <> parent").groupBy("parent", F.col("cell").alias("id")).agg(F.max("gap").alias("radius"))
+        levels.append(saved(radius.join(centre, "id").select("parent", "id", "centre", "radius"), "nodes"))
+        before = now
+        now = saved(before.join(large, "cell", "left_anti").unionByName(moved.drop("parent", "gap")), "cells")
+        released(before, large, chosen, moved)
+    return now, levels
+
+
+def _pairs(roots: DataFrame, levels: list[DataFrame], cosine: float) -> DataFrame:
+    """one and two: cells whose points may be linked, each pair once and each cell with itself, by traversal of the upper levels.
+
+    A pair's children are paired if their centres are no farther apart than both covering radii and the threshold allow; a
+    cell without children stands for itself. A node has FAN children at most.
+    """
+    limit = float(np.sqrt(2 - 2 * cosine))
+    none = F.lit(None)
+    sides = [c for s in "ab" for c in (none.cast("array<double>").alias(f"centre_{s}"), none.cast("double").alias(f"radius_{s}"))]
+    pairs = roots.select(F.col("cell").alias("one"), F.col("cell").alias("two"), *sides)
+    for nodes in levels:
+        a, b = (nodes.select(F.col("parent").alias(f"p{s}"), F.col("id").alias(f"i{s}"), F.col("centre").alias(f"c{s}"), F.col("radius").alias(f"r{s}")) for s in "ab")
+        both = pairs.join(a, F.col("one") == F.col("pa"), "left").join(b, F.col("two") == F.col("pb"), "left")
+        kids = [F.coalesce("ia", "one").alias("one"), F.coalesce("ib", "two").alias("two"), (F.col("one") == F.col("two")).alias("same")]
+        kids += [F.coalesce(f"{x[0]}{s}", f"{x}_{s}").alias(f"{x}_{s}") for s in "ab" for x in ("centre", "radius")]
+        apart = _length(F.zip_with("centre_a", "centre_b", lambda x, y: x - y))
+        near = (F.col("one") == F.col("two")) | F.coalesce(apart <= F.col("radius_a") + F.col("radius_b") + limit + _SLACK, F.lit(True))
+        before, pairs = pairs, saved(both.select(kids).filter((~F.col("same") | (F.col("one") <= F.col("two"))) & near).drop("same"), "pairs")
+        released(before)
+    return pairs.select("one", "two")
+
+
+def _compared(others: pa.Table, own: pa.Table, cosine: float) -> pa.Table:
+    """cid, links and other of a block against others: a class's linked weight (other null), or a link that connects (links 0)."""
+    def read(row):
+        return np.frombuffer(row["cids"], np.int64), np.frombuffer(row["weights"], np.int64).astype(float), grown(np.frombuffer(row["points"]).reshape(-1, row["dim"]))
+
+    out = []
+    ca, wa, a = read(own.slice(0, 1).to_pylist()[0])  # its tree is built once for all others
+    for i in range(len(others)):
+        row = others.slice(i, 1).to_pylist()[0]
+        if row["one"] == row["two"]:
+            got, _, links = traverse(a, a, wa, wa, cosine)
+            cids = ca
+        else:
+            cb, wb, b = read(row)
+            got_a, got_b, links = traverse(a, b, wa, wb, cosine)
+            cids, got = np.concatenate((ca, cb)), np.concatenate((got_a, got_b))
+        at = np.flatnonzero(got)
+        ends = np.array([(cids[i], cids[j]) for i, j in links], np.int64).reshape(-1, 2)
+        out.append(pa.table({"cid": np.concatenate((cids[at], ends[:, 0])), "links": np.concatenate((got[at].astype(np.int64), np.zeros(len(ends), np.int64))), "other": pa.array([None] * len(at) + ends[:, 1].tolist(), pa.int64())}))
+    return pa.concat_tables(out)
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE) -> DataFrame:
@@ -202,25 +253,28 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     cid = F.xxhash64("label", "embedding")
     points = rows.filter("fine").groupBy("label", F.size("embedding").alias("dim"), cid.alias("cid"), "embedding").agg(F.count(F.lit(1)).alias("weight"), F.min("key").alias("least"))
     points = saved(points.select("label", "dim", "cid", "weight", "embedding", "least"), "points")
-    total = saved(points.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")), "labels")
-    celled = saved(_celled(points, total), "cells")
-    chunks = celled.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("chunks"))
-    placed = celled.join(chunks, ["label", "dim", "cell"]).withColumn("block", F.xxhash64("label", "dim", "cell", F.pmod(F.xxhash64("cid"), "chunks")))
+    celled, levels = _levels(points)
+    pairs = _pairs(points.select(F.xxhash64("label", "dim").alias("cell")).distinct(), levels, cosine)
+    # what still is larger than a block, because no pivots divide it, is dealt by hash, and all of its chunks are compared
+    chunks = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("chunks"))
+    whose = saved(chunks.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")), "chunks")
+    placed = celled.join(chunks, "cell").withColumn("chunk", F.when(F.col("chunks") == 1, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("cid"), "chunks")))
 
     def block(t: pa.Table) -> pa.Table:
-        x = _unit(t.column("embedding").to_pylist())
-        order = np.argsort(t.column("cid").to_numpy())
-        x, cids, weights = x[order], t.column("cid").to_numpy()[order], t.column("weight").to_numpy()[order]
-        radius = float(np.sqrt(max(0.0, (2 - 2 * x @ x[0]).max())))
-        return pa.table({"label": t.column("label").slice(0, 1), "dim": t.column("dim").slice(0, 1), "block": t.column("block").slice(0, 1), "centre": pa.array([x[0].tolist()], pa.list_(pa.float64())), "radius": [radius], "cids": [cids.tobytes()], "weights": [weights.tobytes()], "points": [x.tobytes()]})
-
-    kind = vectors.schema[label].dataType.simpleString()
-    blocks = saved(placed.select("label", "dim", "block", "cid", "weight", "embedding").groupBy("block").applyInArrow(block, f"label {kind}, dim int, block long, centre array<double>, radius double, cids binary, weights binary, points binary"), "blocks")
-    pairs = blocks.select("label", "dim", "block", "centre", "radius").groupBy("label", "dim").applyInArrow(lambda t: _paired(t, cosine), "one long, two long")
-    of = lambda s: blocks.select("dim", F.col("block").alias("one" if s == "a" else "two"), *[F.col(c).alias(f"{c}_{s}") for c in ("cids", "weights", "points")])
-    both = pairs.join(of("a"), "one").join(of("b").drop("dim"), "two")
-    both = both.repartition(F.col("one"), F.col("two"))
-    found = saved(both.select("dim", "one", "two", "cids_a", "weights_a", "points_a", "cids_b", "weights_b", "points_b").mapInArrow(lambda b: _compared(b, cosine), "cid long, links long, other long"), "found")
+        x, cids, weights = _vectors(t.column("embedding")), t.column("cid").to_numpy(), t.column("weight").to_numpy()
+        order = np.argsort(cids)
+        return pa.table({"cell": t.column("cell").slice(0, 1), "chunk": t.column("chunk").slice(0, 1), "dim": t.column("dim").slice(0, 1), "cids": [cids[order].tobytes()], "weights": [weights[order].tobytes()], "points": [x[order].tobytes()]})
+
+    made = placed.select("cell", "chunk", "dim", "cid", "weight", "embedding").groupBy("cell", "chunk").applyInArrow(block, "cell long, chunk long, dim int, cids binary, weights binary, points binary")
+    blocks = saved(made.withColumn("block", F.xxhash64("cell", "chunk")).drop("cell", "chunk"), "blocks")
+    left, right = (whose.select(F.col("cell").alias(cell), F.col("chunk").alias(chunk)) for cell, chunk in (("one", "c1"), ("two", "c2")))
+    both = pairs.join(left, "one").join(right, "two").filter((F.col("one") != F.col("two")) | (F.col("c1") <= F.col("c2"))).select(F.xxhash64("one", "c1").alias("one"), F.xxhash64("two", "c2").alias("two"))
+    many = both.groupBy("one").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("slices"))
+    both = saved(both.join(many, "one").select("one", "two", F.pmod(F.xxhash64("two"), "slices").alias("slice")), "pairs")
+    others = both.join(blocks.withColumnRenamed("block", "two"), "two").select("one", "slice", "two", "dim", "cids", "weights", "points")
+    own = both.select("one", "slice").distinct().join(blocks.withColumnRenamed("block", "one"), "one").select("one", "slice", "dim", "cids", "weights", "points").toDF("own_one", "own_slice", "dim", "cids", "weights", "points")
+    found = saved(others.groupBy("one", "slice").cogroup(own.groupBy("own_one", "own_slice")).applyInArrow(lambda t, a: _compared(t, a, cosine), "cid long, links long, other long"), "found")
+    released(celled, *levels, blocks, both, whose)
     roots = connected(found.filter("other IS NOT NULL").select(F.col("cid").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
     known = points.select("label", "cid", "weight", "least").join(roots.withColumnRenamed("node", "cid"), "cid", "left").join(counts, "cid", "left").withColumn("root", F.coalesce("root", "cid"))

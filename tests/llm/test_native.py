@@ -207,6 +207,83 @@ def test_vectors(spark):
     assert covertree.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_in_split_cells(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "BLOCK", 16)
+    monkeypatch.setattr(covertree, "FAN", 4)
+    monkeypatch.setattr(covertree, "DEALT", 64)
+    monkeypatch.setattr(covertree, "TOGETHER", 2)
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(30, 6)), 20, 0) + rng.normal(size=(600, 6)) * np.tile([0.01, 0.05, 0.1, 0.4], 150)[:, None]
+    label = (rng.random(600) < 0.3).astype(int)  # one label has most rows
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.98) & (label[:, None] == label[None])
+    np.fill_diagonal(linked, False)
+    least, n = np.arange(600), -1
+    while n != least.sum():
+        n = least.sum()
+        least = np.minimum(least, np.where(linked, least[None], 600).min(1))
+    df = spark.createDataFrame([(i, x[i].tolist(), int(label[i])) for i in range(600)], "vec_id long, embedding array<double>, label int")
+    for depth in (16, 1):  # with one level of splits, cells are still too large and are dealt by hash
+        monkeypatch.setattr(covertree, "DEPTH", depth)
+        got = sorted(tuple(r) for r in covertree.near_vectors(df).collect())
+        assert got == [(i, int(linked[i].sum()), int(least[i]), bool(least[i] == i)) for i in range(600)]
+
+
+def test_convolution_against_loops():
+    rng = np.random.default_rng(2)
+    texts = [[f"w{rng.integers(60)}" for _ in range(n)] for n in (0, 1, 2, 3, 7, 40, 3000)]
+    texts.append(["toxicword"] * 5)
+    rows = [" ".join(t).encode() for t in texts] + [b"tail, Words! of.it"]
+    words = toxicity.Bare(rows)
+    slots = toxicity._slots(words)
+    each = [slots[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+    model = toxicity.start(each, np.array([0, 1, 0, 1, 0, 1, 0, 1, 0]))
+    want = []
+    for x in each:
+        emb = [model["table"][a].astype(float) + model["table"][b] for a, b in x.tolist()] + [np.zeros(toxicity.DIM)] * max(toxicity.WIDTHS) * 2
+        top = []
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                at = [sum(emb[t + i] @ model["filters"][k][i][:, f] for i in range(width)) for t in range(len(x) + 1)]
+                top.append(max(0.0, max(at) + model["bias"][k][f]))
+        want.append(np.dot(top, model["out"]) + model["out_bias"][0])
+    for products in (None, toxicity.products_of(model)):
+        assert np.allclose(toxicity.raw(model, slots, words.first, products), want, atol=1e-4)
+
+
+def test_training_beats_its_start():
+    rng = np.random.default_rng(5)
+    y = np.arange(400) % 2
+    rows = [" ".join(rng.choice([f"w{i}" for i in range(300)], 12).tolist() + rng.choice([f"{'bad' if label else 'ok'}{i}" for i in range(40)], 2).tolist()).encode() for label in y.tolist()]
+    words = toxicity.Bare(rows)
+    slots = toxicity._slots(words)
+    each = [slots[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+    model = toxicity.start(each[:300], y[:300])
+    first = words.first[300:] - words.first[300]
+    held = slots[words.first[300] :]
+
+    def loss():
+        z = toxicity.raw(model, held, first)
+        return np.log1p(np.exp(np.where(y[300:] == 1, -z, z))).mean()
+
+    before = loss()
+    toxicity._train(model, each[:300], y[:300])
+    assert loss() < 0.7 * before
+
+
+def test_toxicity_odd_tables(spark):
+    docs = [(i, "plain words here " * 3 + ("awful blarg" if i % 3 == 0 else "kind person"), "en") for i in range(120)]
+    docs += [docs[3]] * 3 + [(None, "kind person", "en"), (500, "plain words " * 40_000 + "awful blarg " * 30, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)] + [(None, 1), (7, None), (9999, 1)], "doc_id long, toxic int")
+    got = toxicity.toxicity(df, labels).collect()
+    assert Counter(r.doc_id for r in got) == Counter(d[0] for d in docs)
+    assert len({r.score for r in got if r.doc_id == 3}) == 1
+    scores = {r.doc_id: r.score for r in got}
+    assert scores[500] > scores[None] and scores[500] > scores[1]  # what stands at the end of a long text counts
+    assert toxicity.toxicity(df.limit(0), labels).count() == 0
+
+
 def test_toxicity(spark):
     docs = [(i, f"common words here number {i} " + ("you awful blarg" if i % 4 == 0 else "you nice person"), "en") for i in range(240)]
     docs += [(1001, None, None), (1002, "", "en"), (1003, " \n", "en")]
