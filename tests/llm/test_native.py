@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -296,3 +297,33 @@ def test_toxicity(spark):
     assert [got[i].score for i in (1001, 1002, 1003)] == [0.0] * 3
     none = toxicity.toxicity(df, labels.limit(0)).collect()
     assert len(none) == len(docs) and not any(r.predicted for r in none)
+
+
+def test_blocks_respond_as_whole_texts(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [" ".join(f"w{rng.integers(90)}" for _ in range(n)).encode() for n in (0, 3, 16, 17, 31, 32, 33, 500)]
+    words = toxicity.Bare(rows)
+    slots = toxicity._slots(words)
+    each = [slots[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+    model = toxicity.start(each, np.arange(8) % 2)
+    want, places = toxicity.responses(model, slots, words.first)
+    row, _ = toxicity._padded(slots, words.first)
+    monkeypatch.setattr(toxicity, "TOGETHER", 16)
+    assert max(len(b[1]) for b in toxicity._blocks(each)) <= 16
+    top, under = toxicity._tops(model, each)
+    assert np.allclose(top, want, atol=1e-6)
+    for k, width in enumerate(toxicity.WIDTHS):
+        on = want[:, k * toxicity.FILTERS : (k + 1) * toxicity.FILTERS] > 0
+        assert (under[k][on] == row[places[k][:, :, None] + np.arange(width)][on]).all()
+    again = toxicity.start(each, np.arange(8) % 2)
+    assert (again["table"] == model["table"]).all()
+
+
+def test_toxicity_learns_from_whole_texts(spark):
+    plain = "plain words here " * 2_000  # 34,000 letters
+    docs = [(i, plain * (zlib.crc32(str(i).encode()) % 3 != 1) + ("awful blarg" if i % 3 == 0 else "kind person"), "en") for i in range(90)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(df, labels).collect()}
+    assert sum(r.held_out for r in got.values()) >= 20
+    assert all(r.predicted == int(r.doc_id % 3 == 0) for r in got.values())
