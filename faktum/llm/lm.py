@@ -22,10 +22,12 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faktum.llm.store import owners_for, released, saved
@@ -35,8 +37,10 @@ from faktum.llm.textkit import Words, grouped, mix, texts_of, trim
 FILL, FIRST, PROBES = 0.3, (8, 12, 6), 3
 #: Tokens whose counts a reader gathers before it sends them; bytes of texts whose n-grams an owner gets, about; slices of documents.
 GATHERED, OWNED, SLICES = 1 << 19, 8 << 20, 4
-#: Bytes of texts in a portion.
-PORTION = 2 << 20
+#: Bytes of texts in a portion that is scored, and in one that is counted; bytes of counts that a reader sends at a time.
+PORTION, COUNTED, SENT = 2 << 20, 1 << 20, 1 << 20
+#: N-grams whose bits, and letters whose pairs, are worked out together.
+GRAMS, LETTERS = 1 << 15, 1 << 18
 #: Levels to a doubling of the counts of words, pairs and triples; the most levels there are.
 STEPS, MOST = (4, 2, 2), 250
 END, START, _PAIR, _TRIPLE = np.uint64(0xE1D0_0000_0000_0001), np.uint64(0x57A2_0000_0000_0001), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -89,6 +93,10 @@ def _from_five(blobs: list[bytes]) -> np.ndarray:
 _COUNTED = ["owner", "words", "word_counts", "pairs", "pair_counts", "triples", "triple_counts", "letters", "followers"]
 
 
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*rows, strict=True))], _COUNTED)
+
+
 def _counts(batches, text: str, owners: int):
     """An owner's words, pairs and triples with their counts; for owner 0 the letters, and the contexts and their followers by level."""
     held: list[tuple[np.ndarray, ...]] = []
@@ -96,14 +104,15 @@ def _counts(batches, text: str, owners: int):
     size = 0
 
     def flush():
-        rows: dict[int, list[bytes]] = {0: [b""] * 8}
+        grams, spans = [], {0: [(0, 0)] * 3}
         followers = np.zeros((2, 2, MOST), np.int64)
         first_token = np.concatenate([x[3] for x in held])
         for k in range(3):
             every = np.concatenate([x[k] for x in held])
             h, back, n = np.unique(every, return_inverse=True, return_counts=True)
             for o, a, b in _cuts(owner_of(h, owners), owners):
-                rows.setdefault(o, [b""] * 8)[2 * k : 2 * k + 2] = [h[a:b].tobytes() if k == 0 else _five(h[a:b]), n[a:b].astype(np.uint32).tobytes()]
+                spans.setdefault(o, [(0, 0)] * 3)[k] = (a, b)
+            grams.append((h, n.astype(np.uint32)))
             if k:  # the context of each different n-gram is what ends one token before it; starts of texts apart
                 at = np.empty(len(h), np.int64)
                 at[back] = np.arange(len(back))
@@ -113,23 +122,35 @@ def _counts(batches, text: str, owners: int):
                 some = different > 0
                 followers[k - 1] += np.stack([np.bincount(level[some], w, MOST).astype(np.int64) for w in (np.ones(some.sum()), different[some])])
             context_of, context_n = back, n
-        rows[0][6:] = [zlib.compress(letters.tobytes(), 1), followers.tobytes()]
-        columns = list(zip(*rows.values(), strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], _COUNTED)
-
-    for _, texts in grouped(batches, text, PORTION):
+        held.clear()
+        del every, back, context_of, context_n, at, inner
+        rows, size = [], 0
+        for o, own in spans.items():
+            row = [x for k, ((h, n), (a, b)) in enumerate(zip(grams, own, strict=True)) for x in (_five(h[a:b]) if k else h[a:b].tobytes(), n[a:b].tobytes())]
+            row += [b"", b""] if o else [zlib.compress(letters.tobytes(), 1), followers.tobytes()]
+            rows.append((o, *row))
+            size += sum(map(len, row))
+            if size >= SENT:
+                yield _sent(rows)
+                rows, size = [], 0
+        if rows:
+            yield _sent(rows)
+
+    for _, texts in grouped(batches, text, COUNTED):
         h, first, words = tokens(texts)
         starts = np.zeros(len(h), bool)
         starts[first[:-1]] = True
         held.append((h, *ngrams(h, first), starts))
-        buf = _SPACE[words.buf]
-        letters += np.bincount(buf[:-1] * 256 + buf[1:], minlength=1 << 16)
+        for i in range(0, len(words.buf) - 1, LETTERS):
+            buf = _SPACE[words.buf[i : i + LETTERS + 1]]
+            letters += np.bincount(buf[:-1] * 256 + buf[1:], minlength=1 << 16)
         size += len(h)
+        del h, first, words, starts
         if size >= GATHERED:
-            yield flush()
-            held, letters, size = [], np.zeros(1 << 16, np.int64), 0
+            yield from flush()
+            letters, size = np.zeros(1 << 16, np.int64), 0
     if size:
-        yield flush()
+        yield from flush()
 
 
 def levels(n: np.ndarray, k: int) -> np.ndarray:
@@ -167,18 +188,21 @@ def part_of(grams: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     for k, (h, level) in enumerate(grams):
         for j in range(1, int(level.max(initial=0)) + 1):
             h, level = h[level >= j], level[level >= j]
-            part[bits_of(h, k, j, bits).ravel()] = True
+            for a in range(0, len(h), GRAMS):
+                part[bits_of(h[a : a + GRAMS], k, j, bits).ravel()] = True
     return np.packbits(part)
 
 
 def level_of(part: np.ndarray, k: int, h: np.ndarray) -> np.ndarray:
     """The level of each n-gram of k + 1 words in a part, 0 if it isn't there."""
-    level, on, j = np.zeros(len(h), np.uint8), np.arange(len(h)), 0
-    while len(on) and j < MOST:
-        j += 1
-        at = bits_of(h[on], k, j, 8 * len(part))
-        on = on[((part[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0)]
-        level[on] = j
+    level = np.zeros(len(h), np.uint8)
+    for a in range(0, len(h), GRAMS):
+        on, j = np.arange(a, min(a + GRAMS, len(h))), 0
+        while len(on) and j < MOST:
+            j += 1
+            at = bits_of(h[on], k, j, 8 * len(part))
+            on = on[((part[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0)]
+            level[on] = j
     return level
 
 
@@ -232,8 +256,10 @@ class Totals:
 
     def spelled(self, words: Words) -> np.ndarray:
         """The natural log of each word's probability by its letters and the space behind it."""
-        buf = _SPACE[words.buf]
-        total = np.concatenate(([0.0, 0.0], np.cumsum(self.letters[buf[:-1], buf[1:]])))
+        total = np.zeros(len(words.buf) + 1)
+        for i in range(0, len(words.buf) - 1, LETTERS):
+            buf = _SPACE[words.buf[i : i + LETTERS + 1]]
+            total[i + 2 : i + 1 + len(buf)] = total[i + 1] + np.cumsum(self.letters[buf[:-1], buf[1:]])
         return total[words.ends + 1] - total[words.starts]
 
     def log10(self, spelled: np.ndarray, starts: np.ndarray, levels_of: list[np.ndarray]) -> np.ndarray:
@@ -307,7 +333,12 @@ def _ask(batches, owners: int):
             w.write_batch(rows)
         out = [(home, portion, home, sink.getvalue().to_pybytes(), None, None, None)]
         out += [(o, portion, home, None, *x) for o, x in asked.items()]
-        yield from _table(out, _ASKED_NAMES).to_batches()
+        done = size = 0
+        for i, row in enumerate(out):
+            size += sum(len(x) for x in row[3:] if x)
+            if size >= SENT or i + 1 == len(out):
+                yield from _table(out[done : i + 1], _ASKED_NAMES).to_batches()
+                done, size = i + 1, 0
 
 
 def _tell(asked: pa.Table, own: pa.Table) -> pa.Table:
@@ -369,6 +400,18 @@ def _scored(table: pa.Table, model: Totals, owners: int, names: list[str]) -> pa
     return pa.concat_tables(out)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows go to Python by SENT bytes at a time: an executor holds a batch several times outside its heap, and that memory isn't given back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, f"{SENT}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", owned: int = OWNED) -> DataFrame:
     """One row per row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score, known_score (of known tokens alone).
 
@@ -379,7 +422,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", owned: int =
     code = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 7
     rows = docs.select(F.col(key).alias("_key"), (code == 2).alias("held"), F.col(text).alias("_text"))
     owners = min(owners_for(rows, "_text", owned), 1 << 20)
-    own = saved(parts(rows.filter("not held"), "_text", owners), "lm")
+    with small_batches(docs.sparkSession):
+        own = saved(parts(rows.filter("not held"), "_text", owners), "lm")
     model = Totals(own.drop("owner", "bits", "words", "counts").toArrow().to_pylist())
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType.simpleString()
@@ -390,7 +434,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", owned: int =
         some = rows.filter(F.pmod(F.xxhash64("_key"), F.lit(SLICES)) == i)
         asked = some.mapInArrow(lambda b: _ask(b, owners), _ASKED)
         told = asked.groupBy("owner").cogroup(own.select("owner", "bits", "words", "counts").groupBy("owner")).applyInArrow(_tell, _TOLD)
-        scored = saved(told.groupBy("owner").applyInArrow(lambda t: _scored(t, sent.value, owners, names), schema), "scores")
+        with small_batches(docs.sparkSession):
+            scored = saved(told.groupBy("owner").applyInArrow(lambda t: _scored(t, sent.value, owners, names), schema), "scores")
         out = scored if out is None else out.unionByName(scored)
     released(own)
     return out

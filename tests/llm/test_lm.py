@@ -3,10 +3,12 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from faktum.llm import lm
 
@@ -151,3 +153,35 @@ def test_filter_grows_with_the_corpus(spark):
         return sum(len(r.bits) for r in rows)
 
     assert 9 < sizes(50000) / sizes(5000) < 11
+
+
+def peak(f):
+    """The result of f, and the MB of memory it took at most beside what was there."""
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_worker():
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 50_000, 2500)) for _ in range(500)]
+    batch = pa.record_batch([pa.array(texts)], ["text"])
+    (most, rows), mb = peak(lambda: (lambda sizes: (max(sizes), len(sizes)))([b.nbytes for b in lm._counts([batch], "text", 13)]))
+    assert mb < 110 and most < 3e6 and rows > 10
+    h = lm.mix(np.arange(1, 800_001, dtype=np.uint64))
+    none = (h[:0], np.zeros(0, np.int64))
+    part, mb = peak(lambda: lm.part_of([none, (h, np.ones(len(h), np.int64)), none]))
+    assert mb < 60
+    level, mb = peak(lambda: lm.level_of(part, 1, h))
+    assert mb < 40 and (level >= 1).all()
+
+
+def test_rows_go_to_python_by_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs, before = spark.range(0, 3000, 1, 1).selectExpr("repeat('word ', 500) AS text"), spark.conf.get(name)
+    sizes = lambda batches: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in batches)
+    with lm.small_batches(spark):
+        assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 1.1 * lm.SENT
+    assert spark.conf.get(name) == before
