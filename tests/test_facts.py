@@ -104,3 +104,11 @@ def test_project_state_counts_all_dead_functions(spark):
     finally:
         P.graph = keep
     assert row.dead == 617 and row.dead_share == round(617 / 620, 6)
+
+
+def test_explained_shows_all_callers_and_callees(spark):
+    """J6: over a thousand of each."""
+    e = spark.createDataFrame([(0, "Run"), *[(i, f"f{i}") for i in range(1, 2301)]], "id long, name string").selectExpr("id", "name", "name AS qualified_name", "'/f' AS file_path", "0 AS start_row")
+    r = spark.createDataFrame([*[(i, 0) for i in range(1, 1101)], *[(0, i) for i in range(1101, 2301)]], "source_id long, target_id long").selectExpr("*", "1 AS type", "1.0 AS confidence")
+    got = {x.role: x["count"] for x in L.explained(e, r, "Run").groupBy("role").count().collect()}
+    assert got == {"definition": 1, "caller": 1100, "callee": 1200}
