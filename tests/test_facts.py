@@ -112,3 +112,10 @@ def test_explained_shows_all_callers_and_callees(spark):
     r = spark.createDataFrame([*[(i, 0) for i in range(1, 1101)], *[(0, i) for i in range(1101, 2301)]], "source_id long, target_id long").selectExpr("*", "1 AS type", "1.0 AS confidence")
     got = {x.role: x["count"] for x in L.explained(e, r, "Run").groupBy("role").count().collect()}
     assert got == {"definition": 1, "caller": 1100, "callee": 1200}
+
+
+def test_explained_shows_all_definitions(spark):
+    """J6: over twenty of one name."""
+    e = spark.range(25).selectExpr("id", "'Run' AS name", "'q' AS qualified_name", "'/f' AS file_path", "0 AS start_row")
+    r = spark.createDataFrame([], "source_id long, target_id long, type int, confidence double")
+    assert [x.id for x in L.explained(e, r, "Run").filter("role = 'definition'").orderBy("id").collect()] == list(range(25))
