@@ -119,3 +119,30 @@ def test_explained_shows_all_definitions(spark):
     e = spark.range(25).selectExpr("id", "'Run' AS name", "'q' AS qualified_name", "'/f' AS file_path", "0 AS start_row")
     r = spark.createDataFrame([], "source_id long, target_id long, type int, confidence double")
     assert [x.id for x in L.explained(e, r, "Run").filter("role = 'definition'").orderBy("id").collect()] == list(range(25))
+
+
+def test_enclosing_against_all_pairs(spark):
+    """J9: overlaps, open ends, rows before any function, a row's record repeated; records and functions of a file aren't joined pair by pair."""
+    import random
+
+    rnd = random.Random(3)
+    functions = [(i, rnd.choice((0, 1, 2)), f"/f{i % 3}", s, rnd.choice((0, s, s + rnd.randrange(40), s + 1000))) for i in range(300) for s in [rnd.randrange(-20, 200)]]
+    records = [(i // 2, f"/f{rnd.randrange(4)}", rnd.randrange(-40, 1300)) for i in range(900)]
+    want: dict[int, tuple] = {}
+    for rid, path, row in records:
+        for i, kind, file, s, t in functions:
+            if kind < 2 and file == path and s <= row and (t >= row or t == 0):
+                want[rid] = max(want.get(rid, (s, -i)), (s, -i))
+    found = L.enclosing(spark.createDataFrame(records, "rid long, file_path string, row int"), spark.createDataFrame(functions, "id long, kind int, file_path string, start_row int, end_row int"))
+    assert {x.rid: x.function_id for x in found.collect()} == {k: -v[1] for k, v in want.items()}
+
+
+def test_enclosing_looks_up_blocks_not_pairs(spark):
+    """J9: 3,000 functions of one place and 3,000 records in it take thousands of joined rows, not nine millions."""
+    import re
+
+    e = spark.range(3000).selectExpr("id", "0 AS kind", "'/f' AS file_path", "10 AS start_row", "19 AS end_row")
+    out = L.enclosing(spark.range(3000).selectExpr("id AS rid", "'/f' AS file_path", "CAST(10 + id % 10 AS INT) AS row"), e)
+    assert {(x.function_id) for x in out.collect()} == {0} and out.count() == 3000
+    keys = re.findall(r"Join Inner, (.*)", out._jdf.queryExecution().analyzed().toString())
+    assert keys and all("row" in k or "block" in k for k in keys)
