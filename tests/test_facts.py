@@ -146,3 +146,18 @@ def test_enclosing_looks_up_blocks_not_pairs(spark):
     assert {(x.function_id) for x in out.collect()} == {0} and out.count() == 3000
     keys = re.findall(r"Join Inner, (.*)", out._jdf.queryExecution().analyzed().toString())
     assert keys and all("row" in k or "block" in k for k in keys)
+
+
+def test_bm25_scores_each_row_alone(spark):
+    """T2: no hash table or sort of all words; a name without words counts among the documents, as in the SQL."""
+    from math import log
+
+    from faktum.operators import search as T
+
+    rows = [(1, "main", "", "", 0), (2, "mainLib", "", "", 2), (3, "x", "a.b", "", 0), (4, "_", "", "", 0)]
+    e = spark.createDataFrame(rows, "id long, name string, qualified_name string, file_path string, kind int")
+    out = T.bm25(e, "main lib main")
+    want = lambda tf_df, length: round(sum(log((4 - d + 0.5) / (d + 0.5) + 1) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * length / 1.5)) for d in tf_df), 6)
+    assert [(x.id, x.score) for x in out.collect()] == [(2, want((2, 1), 2)), (1, want((2,), 1))]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [id" not in plan and "Join Inner, (id" not in plan
