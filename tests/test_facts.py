@@ -161,3 +161,15 @@ def test_bm25_scores_each_row_alone(spark):
     assert [(x.id, x.score) for x in out.collect()] == [(2, want((2, 1), 2)), (1, want((2,), 1))]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [id" not in plan and "Join Inner, (id" not in plan
+
+
+def test_claims_read_each_sentence_once(spark):
+    """One pass over the texts, with every kind of claim in one sentence or in several, in any case of letters."""
+    rows = [(1, "It SUPPORTS fast search, Implements a cache and hasn't much. Parser should REJECT bad input! Zero-Copy and LOCK free.\nA -> B -> C"), (2, "The phase has changed.\tIt never supports magic. Supports it"), (3, None), (4, "support"), (5, "It contains an index. It contains an index.")]
+    out = V.claims(spark.createDataFrame(rows, "id int, text string"))
+    assert {tuple(x) for x in out.collect()} == {
+        (1, "supported_by", "FastSearch", ""), (1, "implemented_by", "ACache", ""), (1, "should", "Parser", "REJECT bad input"), (1, "contract", "zerocopy", ""), (1, "contract", "lockfree", ""), (1, "follows", "A", "B>C"),
+        (2, "has", "Changed", ""), (2, "supported_by", "It", ""), (5, "has", "Index", ""),
+    }
+    assert out.count() == 9
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
