@@ -97,3 +97,26 @@ def test_names_that_are_not_matched_loosely(spark):
     got = resolve.fuzzy(spark.createDataFrame([("Error",), ("Close",), ("PARSE",)], "name string"), entity).collect()
     assert [(r.name, r.ids) for r in got] == [("PARSE", "3")]
     assert len(set(resolve.COMMON)) == 48 and len(set(resolve.NOT_FUZZY)) == 20
+
+
+def test_a_round_of_communities_sends_edges_once(spark, monkeypatch):
+    """G10: one join and one shuffle for the votes a round; labels of a graph with a hub, ties and loops as in plain Python."""
+    import random
+    from collections import Counter
+
+    rnd = random.Random(5)
+    pairs = {(rnd.randrange(60), rnd.randrange(60)) for _ in range(110)} | {(0, i) for i in range(30)}
+    plans, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    got = {x.id: x.label for x in G.communities(ents(spark, range(55)), rel(spark, pairs)).collect()}
+    near: dict[int, set] = {}
+    for a, b in pairs:
+        if a != b and max(a, b) < 55:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {i: i for i in near}
+    for _ in range(G.ROUNDS):
+        votes = {i: Counter(want[j] for j in near[i]) for i in near}
+        want = {i: max(v, key=lambda x: (v[x], x == want[i], -x)) for i, v in votes.items()}  # noqa: B023
+    assert got == want
+    assert plans[2:] and all(p.count("Join ") == 1 for p in plans[2:])
